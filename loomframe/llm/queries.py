@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import quality_rules, sharding
-from loomframe.llm.sql import OP1_SQL, OP7_SQL
+from loomframe.llm import jaccard_join, langid, quality_qda, quality_rules, sharding
+from loomframe.llm.common import written
+from loomframe.llm.sql import OP1_SQL, OP2_SQL, OP7_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,17 +21,45 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(key: str, folds: int) -> Column:
+    """crc32 of an id's decimal text modulo the number of folds."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return sharding.place(docs, "doc_id").select("doc_id", "source", "slot", "shard")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    taught = docs.where(F.coalesce(fold("doc_id", 3), F.lit(0)) != 1)
+    found = langid.identify(docs, langid.train(taught))
+    return found.select("doc_id", (F.coalesce(fold("doc_id", 3), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = written(quality_qda.featured(table(spark, sf_dir, "documents").select("doc_id", "text")), "features")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    found = quality_qda.scored(features, quality_qda.fit(features, labels))
+    return found.select("doc_id", (F.coalesce(fold("doc_id", 5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_jaccard_join": op2_jaccard_join,
     "op7_sharding": op7_sharding,
+    "op8_language_id": op8_language_id,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op2_jaccard_join": OP2_SQL,
     "op7_sharding": OP7_SQL,
 }

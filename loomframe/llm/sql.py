@@ -58,3 +58,19 @@ select doc_id, source, h.slot, ((t - 1) % 64)::int as shard
 from (select doc_id, source, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint % 8191 as slot from documents) h
 join claim on claim.slot = h.slot
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = rf"""
+with recursive d as (select row_number() over () as rid, doc_id, {WORDS.format(_LOWER)} as words from documents),
+sh as (select distinct rid, g from (
+  select rid, list_slice(words, i, i + 4) as g from d, unnest(range(1, len(words) - 3)) as u(i) where len(words) >= 5
+  union all select rid, words from d where len(words) between 1 and 4)),
+n as (select rid, count(*) as n from sh group by rid),
+pairs as (select a.rid as x, b.rid as y, count(*) as c from sh a join sh b on a.g = b.g and a.rid <> b.rid group by x, y),
+links as (select dx.doc_id as a, dy.doc_id as b from pairs join n nx on nx.rid = x join n ny on ny.rid = y
+  join d dx on dx.rid = x join d dy on dy.rid = y where 100 * c >= 80 * (nx.n + ny.n - c)),
+reach as (select distinct doc_id as a, doc_id as b from d union select reach.a, links.b from reach join links on links.a = reach.b),
+comp as (select a, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id from d left join n using (rid) left join comp on comp.a = doc_id
+"""
