@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import jaccard_join, langid, quality_qda, quality_rules, sharding
+from loomframe.llm import jaccard_join, langid, packing, quality_qda, quality_rules, sharding, substring_dedup
 from loomframe.llm.common import written
-from loomframe.llm.sql import OP1_SQL, OP2_SQL, OP7_SQL
+from loomframe.llm.sql import OP1_SQL, OP2_SQL, OP7_SQL, OP10_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return sharding.place(docs, "doc_id").select("doc_id", "source", "slot", "shard")
@@ -50,16 +54,25 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(fold("doc_id", 5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ";")
+    return found.select("doc_id", F.col("clean_text").alias("text"), spans.alias("spans"), "n_units", "n_removed", "removed_words")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL = {
     "op1_quality_rules": OP1_SQL,
     "op2_jaccard_join": OP2_SQL,
     "op7_sharding": OP7_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }

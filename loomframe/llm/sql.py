@@ -74,3 +74,35 @@ reach as (select distinct doc_id as a, doc_id as b from d union select reach.a,
 comp as (select a, min(b) as component_id from reach group by a)
 select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id from d left join n using (rid) left join comp on comp.a = doc_id
 """
+
+_FORM = r"trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
+
+OP10_SQL = rf"""
+with d as (select row_number() over () as rid, doc_id, text from documents),
+cutup as (select rid, doc_id, string_split(replace(regexp_replace(text, '([.!?])([\x20\x09\x0B-\x0D])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) as ps from d where text is not null),
+u as (select rid, doc_id, k, ps[k] as piece from cutup, unnest(range(1, len(ps) + 1)) as r(k)),
+f as (select *, {_FORM} as form, length(piece) as n, sum(length(piece)) over (partition by rid order by k) - length(piece) as start from u),
+solid as (select *, len(string_split(form, ' ')) as words,
+  (doc_id, k) <> first_value((doc_id, k)) over (partition by form order by doc_id, k) as again from f where form <> ''),
+isle as (select *, sum(case when again then 0 else 1 end) over (partition by rid order by k rows unbounded preceding) as island from solid),
+runs as (select rid, island, min(k) as a, max(k) as b, sum(words) as words, count(*) as units, min(start) as s, max(start + n) as e from isle where again group by rid, island having sum(words) >= 25),
+gone as (select rid, string_agg(s || '-' || e, ';' order by s) as spans, sum(units) as n_removed, sum(words) as removed_words from runs group by rid),
+kept as (select f.rid, string_agg(piece, '' order by k) as clean from f where not exists (select 1 from runs r where r.rid = f.rid and f.k between r.a and r.b) group by f.rid),
+counted as (select rid, count(*) as n_units from solid group by rid)
+select d.doc_id, case when d.text is not null then coalesce(clean, '') end as text, coalesce(spans, '') as spans,
+  coalesce(n_units, 0)::bigint as n_units, coalesce(n_removed, 0)::bigint as n_removed, coalesce(removed_words, 0)::bigint as removed_words
+from d left join gone using (rid) left join kept using (rid) left join counted using (rid)
+"""
+
+OP6_SQL = """
+with recursive v as (select row_number() over () as rid, vec_id, label, embedding::double[] as e from embeddings),
+ok as (select * from v where label is not null and e is not null and len(e) > 0
+  and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.rid, a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.rid <> b.rid and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+n as (select rid, count(*) as n from links group by rid),
+reach as (select distinct vec_id as a, vec_id as b from v union select reach.a, links.b from reach join links on links.a = reach.b),
+comp as (select a, min(b) as component_id from reach group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from v left join n using (rid) left join comp on comp.a = vec_id
+"""
