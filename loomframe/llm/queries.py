@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import jaccard_join, langid, packing, quality_qda, quality_rules, sharding, substring_dedup
+from loomframe.llm import chat, embed_dedup, jaccard_join, langid, mixing, packing, quality_qda, quality_rules, sharding, substring_dedup
 from loomframe.llm.common import written
-from loomframe.llm.sql import OP1_SQL, OP2_SQL, OP7_SQL, OP10_SQL
+from loomframe.llm.sql import OP1_SQL, OP2_SQL, OP4_SQL, OP6_SQL, OP7_SQL, OP10_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,26 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
+    found = chat.read_back(chat.prefix_trees(turns))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).by_document()
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return sharding.place(docs, "doc_id").select("doc_id", "source", "slot", "shard")
@@ -64,6 +84,9 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
     "op9_quality_classifier": op9_quality_classifier,
@@ -73,6 +96,8 @@ QUERIES = {
 SQL = {
     "op1_quality_rules": OP1_SQL,
     "op2_jaccard_join": OP2_SQL,
+    "op4_chat_formatting": OP4_SQL,
+    "op6_embedding_dedup": OP6_SQL,
     "op7_sharding": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
 }

@@ -106,3 +106,14 @@ comp as (select a, min(b) as component_id from reach group by a)
 select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
 from v left join n using (rid) left join comp on comp.a = vec_id
 """
+
+_LEN = "(length({0}) + length({0}) - length(translate({0}, '\\<[{1}', '')))"
+
+OP4_SQL = rf"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, role as r0, text as t0 from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', ''),
+g as (select conv_id, count(*)::bigint as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, r0 nulls first, t0 nulls first) as turns,
+  coalesce(string_agg(text, '' order by turn nulls first, r0 nulls first, t0 nulls first) filter (role = 'assistant'), '') as loss,
+  sum({_LEN.format("text", "")} + {_LEN.format("role", chr(10))} + 24)::bigint as formatted_chars from c group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g
+"""
