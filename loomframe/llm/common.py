@@ -53,7 +53,6 @@ def words_of(text: Column) -> Column:
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(offsets, words): the words of text i are words[offsets[i]:offsets[i + 1]]. Null: none."""
-    texts = texts.cast(pa.large_string())
     parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     if isinstance(parts, pa.ChunkedArray):
         parts = parts.combine_chunks()

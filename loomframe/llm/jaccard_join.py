@@ -51,7 +51,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     import pyarrow.compute as pc
 
-    offsets, words = split_words(pc.ascii_lower(texts.cast(pa.large_string())))
+    offsets, words = split_words(pc.ascii_lower(texts))
     coded = words.dictionary_encode()
     known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     hashes = known[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.uint64)

@@ -45,7 +45,7 @@ _END[0x80:] = False
 
 def statistics(texts: pa.Array) -> np.ndarray:
     """A row of transformed statistics for each text."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts, "")
     size = np.asarray(pc.binary_length(texts)).astype(np.int64)
     raw = np.frombuffer(b"\n".join([t.as_buffer().to_pybytes() for t in texts] + [b""]), np.uint8)
     starts = np.concatenate([[0], np.cumsum(size + 1)])
