@@ -14,8 +14,8 @@ k or k + 1 times with k + 1 <= most, so no document exceeds `most` times its siz
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source of
 its own; rows that share a doc_id are told apart by their text, and equal rows are one document that
-counts once for each row; an empty table gives an empty table; other columns are kept by `mix` and
-clashing names raise. One row for each source reaches the driver.
+counts once for each row; an empty table gives an empty table; other columns are kept
+by `texts`. One row for each source reaches the driver.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import SPACE, dropped, written
+from loomframe.llm.common import SPACE, sliced, written
 
 WEIGHTS, MOST, BLOCK, SHARD_SLOTS, SEED = (5, 2, 1), 3, 128, 4096, 7
 #: Documents of a source whose running word counts one task sums.
@@ -128,11 +128,11 @@ class Mix:
         self.figures = spark.createDataFrame(rows, "k int, source string, source_size long, target double, buckets long")
         self.pieces = self._pieces()
         self.slots = self._slots(spark, total, shard_slots, seed)
-        #: (shard, slot, k, pass, block, row, doc_id, first, n): what each slot of the output holds
+        #: (shard, slot, k, turn, block, doc_id, mark, row, first, n): what each slot of the output holds
         self.taken = self.slots.join(self.pieces, ["k", "block"])
 
     def _pieces(self) -> DataFrame:
-        """(k, block, doc_id, mark, first, n): the words of each block, by document."""
+        """(k, block, doc_id, mark, row, first, n): the words of each block, by document; row is the place of a document in its stream."""
         rows = self.sized.join(F.broadcast(self.figures), self.sized["source"].eqNullSafe(self.figures["source"])).drop(self.figures["source"])
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.col("buckets")))
         order = [F.xxhash64("doc_id", "mark", F.lit(1)), F.col("doc_id"), F.col("mark")]
@@ -143,7 +143,7 @@ class Mix:
         size = F.lit(self.block)
         rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / size), F.floor((F.col("begin") + F.col("size") - 1) / size))))
         first = F.greatest(F.col("block") * size - F.col("begin"), F.lit(0))
-        return rows.select("k", "block", "doc_id", "mark", first.alias("first"), (F.least((F.col("block") + 1) * size - F.col("begin"), F.col("size")) - first).alias("n"))
+        return rows.select("k", "block", "doc_id", "mark", F.col("begin").alias("row"), first.alias("first"), (F.least((F.col("block") + 1) * size - F.col("begin"), F.col("size")) - first).alias("n"))
 
     def _slots(self, spark, total: np.ndarray, shard_slots: int, seed: int) -> DataFrame:
         shards, blocks = max(1, -(-int(total.sum()) // shard_slots)), self.blocks
@@ -179,3 +179,37 @@ class Mix:
         n = F.coalesce("taken", F.lit(0))
         share = F.floor(n / F.col("copies")) + F.when(F.col("c") <= n % F.col("copies"), 1).otherwise(0)
         return joined.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
+
+    def texts(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+        """The rows of docs (the same as were given) as the mix takes them: for each row and pass one
+        row for each run of adjoining blocks, with `text` cut to the run's words and `n_chars` to it."""
+        # Runs: within a row and pass, blocks whose numbers follow each other.
+        order = Window.partitionBy("doc_id", "mark", "k", "turn", "row").orderBy("first")
+        parts = self.taken.withColumn("run", F.col("first") - F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        runs = parts.groupBy("doc_id", "mark", "k", "turn", "row", "run").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+        lists = runs.groupBy("doc_id", "mark", "k").agg(F.collect_list(F.struct("turn", "row", "first", "n")).alias("_runs"))
+        lists = written(lists.join(F.broadcast(self.figures.select("k", "source")), "k").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("source").alias("_s"), "_runs"), "runs")
+        names = docs.columns
+        keyed = docs.withColumn("_mark", F.xxhash64(F.col(f"`{text}`")))
+        # One row carries all runs of rows that are equal.
+        one = keyed.dropDuplicates([doc_id, source, "_mark"])
+        same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")) & F.col(f"`{source}`").cast("string").eqNullSafe(F.col("_s"))
+        rows = one.join(lists, same).select(*[F.col(f"`{c}`") for c in names], "_runs")
+        at_text, at_chars = names.index(text), names.index("n_chars") if "n_chars" in names else -1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, text, 2 << 20):
+                own, out = [], []
+                for i, (t, parts) in enumerate(zip(batch.column(text).to_pylist(), batch.column("_runs").to_pylist())):
+                    ends = [m.span() for m in WORD.finditer(t)]
+                    for p in sorted(parts, key=lambda p: (p["turn"], p["row"], p["first"])):
+                        lo, hi = p["first"], p["first"] + p["n"]
+                        own.append(i)
+                        out.append(t[(ends[lo][0] if lo else 0) : (ends[hi - 1][1] if hi < len(ends) else len(t))])
+                columns = [batch.column(c).take(pa.array(own, pa.int64())) for c in names]
+                columns[at_text] = pa.array(out, pa.string())
+                if at_chars >= 0:
+                    columns[at_chars] = pa.array([len(t) for t in out], pa.int64())
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        return rows.mapInArrow(run, docs.schema)

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomframe.llm.common import mixed, sliced, split_words
 
@@ -171,3 +172,18 @@ def scored(features: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return features.select("doc_id", "x").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def judged(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with score and predicted, in one pass over the texts; a clash of names raises."""
+    clash = {"score", "predicted"} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"the input already has {sorted(clash)}")
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text):
+            score = shared.value.score(statistics(batch.column(text)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
