@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -67,6 +68,7 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
 
 @functools.cache
 def tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
