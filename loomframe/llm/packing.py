@@ -19,7 +19,10 @@ fixed by the written order; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,51 +37,82 @@ from loomframe.llm.common import dropped, sliced, split_words, written
 SIZE, END_ID = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks a worker remembers between batches.
-MOST_KNOWN = 1 << 19
+MOST_KNOWN = 800_000
+
+
+def stem_of(chunk: str) -> str:
+    """The chunk without closing punctuation, where the tokenizer's splits certainly fall before it."""
+    stem = chunk.rstrip(".,!?;:")
+    return stem if stem and "'" not in chunk and stem[-1].isalnum() and ord(stem[-1]) < 0x250 else chunk
 
 
 class Encoder:
-    """Token ids of many texts, encoding each distinct chunk once."""
+    """Token ids of many texts, encoding each distinct chunk once; keeps what it knows in flat arrays."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most_known: int = MOST_KNOWN) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.tokenizer, self.most_known = Tokenizer.from_file(path), most_known
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.begin, self.size = array("I"), array("q"), array("i")
+
+    def add(self, chunk: str, ids: list[int]) -> None:
+        self.known[chunk] = len(self.begin)
+        self.begin.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
+
+    def learn(self, chunks: list[str]) -> None:
+        stems = {c: stem_of(c) for c in chunks}
+        new = [c for c in dict.fromkeys([*stems.values(), *(c[len(s) :] for c, s in stems.items() if s != c)]) if c not in self.known]
+        for at in range(0, len(new), 1 << 13):
+            some = new[at : at + (1 << 13)]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.add(c, e.ids)
+        for c, s in stems.items():
+            if s != c:
+                parts = [self.known[s], self.known[c[len(s) :]]]
+                self.add(c, [i for k in parts for i in self.flat[self.begin[k] : self.begin[k] + self.size[k]]])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ends, ids): ids of text k stop before ends[k]; no end ids."""
         offsets, words = split_words(texts)
-        coded = words.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > MOST_KNOWN:
-            self.known.clear()
-            new = chunks
-        for at in range(0, len(new), 1 << 14):
-            some = new[at : at + (1 << 14)]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, np.uint32)
         if not len(words):
             return np.zeros(len(texts), np.int64), np.zeros(0, np.uint32)
-        each = [self.known[c] for c in chunks]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.concatenate(each)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        # The tokenizer folds case itself, but knows special tokens, which have "<|", by their case.
+        if not pc.any(pc.match_substring(words, "<|")).as_py():
+            words = pc.ascii_lower(words)
+        coded = words.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        if len(self.known) > self.most_known:
+            self.clear()
+        self.learn([c for c in chunks if c not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        begin, size = np.array(self.begin, np.int64)[at], np.array(self.size, np.int64)[at]
         which = np.asarray(coded.indices)
         n = size[which]
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])]
+        ids = np.array(self.flat, np.uint32)[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])]
         return upto[offsets[1:]], ids
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """A worker process's encoder, kept between tasks; one thread, as a task has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return Encoder(path)
+
+
 def pieces_of(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids): every piece of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        known = encoder(path)
         for batch in sliced(batches, "text", 4 << 20):
-            ends, ids = encoder.encode(batch.column("text"))
+            ends, ids = known.encode(batch.column("text"))
             row, piece, start, length, crc = [], [], [], [], []
             lo = 0
             for k, hi in enumerate(ends.tolist()):
