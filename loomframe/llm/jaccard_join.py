@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import by_group, dropped, mixed, sliced, split_words, written
+from loomframe.llm.common import by_group, dropped, mixed, sliced, split_words, tidy, written
 from loomframe.llm.components import Forest, components
 
 WIDTH, PERCENT = 5, 80
@@ -90,8 +90,9 @@ def marks(values: DataFrame, bits: int) -> np.ndarray:
     slot = F.col(values.columns[0]).bitwiseAND(F.lit(bits - 1))
     rows = values.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast({values.columns[0]} & 63L as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(bits // 64, np.int64)
-    for r in rows.toLocalIterator():
-        out[r["at"]] = r["bits"]
+    with tidy(values.sparkSession):
+        for r in rows.collect():
+            out[r["at"]] = r["bits"]
     return out.view(np.uint8)
 
 
@@ -323,6 +324,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     table = written(signed(docs, marks(often, map_bits), width, percent), "signed")
     classes = table.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first(F.struct("n", "prefix", "bits")).alias("s"))
     classes = written(classes.select("fp", "node", "s.*"), "classes")
+    rows = written(table.select("doc_id", F.col("n").alias("n_shingles"), "fp"), "rows")
+    dropped(table)
     members = tree_members(classes, percent)
     sketch = classes.select("node", "n", "bits")
 
@@ -349,7 +352,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     found = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     label = classes.select("fp", F.col("node")).join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     label = written(label, "labels")
-    dropped(members, left, sets, links, more)
-    out = table.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(label, "fp", "left")
+    dropped(classes, members, left, sets, links, more)
+    out = rows.join(label, "fp", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "fp")
