@@ -1,0 +1,6 @@
+"""Column functions that Spark lacks, as expressions that stay in the JVM."""
+
+from loomframe.functions.numbers import gcd, lcm
+from loomframe.functions.vectors import cosine, dot, l2_distance, norm
+
+__all__ = ["cosine", "dot", "gcd", "l2_distance", "lcm", "norm"]

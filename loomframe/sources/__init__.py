@@ -1,5 +1,6 @@
 """Readers and writers."""
 
+from loomframe.sources.files import read, stream, write, write_bucketed
 from loomframe.sources.tables import TABLES, read_table, register_views
 
-__all__ = ["TABLES", "read_table", "register_views"]
+__all__ = ["TABLES", "read", "read_table", "register_views", "stream", "write", "write_bucketed"]

@@ -1,0 +1,5 @@
+"""Structured Streaming twins of the event-time operators."""
+
+from loomframe.streaming.events import deduplicated, interval_pairs, run_available, session_counts, window_sums
+
+__all__ = ["deduplicated", "interval_pairs", "run_available", "session_counts", "window_sums"]
