@@ -10,8 +10,9 @@
 4. Trees hold OR-combined bitmaps and size ranges. Dual traversal drops node pairs whose largest
    possible overlap is too small. What is left is verified on whole shingle sets.
 5. Verification emits only links that join two sets of documents (a spanning forest), never all
-   pairs of a group; a first round over each document's largest tree lets the second one skip all
-   pairs that are already in one component. No pair of different components is skipped.
+   pairs of a group. In the first rounds each document takes part in its largest tree only; the last
+   one takes all that is left, without the pairs that are in one component by then or were compared
+   in a tree that both picked. No other pair is skipped.
 
 Defined results: null, empty or blank texts have no shingles and link with nothing; texts of fewer
 words than a shingle are one shingle; rows with equal doc_id count as one document; a null doc_id
@@ -201,28 +202,33 @@ class SignatureTree:
         return self.order[p], self.order[q]
 
 
-def allowed(i: np.ndarray, j: np.ndarray, home: np.ndarray, side: np.ndarray, across: bool, comp: np.ndarray) -> np.ndarray:
-    """Pairs that this task answers for: not two visitors, one of each chunk, of different components."""
+def allowed(group: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs that this task answers for: not two visitors, one of each chunk, of different components,
+    and not compared in a round before, as two that picked the same tree of this size range were."""
+    home, side, comp = (np.asarray(group[c]) for c in ("home", "side", "comp"))
     ok = (home[i] | home[j]) & (comp[i] != comp[j])
-    return ok & (side[i] != side[j]) if across else ok
+    for pick in PICKS:
+        token = np.asarray(group[pick])
+        ok &= token[i] != token[j]
+    return ok & (side[i] != side[j]) if group["lo"][0].as_py() != group["hi"][0].as_py() else ok
 
 
 KEYS = ["token", "k", "lo", "hi"]
-MEMBER = "token long, k int, lo int, hi int, node long, home boolean, side int, size long, comp long"
+#: Rounds in which each document compares itself in one tree only, before all that is left. A pick is a
+#: tree's token; a document that hasn't picked has its own node there, which no other has.
+PICKS = ["p1", "p2"]
+MEMBER = "token long, k int, lo int, hi int, node long, home boolean, side int, size long, comp long, p1 long, p2 long"
 
 
 def prune(percent: int):
     """For by_group: the members that have a possible partner in another component."""
 
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, comp, n = (np.asarray(group[c]) for c in ("node", "comp", "n"))
-        home, side = np.asarray(group["home"]), np.asarray(group["side"])
-        across = group["lo"][0].as_py() != group["hi"][0].as_py()
-        i, j = SignatureTree(n, group["bits"].to_pylist()).pairs(percent)
-        fit = allowed(i, j, home, side, across, comp)
+        i, j = SignatureTree(np.asarray(group["n"]), group["bits"].to_pylist()).pairs(percent)
+        fit = allowed(group, i, j)
         use = np.unique(np.concatenate([i[fit], j[fit]]))
         if len(use):
-            out = group.select([*KEYS, "node", "home", "side", "size", "comp"]).take(pa.array(use)).combine_chunks()
+            out = group.select([*KEYS, "node", "home", "side", "size", "comp", *PICKS]).take(pa.array(use)).combine_chunks()
             yield from out.to_batches()
 
     return by_group(KEYS, None, work)
@@ -233,12 +239,10 @@ def verify(percent: int):
 
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
         node, comp = np.asarray(group["node"]), np.asarray(group["comp"]).copy()
-        home, side = np.asarray(group["home"]), np.asarray(group["side"])
-        across = group["lo"][0].as_py() != group["hi"][0].as_py()
         sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
         n = np.array([len(s) for s in sets], np.int64)
         i, j = SignatureTree(n, [signature(s) for s in sets]).pairs(percent)
-        fit = allowed(i, j, home, side, across, comp)
+        fit = allowed(group, i, j)
         i, j = i[fit], j[fit]
         if not len(i):
             return
@@ -332,7 +336,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     def pruned(rows: DataFrame) -> DataFrame:
         return written(grouped(rows.join(sketch, "node"), prune(percent), MEMBER), "pruned")
 
-    left = pruned(members.withColumn("comp", F.col("node")))
+    left = pruned(members.withColumns({c: F.col("node") for c in ("comp", *PICKS)}))
     nodes = left.select("node").distinct()
     sets = sets_of(docs, marks(nodes, map_bits), width).dropDuplicates(["doc_id", "fp"]).withColumnRenamed("doc_id", "node").drop("n")
     sets = written(sets.join(nodes, "node", "left_semi").select("node", "shingles"), "sets")
@@ -340,19 +344,21 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     def verified(rows: DataFrame) -> DataFrame:
         return written(grouped(rows.join(sets, "node"), verify(percent), "a long, b long"), "verified")
 
-    first = left.groupBy("node").agg(F.max(F.struct("size", *KEYS, "home", "side", "comp")).alias("s")).select("node", "s.*")
-    links = verified(first)
-    stars = components(links)
-    moved = members.join(stars, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    # A tree all in one component has nothing left to find.
-    open_ = moved.groupBy(*KEYS).agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d").select(*KEYS)
-    alive = left.select("node").distinct()
-    moved = moved.join(alive, "node", "left_semi").join(open_, KEYS, "left_semi")
-    more = verified(pruned(moved))
-    found = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    found = None
+    for pick in PICKS:
+        picked = written(left.groupBy("node", "k").agg(F.max(F.struct("size", "token")).alias("p")).select("node", "k", F.col("p.token").alias("token")), "picks")
+        links = verified(left.join(picked, ["node", "k", "token"]))
+        old, found = found, components(links if found is None else links.union(found))
+        moved = left.drop("comp", pick).join(picked.withColumnRenamed("token", pick), ["node", "k"]).join(found, "node", "left")
+        after = pruned(moved.withColumn("comp", F.coalesce("component", "node")).drop("component"))
+        dropped(left, picked, links, *([old] if old is not None else []))
+        left = after
+    links = verified(left)
+    old, found = found, components(links.union(found))
+    dropped(members, left, links, old)
     label = classes.select("fp", F.col("node")).join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     label = written(label, "labels")
-    dropped(classes, members, left, sets, links, more)
+    dropped(classes, sets, found)
     out = rows.join(label, "fp", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "fp")
