@@ -129,7 +129,8 @@ class Mix:
         self.pieces = self._pieces()
         self.slots = self._slots(spark, total, shard_slots, seed)
         #: (shard, slot, k, turn, block, doc_id, mark, row, first, n): what each slot of the output holds
-        self.taken = self.slots.join(self.pieces, ["k", "block"])
+        # Neither side has a size bound, and that of the slots can't be estimated: never broadcast.
+        self.taken = self.slots.join(self.pieces.hint("merge"), ["k", "block"])
 
     def _pieces(self) -> DataFrame:
         """(k, block, doc_id, mark, row, first, n): the words of each block, by document; row is the place of a document in its stream."""
