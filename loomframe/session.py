@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,3 +29,18 @@ def session(name: str = "loomframe", master: str | None = None, **more: str) ->
     for key, value in (SETTINGS | {f"spark.{k.replace('_', '.')}": v for k, v in more.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless their path has it; once a context."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(context, "_loomframe_shipped", False):
+        return
+    there = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd()}
+    if root not in there:
+        file = Path(tempfile.mkdtemp(prefix="loomframe-")) / "loomframe.zip"
+        with zipfile.ZipFile(file, "w") as out:
+            for source in sorted((root / "loomframe").rglob("*.py")):
+                out.write(source, source.relative_to(root))
+        context.addPyFile(str(file))
+    context._loomframe_shipped = True
