@@ -24,9 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = f"file://{tempfile.gettempdir()}/checkpoints"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 @contextlib.contextmanager
