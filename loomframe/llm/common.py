@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,16 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
+#: In force while a query is written: its shuffle files go when it ends instead of when the driver
+#: collects garbage, and Python workers get smaller batches of whole texts.
+LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Within it, a query's shuffle files go when the query ends instead of when the driver collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    """Within it, LEAN holds."""
+    before = {k: spark.conf.get(k, None) for k in LEAN}
+    for k, v in LEAN.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -75,7 +82,14 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return upto[offsets] - upto[offsets[0]], words.slice(offsets[0], offsets[-1] - offsets[0]).filter(pa.array(full[offsets[0] : offsets[-1]]))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def given_back() -> None:
+    """Return a worker's freed memory to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about most_bytes of the column, and one row at least."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
@@ -85,6 +99,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             to = max(at + 1, int(np.searchsorted(upto, base + most_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    given_back()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
