@@ -18,7 +18,7 @@ from loomframe.llm.common import SPACE, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: A kept line ends in one of these.
-TERMINALS = r"""[.!?…:;"'”’»)\]][\x20\x09-\x0D]*$"""
+TERMINALS = r"""[.!?…:;"'”’»)\]。！？；：」』؟।][\x20\x09-\x0D]*$"""
 BOILERPLATE = ("lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "log in", "sign up", "subscribe now", "read more")
 NAVIGATION = "|»›•"
 

@@ -24,7 +24,7 @@ lw as (select rid, k, line, len({WORDS.format("line")}) as n from ls),
 judged as (select *, case when n = 0 then null
   when {_count("line", "|»›•")} >= 2 and {_count("line", "|»›•")} * 6 >= n then 'navigation'
   when {_count("line", "#*$%&|<>")} * 10 > n * 3 or ({_count("line", "!?")} * 10 > n * 3 and {_count("line", "!?")} > 1)
-    or not regexp_matches(line, '[.!?…:;"''”’»)\]][\x20\x09-\x0D]*$') then 'punctuation'
+    or not regexp_matches(line, '[.!?…:;"''”’»)\]。！？；：」』؟।][\x20\x09-\x0D]*$') then 'punctuation'
   when {_STOCK} then 'boilerplate' end as rule from lw),
 docs as (select rid, sum(n) filter (rule is not null) as lost, count(*) filter (rule is not null) as failed,
   count(*) filter (n > 0) - count(distinct case when n > 0 then line end) as dups,
