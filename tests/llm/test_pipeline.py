@@ -1,48 +1,122 @@
+"""The pipeline's stages against brute force over a small corpus, and its odd rows."""
+
+import random
 import zlib
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+from test_jaccard_join import brute as near_classes
+from test_packing import best_fit
+from test_substring_dedup import brute as cut_rows
+from tokenizers import Tokenizer
+
 import corpus_pipeline as P
-from loomframe.llm import jaccard_join, mixing
-from loomframe.llm.queries import QUERIES
+from loomframe.llm import mixing, quality_qda
+from loomframe.llm.mixing import WORD
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def test_stages_over_the_small_table(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names = [n for n, _ in P.STAGES]
-    assert names == ["quality", "near_dups", "repeats", "mixture", "packing"]
-    state = docs
-    seen = {}
-    for name, stage in P.STAGES:
-        state = P.written(stage(spark, state, sf_dir), f"test-{name}")
-        if name != "packing":
-            assert state.columns == P.COLUMNS
-        seen[name] = state
-    # quality: what the classifier's own query keeps
-    kept = {r.doc_id for r in QUERIES["op9_quality_classifier"](spark, sf_dir).where("predicted = 1").collect()}
-    assert {r.doc_id for r in seen["quality"].collect()} == kept
-    # near duplicates: one row for each component of what came in
-    left = seen["near_dups"].collect()
-    classes = jaccard_join.jaccard_join(seen["quality"]).select("doc_id", "component_id", "n_shingles").collect()
-    assert sorted(r.doc_id for r in left) == sorted({r.component_id for r in classes if r.n_shingles} | {r.doc_id for r in classes if not r.n_shingles})
-    # the mixture's words near the targets, packed without loss
-    sizes = [r.s for r in seen["repeats"].groupBy("source").agg(P.F.sum(mixing.word_count(P.F.col("text"))).alias("s")).orderBy("source").collect()]
-    taken = [r.s for r in seen["mixture"].groupBy("source").agg(P.F.sum(mixing.word_count(P.F.col("text"))).alias("s")).orderBy("source").collect()]
-    for goal, got in zip(mixing.targets(sizes), taken):
-        assert abs(goal - got) <= 2 * mixing.BLOCK
+def words(text):
+    return len(WORD.findall(text or ""))
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in df.collect()), key=str)
+
+
+def test_each_stage_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*P.COLUMNS)
+    raw = rows_of(docs)
+
+    # quality: moments and scores by hand from all training labels
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    x = quality_qda.statistics(pa.array([r[1] for r in raw], pa.string()))
+    y = np.array([labels.get(r[0], -1) for r in raw])
+    sums = [(np.count_nonzero(y == k), x[y == k].sum(axis=0), x[y == k].T @ x[y == k]) for k in (0, 1)]
+    score = quality_qda.Model(*(np.array([s[i] for s in sums]) for i in range(3))).score(x)
+    good = [r for r, s in zip(raw, score) if s >= 0.3]
+    state = P.written(P.quality(spark, docs, sf_dir), "test")
+    assert rows_of(state) == sorted(good, key=str) and len(good) < len(raw)
+
+    # near duplicates: all pairs compared
+    classes = near_classes([(r[0], r[1]) for r in good])
+    first = [r for r in good if not classes[r[0], r[1]][0] or classes[r[0], r[1]][1] == r[0]]
+    state = P.written(P.near_dups(spark, state, sf_dir), "test")
+    assert rows_of(state) == sorted(first, key=str) and len(first) < len(good)
+
+    # repeats: every unit's first occurrence by a dictionary
+    clean = {d: (t, s) for d, t, s in cut_rows([(r[0], r[1]) for r in first])}
+    rest = [(r[0], clean[r[0]][0], r[2], r[3], len(clean[r[0]][0]) if clean[r[0]][1] else r[4]) for r in first if words(clean[r[0]][0]) or not clean[r[0]][1]]
+    state = P.written(P.repeats(spark, state, sf_dir), "test")
+    assert rows_of(state) == sorted(rest, key=str)
+
+    # mixture: the blocks that each source's passes and permutations name, from its stream in order
+    mix = mixing.Mix(state)
+    order = {(r.doc_id, r.mark): r.place for r in mix.sized.select("doc_id", "mark", P.F.xxhash64("doc_id", "mark", P.F.lit(1)).alias("place")).collect()}
+    mark = {r.doc_id: r.mark for r in mix.sized.collect()}
+    assert len(mark) == len(rest)
+    want = {}
+    for k, source in enumerate(mix.sources):
+        own = sorted((order[r[0], mark[r[0]]], r[0], words(r[1])) for r in rest if r[3] == source)
+        stream = [(d, i) for _, d, n in own for i in range(n)]
+        n = mix.blocks[k]
+        slots = [r for r in mix.slots.where(f"k = {k}").collect()]
+        assert abs(len(slots) - mix.targets[k] * n / max(1, mix.sizes[k])) <= 1
+        for turn in {r.turn for r in slots}:
+            got = sorted(r.block for r in slots if r.turn == turn)
+            count = min(n, len(slots) - turn * n)
+            key = mixing.SEED * 1_000_003 + k * 101 + turn
+            assert got == sorted(mixing.permuted(np.arange(count), n, key).tolist())
+        for r in slots:
+            for d, i in stream[r.block * mixing.BLOCK : (r.block + 1) * mixing.BLOCK]:
+                want.setdefault(d, []).append((r.turn, i))
+    spans = {r[0]: [m.span() for m in WORD.finditer(r[1] or "")] for r in rest}
+    whole = {r[0]: r for r in rest}
+    mixed = []
+    for d, taken in want.items():
+        taken.sort()
+        runs = []
+        for turn, i in taken:
+            if runs and runs[-1][0] == turn and runs[-1][2] == i - 1:
+                runs[-1][2] = i
+            else:
+                runs.append([turn, i, i])
+        for _, a, b in runs:
+            t = whole[d][1][(spans[d][a][0] if a else 0) : (spans[d][b][1] if b + 1 < len(spans[d]) else None)]
+            mixed.append((d, t, whole[d][2], whole[d][3], len(t)))
+    state = P.written(P.mixture(spark, state, sf_dir), "test")
+    assert rows_of(state) == sorted(mixed, key=str)
+
+    # packing: ids of whole texts, as few sequences as row-wise best fit
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = []
+    for d, t, *_ in mixed:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        pieces += [(d, p // 2048, p, len(part := ids[p : p + 2048]), zlib.crc32(np.array(part, "<u4").tobytes())) for p in range(0, len(ids), 2048)]
+    got = P.pack(spark, state, sf_dir).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(pieces)
     held = {}
-    for r in sorted(seen["packing"].collect(), key=lambda r: (r.sequence_id, r.offset)):
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == held.get(r.sequence_id, 0)
         held[r.sequence_id] = r.offset + r.length
-    assert max(held.values()) <= 2048
+    assert max(held.values()) <= 2048 and len(held) == best_fit([p[3] for p in pieces], 2048)
 
 
 def test_odd_rows(spark, sf_dir):
-    prose = " ".join(f"plain{zlib.crc32(str(k).encode()) % 977} word" for k in range(80)) + "."
+    rng = random.Random(3)
+    prose = " ".join(f"plain{rng.randrange(10**6)} word" for k in range(80)) + "."
     rows = [(1, prose, "en", "a", None), (1, prose, "en", "a", None), (2, prose, None, None, 5), (None, prose + " x", "en", "b", 1), (3, None, None, None, None), (4, "", "en", "a", 0), (5, "tiny text", "en", "c", 9)]
     docs = spark.createDataFrame(rows, SCHEMA)
     near = P.near_dups(spark, docs, sf_dir).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in near) == [(False, 1), (False, 3), (False, 4), (False, 5), (True, 0)]
-    for _, stage in P.STAGES:
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, sf_dir).columns == (P.COLUMNS if name != "packing" else ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
         assert stage(spark, docs, sf_dir).collect() is not None
         assert stage(spark, docs.limit(0), sf_dir).collect() == []
+
+
+def test_run_and_contract(spark, sf_dir):
+    assert [n for n, _ in P.STAGES] == ["quality", "near_dups", "repeats", "mixture", "packing"] and P.ORACLE_SQL is None
+    assert P.run(spark, sf_dir).count() > 0
