@@ -66,6 +66,21 @@ def filled_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.gap_fill(daily, ["user_id"], "day", "1 day", ["n"]).withColumn("day", F.col("day").cast("string"))
 
 
+def signup_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_type")
+    return O.funnel(events, ["user_id"], "ts", "event_type", ["signup", "click", "purchase"], 2 * 86_400)
+
+
+def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    L.tokens(spark)
+    read_table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
+    return spark.sql("select item_id, t.place, t.token from benchmark, lateral loomframe_tokens(text) t")
+
+
+def trimmed_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(L.trimmed_mean()("value"), 6).alias("mean"))
+
+
 def gcd_lcm(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("p_partkey"), F.col("p_size").cast("long")
     return read_table(spark, sf_dir, "part").select("p_partkey", L.gcd(a, b).alias("g"), L.lcm(a, b).alias("l"))
@@ -103,7 +118,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     asof_purchase_click, interval_error_after_signup, salted_lines, groups_frame_orders, qualify_first_events, sessions, tumbling_windows, sliding_windows,
-    filled_days, gcd_lcm, vector_to_first, stream_tumbling, stream_dedup,
+    filled_days, signup_funnel, word_rows, trimmed_means, gcd_lcm, vector_to_first, stream_tumbling, stream_dedup,
 )}
 
 _TUMBLING = "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, max(value) as top from events group by 1, 2"
@@ -132,6 +147,18 @@ SQL = {
         with daily as (select user_id, ts::date as day, count(*) as n from events where event_type = 'signup' group by 1, 2),
         grid as (select user_id, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from daily group by user_id)
         select user_id, day::string as day, last_value(n ignore nulls) over (partition by user_id order by day) as n from grid left join daily using (user_id, day)""",
+    "signup_funnel": """
+        with s as (select user_id, ts from events where event_type = 'signup'),
+        a as (select s.user_id, s.ts, min(c.ts) as c from s left join events c on c.user_id = s.user_id and c.event_type = 'click' and c.ts >= s.ts group by all),
+        b as (select a.user_id, a.ts, a.c, min(p.ts) as p from a left join events p on p.user_id = a.user_id and p.event_type = 'purchase' and p.ts >= a.c group by all),
+        r as (select user_id, 1 + (c - ts <= interval 2 day)::int + (p - ts <= interval 2 day)::int as reached from (select user_id, ts, coalesce(c, ts + interval 9 day) as c, coalesce(p, ts + interval 9 day) as p from b))
+        select u.user_id, coalesce(max(reached), 0)::int as reached from (select distinct user_id from events) u left join r using (user_id) group by 1""",
+    "word_rows": """
+        with w as (select item_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') as ws from benchmark)
+        select item_id, (k - 1)::int as place, ws[k] as token from w, unnest(range(1, len(ws) + 1)) as r(k)""",
+    "trimmed_means": """
+        with r as (select event_type, value, row_number() over (partition by event_type order by value) as k, count(*) over (partition by event_type) as n from events)
+        select event_type, round(avg(value), 6) as mean from r where k > floor(n * 0.1) and k <= n - floor(n * 0.1) group by 1""",
     "gcd_lcm": "select p_partkey, gcd(p_partkey, p_size)::bigint as g, lcm(p_partkey, p_size)::bigint as l from part",
     "vector_to_first": """
         with f as (select label, arg_min(embedding, vec_id) as first from embeddings group by 1)

@@ -68,3 +68,10 @@ def test_empty_inputs(spark):
     e = spark.createDataFrame([], "k int, t timestamp_ntz, v int")
     assert O.sessionize(e, ["k"], "t", 5).collect() == [] and O.asof_join(e, e.select("k", "t", F.col("v").alias("w")), "t", ["k"], ["w"]).collect() == []
     assert O.top_k(e, ["k"], [F.col("v")], 3).collect() == [] and O.groups_frame(e, ["k"], "v", 1, 1, {"n": F.count("*")}).collect() == []
+
+
+def test_funnel(spark):
+    rows = [("a", 0, "x"), ("a", 1, "y"), ("a", 2, "z"), ("b", 0, "x"), ("b", 99, "y"), ("c", 0, "y"), ("c", 1, "x"), ("d", 0, "x"), ("d", 50, "x"), ("d", 51, "y"), ("d", 99, "z"), ("e", 3, "x"), ("e", 3, "y")]
+    df = spark.createDataFrame([(u, day(t), k) for u, t, k in rows], "u string, ts timestamp_ntz, kind string")
+    got = {r.u: r.reached for r in O.funnel(df, ["u"], "ts", "kind", ["x", "y", "z"], 10 * 3600).collect()}
+    assert got == {"a": 3, "b": 1, "c": 1, "d": 2, "e": 2}

@@ -39,3 +39,11 @@ def test_dedup_and_interval_pairs(spark, tmp_path):
     right = dropped(spark, f"{tmp_path}/r", [(3, 7, at(4), 1.0), (4, 7, at(40), 1.0)]).select(F.col("event_id").alias("other_id"), "user_id", F.col("ts").alias("other_ts"))
     pairs = streaming.interval_pairs(left, right, "user_id", "ts", "other_ts", "10 minutes", "1 hour")
     assert [(r.event_id, r.other_id) for r in streaming.run_available(pairs, f"{tmp_path}/p", f"{tmp_path}/ps").collect()] == [(1, 3)]
+
+
+def test_running_totals(spark, tmp_path):
+    stream = dropped(spark, f"{tmp_path}/in", [(1, 1, at(0), 2.0), (2, 2, at(0), 1.0)], [(3, 1, at(5), 5.0), (4, 1, at(6), None)])
+    seen = {}
+    query = streaming.running_totals(stream, "user_id", "value").writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True)
+    query.foreachBatch(lambda batch, _: seen.update({r.user_id: (r.n, r.total, r.top) for r in batch.collect()})).start().awaitTermination()
+    assert seen == {1: (2, 7.0, 5.0), 2: (1, 1.0, 1.0)}
