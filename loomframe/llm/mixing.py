@@ -20,6 +20,7 @@ by `texts`. One row for each source reaches the driver.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,8 +32,6 @@ from pyspark.sql import functions as F
 from loomframe.llm.common import SPACE, sliced, written
 
 WEIGHTS, MOST, BLOCK, SHARD_SLOTS, SEED = (5, 2, 1), 3, 128, 4096, 7
-#: Documents of a source whose running word counts one task sums.
-BUCKET_ROWS = 20_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -123,8 +122,9 @@ class Mix:
         self.blocks = [-(-s // block) for s in self.sizes]
         total = np.array([min(round(t * b / s), most * b) if s else 0 for t, b, s in zip(self.targets, self.blocks, self.sizes)], np.int64)
         self.block, self.most = block, most
-        # k: the source's number; a table of one row for each source
-        rows = [(k, r["source"], r["size"], self.targets[k], max(1, -(-r["n"] // BUCKET_ROWS))) for k, r in enumerate(found)]
+        # k: the source's number; a table of one row for each source. Running counts go over the square root of n
+        # buckets of as many documents: neither the buckets nor a bucket's rows pile up in one task.
+        rows = [(k, r["source"], r["size"], self.targets[k], max(1, math.isqrt(r["n"]))) for k, r in enumerate(found)]
         self.figures = spark.createDataFrame(rows, "k int, source string, source_size long, target double, buckets long")
         self.pieces = self._pieces()
         self.slots = self._slots(spark, total, shard_slots, seed)
