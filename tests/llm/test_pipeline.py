@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force over a small corpus, and its odd rows."""
 
+import math
 import random
 import zlib
 
@@ -54,13 +55,16 @@ def test_each_stage_against_brute_force(spark, sf_dir):
 
     # mixture: the blocks that each source's passes and permutations name, from its stream in order
     mix = mixing.Mix(state)
-    order = {(r.doc_id, r.mark): r.place for r in mix.sized.select("doc_id", "mark", P.F.xxhash64("doc_id", "mark", P.F.lit(1)).alias("place")).collect()}
+    keyed = mix.sized.select("doc_id", "mark", P.F.xxhash64("doc_id", "mark", P.F.lit(1)).alias("place"), P.F.xxhash64("doc_id", "mark").alias("deal"))
+    order = {(r.doc_id, r.mark): (r.deal, r.place) for r in keyed.collect()}
     mark = {r.doc_id: r.mark for r in mix.sized.collect()}
     assert len(mark) == len(rest)
     want = {}
     for k, source in enumerate(mix.sources):
-        own = sorted((order[r[0], mark[r[0]]], r[0], words(r[1])) for r in rest if r[3] == source)
-        stream = [(d, i) for _, d, n in own for i in range(n)]
+        of_source = [r for r in rest if r[3] == source]
+        buckets = max(1, math.isqrt(len(of_source)))
+        own = sorted((order[r[0], mark[r[0]]][0] % buckets, order[r[0], mark[r[0]]][1], r[0], words(r[1])) for r in of_source)
+        stream = [(d, i) for _, _, d, n in own for i in range(n)]
         n = mix.blocks[k]
         slots = [r for r in mix.slots.where(f"k = {k}").collect()]
         assert abs(len(slots) - mix.targets[k] * n / max(1, mix.sizes[k])) <= 1
