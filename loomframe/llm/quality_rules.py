@@ -11,27 +11,31 @@ Five-word windows are compared by a 64-bit hash of their words' hashes within on
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import SPACE, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: A kept line ends in one of these.
-TERMINALS = r"""[.!?…:;"'”’»)\]。！？；：」』؟।][\x20\x09-\x0D]*$"""
+#: A kept line's last character, white space aside, is one of these.
+TERMINALS = ".!?…:;\"'”’»)]。！？；：」』؟।"
+BLANKS = " \t\n\x0b\f\r"
 BOILERPLATE = ("lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "log in", "sign up", "subscribe now", "read more")
 NAVIGATION = "|»›•"
 
 
 def count_of(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    """How many of the characters a text has. A regular expression scans faster than translate, which looks up every character."""
+    these = "".join(f"\\{c}" if c.isascii() else c for c in chars)
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{these}]", ""))).cast("long")
 
 
-def base_columns(text: Column) -> dict[str, Column]:
-    """The counts that need no word array."""
+def base_columns(text: Column, words: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": count_of(text, SYMBOLS),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
     }
@@ -62,7 +66,10 @@ def repeated_words(windows: Column) -> Column:
 
 
 def failed_rule(line: Column, words: Column) -> Column:
-    """The first rule a line fails, or null: punctuation, navigation or boilerplate."""
+    """The first rule a line fails, or null: punctuation, navigation or boilerplate.
+
+    _stock tells whether the text holds a boilerplate phrase at all; its lines are searched only then.
+    """
     lower = F.lower(line)
     symbol = count_of(line, SYMBOLS) * 10 > words * 3
     shout = count_of(line, "!?") * 10 > words * 3
@@ -71,8 +78,9 @@ def failed_rule(line: Column, words: Column) -> Column:
     stock = F.lit(False)
     for phrase in BOILERPLATE:
         stock = stock | lower.contains(phrase)
+    stock = F.col("_stock") & stock
     return (
-        F.when(menu, "navigation").when(symbol | shout | ~line.rlike(TERMINALS), "punctuation").when(stock, "boilerplate")
+        F.when(menu, "navigation").when(symbol | shout | ~F.lit(TERMINALS).contains(F.substring(F.rtrim(line, F.lit(BLANKS)), -1, 1)), "punctuation").when(stock, "boilerplate")
     )
 
 
@@ -91,7 +99,8 @@ def clean_lines(df: DataFrame, text: str = "text", most_loss: float = 0.5, prefi
         "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
         "_judged": F.transform("_lines", lambda x: F.struct(x.alias("line"), F.size(F.filter(F.split(x, SPACE), lambda w: w != "")).cast("long").alias("n"))),
         "n_words": F.size("_words").cast("long"),
-        **base_columns(F.coalesce("_text", F.lit(""))),
+        **base_columns(F.coalesce("_text", F.lit("")), F.col("_words")),
+        "_stock": functools.reduce(lambda a, b: a | b, [F.lower(F.coalesce("_text", F.lit(""))).contains(p) for p in BOILERPLATE]),
     })
     rows = rows.withColumns({
         "_windows": windows_of(F.col("_hashes")),
