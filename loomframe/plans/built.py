@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from loomframe import functions as L
 from loomframe import operators as O
 from loomframe import streaming
+from loomframe.session import shared_dir
 from loomframe.sources import read_table, stream
 
 
@@ -95,8 +95,7 @@ def vector_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, build, mode: str) -> DataFrame:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
-    place = f"{shared.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     return streaming.run_available(build, f"{place}/out", f"{place}/state", mode)
 
 

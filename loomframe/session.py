@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,6 +35,23 @@ def session(name: str = "loomframe", master: str | None = None, **more: str) ->
     return builder.getOrCreate()
 
 
+@functools.cache
+def _own_folder() -> str:
+    path = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; one of this process only where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_folder()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, unless their path has it; once a context."""
     context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
