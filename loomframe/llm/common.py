@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,23 +13,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.session import shared_dir
+
 #: One or more of the white space code points that separate words: space, \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"file://{tempfile.gettempdir()}/checkpoints"
+#: Rows of whole texts in an Arrow batch: of Spark's 10000, a few batches in flight fill an executor's memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: In force while a query is written; shuffle files go when it ends instead of when the driver collects garbage.
+LEAN = BATCH | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-#: In force while a query is written: its shuffle files go when it ends instead of when the driver
-#: collects garbage, and Python workers get smaller batches of whole texts.
-LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+def small_batches(spark: SparkSession) -> None:
+    """From now on BATCH holds in this session, for results that are read later."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
 
 
 @contextlib.contextmanager
@@ -82,6 +80,10 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return upto[offsets] - upto[offsets[0]], words.slice(offsets[0], offsets[-1] - offsets[0]).filter(pa.array(full[offsets[0] : offsets[-1]]))
 
 
+#: What workers remember between tasks, by operator: how to forget it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
 def given_back() -> None:
     """Return a worker's freed memory to the system; workers live on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -89,8 +91,14 @@ def given_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a piece holds about most_bytes of the column, and one row at least."""
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece holds about most_bytes of the column, and one row at least.
+
+    A worker forgets what other operators than `keep` have it remember.
+    """
+    for name, forget in REMEMBERED.items():
+        if name != keep:
+            forget()
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         upto, at = np.cumsum(np.asarray(size).astype(np.int64)), 0

@@ -186,7 +186,7 @@ class SignatureTree:
         """Document pairs (i before j in the tree's order) that the traversal leaves; positions of the input."""
         p = q = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 2, -1, -1):
-            n, step = len(self.levels[level][1]), 1 << 14
+            n, step = len(self.levels[level][1]), 1 << 12
             got = []
             for k in range(0, len(p), step):
                 left, right = (x[k : k + step, None] * FANOUT for x in (p, q))

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import chat, embed_dedup, jaccard_join, langid, mixing, packing, quality_qda, quality_rules, sharding, substring_dedup
-from loomframe.llm.common import written
+from loomframe.llm.common import small_batches, written
 from loomframe.llm.sql import OP1_SQL, OP2_SQL, OP4_SQL, OP6_SQL, OP7_SQL, OP10_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver; the session gets small Arrow batches for what the query returns."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
