@@ -32,50 +32,97 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import dropped, sliced, split_words, written
+from loomframe.llm.common import REMEMBERED, dropped, sliced, split_words, written
 
 SIZE, END_ID = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks a worker remembers between batches.
-MOST_KNOWN = 800_000
+#: Chunks a worker remembers between batches, and how many are encoded as one text.
+MOST_KNOWN, JOINED = 200_000, 256
 
 
-def stem_of(chunk: str) -> str:
-    """The chunk without closing punctuation, where the tokenizer's splits certainly fall before it."""
-    stem = chunk.rstrip(".,!?;:")
-    return stem if stem and "'" not in chunk and stem[-1].isalnum() and ord(stem[-1]) < 0x250 else chunk
+CLOSING = ".,!?;:"
+
+
+def stems_of(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(stems, cut): words without closing punctuation where `cut`, others whole.
+
+    Only where the tokenizer's splits certainly fall before it: no apostrophe in the word, and the
+    stem ends in an ASCII letter or digit or in a letter of two bytes from U+00C0 on.
+    """
+    stems = pc.utf8_rtrim(words, CLOSING)
+    size = np.asarray(pc.binary_length(stems)).astype(np.int64)
+    short = (size > 0) & (size < np.asarray(pc.binary_length(words)))
+    tail = [np.full(len(words), 0, np.uint8), np.full(len(words), 0, np.uint8)]
+    _, offsets, data = stems.buffers()
+    at = np.frombuffer(offsets, np.int32)[stems.offset : stems.offset + len(stems) + 1].astype(np.int64)[1:]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    for k in (1, 2):
+        there = size >= k
+        tail[k - 1][there] = raw[at[there] - k]
+    last, lead = tail
+    plain = (last >= 48) & (last <= 57) | ((last | 32) >= 97) & ((last | 32) <= 122)
+    letter = (last >= 0x80) & (lead >= 0xC3) & (lead <= 0xC9) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+    cut = short & (plain | letter) & ~np.asarray(pc.match_substring(words, "'"))
+    return (pc.if_else(pa.array(cut), stems, words) if not cut.all() else stems), cut
+
+
+def one_word(stem: str) -> bool:
+    """Whether a stem certainly is one word to the tokenizer: letters below U+0250 only."""
+    return stem.isalpha() and (stem.isascii() or max(stem) < "\u0250")
 
 
 class Encoder:
-    """Token ids of many texts, encoding each distinct chunk once; keeps what it knows in flat arrays."""
+    """Token ids of many texts, encoding each distinct stem once; keeps what it knows in flat arrays."""
 
     def __init__(self, path: str, most_known: int = MOST_KNOWN) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_known = Tokenizer.from_file(path), most_known
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.begin, self.size = array("I"), array("q"), array("i")
 
-    def add(self, chunk: str, ids: list[int]) -> None:
-        self.known[chunk] = len(self.begin)
-        self.begin.append(len(self.flat))
-        self.size.append(len(ids))
-        self.flat.extend(ids)
-
-    def learn(self, chunks: list[str]) -> None:
-        stems = {c: stem_of(c) for c in chunks}
-        new = [c for c in dict.fromkeys([*stems.values(), *(c[len(s) :] for c, s in stems.items() if s != c)]) if c not in self.known]
-        for at in range(0, len(new), 1 << 13):
-            some = new[at : at + (1 << 13)]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.add(c, e.ids)
-        for c, s in stems.items():
-            if s != c:
-                parts = [self.known[s], self.known[c[len(s) :]]]
-                self.add(c, [i for k in parts for i in self.flat[self.begin[k] : self.begin[k] + self.size[k]]])
+    def add(self, stems: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        at = len(self.begin)
+        self.known.update(zip(stems, range(at, at + len(stems))))
+        self.begin.frombytes((np.cumsum(sizes) - sizes + len(self.flat)).astype(np.int64).tobytes())
+        self.size.frombytes(sizes.astype(np.int32).tobytes())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+
+    def learn(self, stems: list[str]) -> None:
+        """Many stems make one text with blanks between. Where each is one word, its ids stop at a word's
+        last token; else a token belongs to the stem in which it starts."""
+        words = [s for s in stems if one_word(s)]
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        others = [s for s in stems if not one_word(s)]
+        for at in range(0, len(groups), 64):
+            some = groups[at : at + 64]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, np.int64)
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) == len(group) and stops[-1] == len(ids):
+                    self.add(group, np.diff(stops, prepend=0), ids)
+                else:
+                    others += group
+        groups = [others[at : at + JOINED] for at in range(0, len(others), JOINED)]
+        for at in range(0, len(groups), 64):
+            some = groups[at : at + 64]
+            for group, e in zip(some, self.tokenizer.encode_batch([" ".join(g) for g in some], add_special_tokens=False)):
+                starts = np.cumsum([0, *(len(c) + 1 for c in group[:-1])])
+                owner = np.searchsorted(starts, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), side="right") - 1
+                self.add(group, np.bincount(owner, minlength=len(group)), np.array(e.ids, np.int64))
+
+    def places(self, coded: pa.DictionaryArray) -> np.ndarray:
+        """The place of each word's stem in the flat arrays, learning new ones."""
+        stems = coded.dictionary.to_pylist()
+        if new := [c for c in stems if c not in self.known]:
+            self.learn(new)
+        return np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))[np.asarray(coded.indices)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ends, ids): ids of text k stop before ends[k]; no end ids."""
@@ -85,18 +132,20 @@ class Encoder:
         # The tokenizer folds case itself, but knows special tokens, which have "<|", by their case.
         if not pc.any(pc.match_substring(words, "<|")).as_py():
             words = pc.ascii_lower(words)
-        coded = words.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
         if len(self.known) > self.most_known:
             self.clear()
-        self.learn([c for c in chunks if c not in self.known])
-        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        begin, size = np.array(self.begin, np.int64)[at], np.array(self.size, np.int64)[at]
-        which = np.asarray(coded.indices)
-        n = size[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = np.array(self.flat, np.uint32)[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])]
-        return upto[offsets[1:]], ids
+        stems, cut = stems_of(words)
+        # A word is its stem's place and, if it was cut, then its closing punctuation's.
+        upto = np.concatenate([[0], np.cumsum(1 + cut)])
+        which = np.empty(upto[-1], np.int64)
+        which[upto[:-1]] = self.places(stems.dictionary_encode())
+        if cut.any():
+            whole = words.filter(pa.array(cut))
+            which[upto[1:][cut] - 1] = self.places(pc.replace_substring_regex(whole, r"^.*[^.,!?;:]", "").dictionary_encode())
+        size = np.frombuffer(self.size, np.int32)[which].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = np.array(self.flat, np.uint32)[np.repeat(np.array(self.begin, np.int64)[which] - total[:-1], size) + np.arange(total[-1])]
+        return total[upto[offsets[1:]]], ids
 
 
 @functools.cache
@@ -106,12 +155,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+REMEMBERED["packing"] = encoder.cache_clear
+
+
 def pieces_of(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids): every piece of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text", keep="packing"):
             ends, ids = known.encode(batch.column("text"))
             row, piece, start, length, crc = [], [], [], [], []
             lo = 0
