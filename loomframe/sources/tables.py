@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -10,9 +11,21 @@ TABLES = (
 )
 
 
+#: Schemas of tables read before, by path: reading one again needs no job over the files' footers.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """`{sf_dir}/{name}.parquet`, a file or a folder of part files, in any store Spark reads."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """`{sf_dir}/{name}.parquet`, a file or a folder of part files, in any store Spark reads.
+
+    A path's schema is taken to stay as it was when this process first read it.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    found = spark.read.parquet(path)
+    _SCHEMAS[path] = found.schema
+    return found
 
 
 def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> None:
