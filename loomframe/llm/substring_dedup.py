@@ -13,8 +13,8 @@ are cut. Only repeated units and their places are shuffled besides the counts, a
 send places back have a plain exchange on both sides, so that a hot line's rows can be split.
 
 Defined results: a null text stays null with no spans, an empty one empty; rows with a null doc_id
-neither lose text nor make others lose it; rows that share a doc_id are one document, each cut
-alike; repeats within a document are removed like those across documents; an empty table gives an
+neither lose text nor make others lose it; rows that share a doc_id are told apart by a digest of
+their text, and of equal units at one place of them each stays; repeats within a document are removed like those across documents; an empty table gives an
 empty table; all input columns are kept, and a clash of names raises.
 """
 
@@ -81,7 +81,7 @@ def cut(text: str, repeated: set[int], least_words: int) -> tuple[str, list[tupl
 
 
 def repeated_units(docs: DataFrame, map_bits: int = MAP_BITS) -> DataFrame:
-    """(doc_id, places): the units of each document that an earlier unit equals."""
+    """(doc_id, mark, places): the units of each text that an earlier unit equals; mark is the text's digest."""
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,23 +96,23 @@ def repeated_units(docs: DataFrame, map_bits: int = MAP_BITS) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             owner, place, forms = [], [], []
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for i, t in enumerate(batch.column("text").to_pylist()):
                 for k, f in enumerate(units(t)[1] if t else ()):
                     if f:
-                        owner.append(d)
+                        owner.append(i)
                         place.append(k)
                         forms.append(f)
             hit = np.flatnonzero(marked(shared.value, np.array([digest64(f) for f in forms], np.uint64))) if forms else []
             long = [xxhash.xxh3_128_intdigest(forms[i]) for i in hit]
             signed = [[x - (1 << 64) if x >> 63 else x for x in xs] for xs in ([v >> 64 for v in long], [v & ((1 << 64) - 1) for v in long])]
-            yield pa.RecordBatch.from_arrays([pa.array(signed[0], pa.int64()), pa.array(signed[1], pa.int64()), pa.array([owner[i] for i in hit], pa.int64()), pa.array([place[i] for i in hit], pa.int32())], ["h1", "h2", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed[0], pa.int64()), pa.array(signed[1], pa.int64()), *[batch.column(c).take(pa.array([owner[i] for i in hit], pa.int32())) for c in ("doc_id", "mark")], pa.array([place[i] for i in hit], pa.int32())], ["h1", "h2", "doc_id", "mark", "place"])
 
-    found = written(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(pick, "h1 long, h2 long, doc_id long, place int"), "units")
+    found = written(docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(pick, "h1 long, h2 long, doc_id long, mark long, place int"), "units")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # The bits of h1 are flipped so that the join does not reuse the grouping's partitioning and can split hot digests.
     first = first.select(F.bitwise_not("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first.doc_id").alias("d"), F.col("first.place").alias("p"))
     later = found.withColumn("g1", F.bitwise_not("h1")).withColumn("g2", F.col("h2")).join(first, ["g1", "g2"]).where("doc_id != d or place != p")
-    out = written(later.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "places")
+    out = written(later.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places")), "places")
     dropped(found)
     return out
 
@@ -124,8 +124,9 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         raise ValueError(f"the input already has {sorted(clash)}")
     names = docs.columns
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    places = repeated_units(slim, map_bits).select(F.col("doc_id").alias("_id"), F.col("places").alias("_places"))
-    rows = docs.withColumn("_key", F.col(f"`{doc_id}`").cast("long")).join(places, F.col("_key") == F.col("_id"), "left").drop("_key", "_id")
+    places = repeated_units(slim, map_bits).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), F.col("places").alias("_places"))
+    rows = docs.withColumn("_key", F.col(f"`{doc_id}`").cast("long")).withColumn("_mark", F.xxhash64(F.col(f"`{text}`")))
+    rows = rows.join(places, (F.col("_key") == F.col("_id")) & (F.col("_mark") == F.col("_of")), "left").drop("_key", "_id", "_mark", "_of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text):

@@ -69,3 +69,14 @@ def test_empty_and_clash(spark):
     assert S.dedup_substrings(spark.createDataFrame([], SCHEMA)).collect() == []
     with pytest.raises(ValueError):
         S.dedup_substrings(spark.createDataFrame([], "doc_id long, text string, Spans int"))
+
+
+def test_unlike_texts_under_one_id(spark):
+    rng = random.Random(5)
+    part = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(9)) + "."
+    first = [part() for _ in range(6)]
+    own = [part() for _ in range(6)]
+    rows = [(1, " ".join(first)), (2, " ".join([part(), *first[2:]])), (2, " ".join(own))]
+    got = S.dedup_substrings(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.clean_text) for r in got) == sorted((d, c) for d, c, _ in brute(rows))
+    assert " ".join(own) in {r.clean_text for r in got} and sum(r.n_removed for r in got) == 4
