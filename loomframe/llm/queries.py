@@ -76,12 +76,17 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(fold("doc_id", 5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
 
 
-def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op10_substring_dedup(spark: SparkSession, sf_dir: str, anywhere: bool = False) -> DataFrame:
+    found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), anywhere=anywhere)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ";")
     return found.select("doc_id", F.col("clean_text").alias("text"), spans.alias("spans"), "n_units", "n_removed", "removed_words")
 
 
+def op10_substring_dedup_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_substring_dedup without regard to unit edges; OP10_SQL, which has them, isn't its twin."""
+    return op10_substring_dedup(spark, sf_dir, anywhere=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
+    "op10_substring_dedup_anywhere": op10_substring_dedup_anywhere,
     "pipeline": pipeline,
 }
 

@@ -7,6 +7,15 @@ and white space collapsed. Digests are counted globally; of equal units the one
 stay, so short stock lines and clean documents are left alone. Removed spans keep the offsets of the
 original text (code points).
 
+With `anywhere`, passages need no unit edges: every run of `least_words` words that equals an earlier
+one (lowest doc_id, then place) marks its words, wherever it stands in a line; words of repeated units
+are marked too, and each run of `least_words` marked words or more is removed. Repeats that overlap
+what they repeat, as in one word said over and over, are one occurrence. Windows of `least_words`
+words are named by the least hash of the half windows in them, so that a name stands for about 7
+windows; the windows of one occurrence of a name go together as one piece. Only pieces whose name is
+repeated are shuffled, and only the first of equal pieces is taken apart into windows, if an unlike
+piece has its name. No window is left out by this: equal windows have one name.
+
 Three passes read the texts: 64-bit digests are counted and the repeated ones mark a fixed-size bit
 map; units whose bit is marked (a few false ones are harmless) are grouped by 128-bit digest; spans
 are cut. Only repeated units and their places are shuffled besides the counts, and the joins that
@@ -30,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm.common import dropped, sliced, written
+from loomframe.llm.common import dropped, mixed, sliced, split_words, written
 from loomframe.llm.jaccard_join import MAP_BITS, marked, marks
 
 LEAST_WORDS = 25
@@ -117,20 +126,172 @@ def repeated_units(docs: DataFrame, map_bits: int = MAP_BITS) -> DataFrame:
     return out
 
 
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, map_bits: int = MAP_BITS) -> DataFrame:
+# Passages without unit edges ----------------------------------------------------------------------
+
+
+def rolled(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """A hash of each `width` neighbouring values, by doubling."""
+    out, n = mixed(hashes ^ np.uint64(seed)), 1
+    while n < width:
+        step = min(n, width - n)
+        out = mixed(out[:-step] * np.uint64(0x9E3779B97F4A7C15) + out[step:])
+        n += step
+    return out
+
+
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbouring values, by doubling."""
+    n = 1
+    while n < width:
+        step = min(n, width - n)
+        values = np.minimum(values[:-step], values[step:])
+        n += step
+    return values
+
+
+def pieces(texts: list[str | None], width: int) -> tuple[np.ndarray, ...]:
+    """(row, place, windows, start, name, windows' hashes from a piece's `at` on): the pieces of texts.
+
+    A name's run of neighbouring windows starts at `start`; it is cut after as many windows as one half
+    window can name, so a run that is longer has as many pieces as the name has occurrences at least.
+    """
+    half = (width + 1) // 2
+    most = width - half + 1
+    offsets, words = split_words(pa.array([t.lower() if t else "" for t in texts], pa.string()))
+    empty = np.zeros(0, np.int64)
+    if len(words) < width:
+        return empty, empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty
+    coded = words.dictionary_encode()
+    known = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    hashes = known[np.asarray(coded.indices)]
+    name, whole = least(rolled(hashes, half, 1), most), rolled(hashes, width, 2)
+    row = np.repeat(np.arange(len(texts)), np.diff(offsets))[: len(name)]
+    inside = np.arange(len(name)) + width <= offsets[1:][row]
+    fresh = np.ones(len(name), bool)
+    fresh[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]
+    begin = np.maximum.accumulate(np.where(fresh, np.arange(len(name)), 0))
+    at = np.flatnonzero(inside & ((np.arange(len(name)) - begin) % most == 0))
+    # A piece ends where the next one of its text starts, or with the last window of the text.
+    last = offsets[1:][row[at]] - width + 1
+    after = np.minimum(np.append(at[1:], len(name)), last)
+    return row[at], at - offsets[row[at]], after - at, begin[at] - offsets[row[at]], name[at], whole, at
+
+
+def repeated_windows(docs: DataFrame, width: int, map_bits: int = MAP_BITS) -> DataFrame:
+    """(doc_id, mark, covers): from each place (in words) of a text, how many windows equal an earlier one."""
+    spark = docs.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            values, n = np.unique(pieces(batch.column("text").to_pylist(), width)[4], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    often = docs.where("doc_id is not null").select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    shared = spark.sparkContext.broadcast(marks(often, map_bits))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            row, place, n, start, name, whole, at = pieces(batch.column("text").to_pylist(), width)
+            hit = np.flatnonzero(marked(shared.value, name))
+            row, place, n, start, name, at = (x[hit] for x in (row, place, n, start, name, at))
+            key = mixed(mixed(whole[at] + n.astype(np.uint64)) + whole[at + n - 1]) if len(at) else name
+            # Equal pieces of a text that overlap are one occurrence, which starts with the first.
+            order = np.lexsort((place, key, name, row))
+            r, p, k, m = row[order], place[order], key[order], name[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (r[1:] != r[:-1]) | (m[1:] != m[:-1]) | (k[1:] != k[:-1]) | ((p[1:] - p[:-1] >= width) & (start[order][1:] != start[order][:-1]))
+            head = np.empty(len(order), np.int64)
+            head[order] = start[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            own = np.repeat(at - ends[:-1], n) + np.arange(ends[-1])
+            windows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole[own].view(np.int64)))
+            ids = [batch.column(c).take(pa.array(row, pa.int32())) for c in ("doc_id", "mark")]
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(key.view(np.int64)), *ids, pa.array(head, pa.int32()), pa.array(place, pa.int32()), pa.array(n, pa.int32()), windows], ["h1", "h2", "doc_id", "mark", "head", "place", "n", "w"])
+
+    found = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    found = written(found.mapInArrow(pick, "h1 long, h2 long, doc_id long, mark long, head int, place int, n int, w array<long>"), "pieces")
+    kinds = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mark", "head", "place")).alias("first"), F.count(F.lit(1)).alias("c"))
+    kinds = written(kinds, "kinds")
+    several = kinds.groupBy("h1").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.bitwise_not("h1").alias("g0"))
+    # As in repeated_units, flipped bits give the joins plain exchanges on both sides.
+    kinds_of = kinds.withColumn("g0", F.bitwise_not("h1")).join(several.withColumn("mixed", F.lit(True)), "g0", "left").where("c > 1 or mixed")
+    kinds_of = kinds_of.select(F.bitwise_not("h2").alias("g2"), F.col("h1").alias("g1"), "first", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    rows = found.withColumn("g2", F.bitwise_not("h2")).withColumn("g1", F.col("h1")).join(kinds_of, ["g2", "g1"])
+    leads = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("place") == F.col("first.place"))
+    again = ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("head") == F.col("first.head")))
+    rows = rows.select("h1", "doc_id", "mark", "head", "place", "n", again.alias("again"), F.when(leads & F.col("mixed"), F.col("w")).alias("w"))
+    rows = written(rows.where("again or w is not null"), "hits")
+    dropped(found, kinds)
+    apart = rows.where("w is not null").select("h1", "doc_id", "mark", "head", "place", F.posexplode("w").alias("i", "w"))
+    apart = written(apart.select("h1", "w", "doc_id", "mark", "head", (F.col("place") + F.col("i")).alias("place")), "windows")
+    first = apart.groupBy("h1", "w").agg(F.min(F.struct("doc_id", "mark", "place", "head")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    first = first.select(F.bitwise_not("w").alias("g2"), F.col("h1").alias("g1"), "first")
+    later = apart.withColumn("g2", F.bitwise_not("w")).withColumn("g1", F.col("h1")).join(first, ["g2", "g1"])
+    near = (F.col("place") - F.col("first.place") < width) | (F.col("head") == F.col("first.head"))
+    later = later.where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & near))
+    covers = rows.where("again").select("doc_id", "mark", "place", "n").union(later.select("doc_id", "mark", "place", F.lit(1).alias("n")))
+    out = written(covers.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("place", "n")).alias("covers")), "covers")
+    dropped(rows, apart)
+    return out
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut_words(text: str, repeated: set[int], covers: list[tuple[int, int]], least_words: int) -> tuple[str, list[tuple[int, int]], int, int, int]:
+    """As cut, with the words of windows that start at covers; n_removed counts the units that lose words.
+
+    A run's edge that is a unit's is cut there, any other at the edge of its word.
+    """
+    parts, forms = units(text)
+    ends = np.cumsum([0, *map(len, parts)]).tolist()
+    sizes = [f.count(b" ") + 1 if f else 0 for f in forms]
+    upto = np.cumsum([0, *sizes])
+    gone = np.zeros(int(upto[-1]) + 1, np.int64)
+    for place, n in covers:
+        gone[place] += 1
+        gone[place + n + least_words - 1] -= 1
+    gone = np.cumsum(gone)[:-1] > 0
+    for k in repeated:
+        gone[upto[k] : upto[k + 1]] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+    spans, kept, at, lost, words = [], [], 0, 0, 0
+    places = [m.span() for m in WORD.finditer(text)] if len(edges) else []
+    solid = [k for k, n in enumerate(sizes) if n]
+    starts = {int(upto[k]): ends[k] for k in solid}
+    stops = {int(upto[k + 1]): ends[k + 1] for k in solid}
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if b - a < least_words:
+            continue
+        lo, hi = starts.get(a, places[a][0]), stops.get(b, places[b - 1][1])
+        spans.append((lo, hi))
+        kept.append(text[at:lo])
+        at = hi
+        lost += int(np.searchsorted(upto, b, "left") - np.searchsorted(upto, a, "right") + 1 - np.count_nonzero(np.array(sizes[int(np.searchsorted(upto, a, "right")) - 1 : int(np.searchsorted(upto, b, "left"))]) == 0))
+        words += b - a
+    return "".join([*kept, text[at:]]), spans, len(solid), lost, words
+
+
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, map_bits: int = MAP_BITS, anywhere: bool = False) -> DataFrame:
     """docs with clean_text, spans (array of start and end), n_units, n_removed and removed_words."""
     clash = set(OWN) & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"the input already has {sorted(clash)}")
     names = docs.columns
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    places = repeated_units(slim, map_bits).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), F.col("places").alias("_places"))
+    places = repeated_units(slim, map_bits)
+    if anywhere:
+        places = places.join(repeated_windows(slim, least_words, map_bits), ["doc_id", "mark"], "full")
+    else:
+        places = places.withColumn("covers", F.lit(None).cast("array<struct<place:int,n:int>>"))
+    places = places.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), F.col("places").alias("_places"), F.col("covers").alias("_covers"))
     rows = docs.withColumn("_key", F.col(f"`{doc_id}`").cast("long")).withColumn("_mark", F.xxhash64(F.col(f"`{text}`")))
     rows = rows.join(places, (F.col("_key") == F.col("_id")) & (F.col("_mark") == F.col("_of")), "left").drop("_key", "_id", "_mark", "_of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text):
-            got = [(None, [], 0, 0, 0) if t is None else cut(t, set(p or ()), least_words) for t, p in zip(batch.column(text).to_pylist(), batch.column("_places").to_pylist())]
+            found = zip(*[batch.column(c).to_pylist() for c in (text, "_places", "_covers")])
+            got = [(None, [], 0, 0, 0) if t is None else cut_words(t, set(p or ()), [(c["place"], c["n"]) for c in cs], least_words) if cs else cut(t, set(p or ()), least_words) for t, p, cs in found]
             spans = pa.array([[{"start": a, "end": b} for a, b in g[1]] for g in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             more = [pa.array([g[0] for g in got], pa.string()), spans, *[pa.array([g[k] for g in got], pa.int64()) for k in (2, 3, 4)]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *more], [*names, *OWN])

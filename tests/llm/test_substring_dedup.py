@@ -80,3 +80,46 @@ def test_unlike_texts_under_one_id(spark):
     got = S.dedup_substrings(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)).collect()
     assert sorted((r.doc_id, r.clean_text) for r in got) == sorted((d, c) for d, c, _ in brute(rows))
     assert " ".join(own) in {r.clean_text for r in got} and sum(r.n_removed for r in got) == 4
+
+
+def by_words(rows, least=25):
+    """Clean texts by a dictionary of all windows and one of all units."""
+    unit, window, out = {}, {}, []
+    for d, t in sorted(rows):
+        forms = S.units(t)[1]
+        again = {k for k, f in enumerate(forms) if f and unit.setdefault(f, (d, k)) != (d, k)}
+        words, seen, covers = t.lower().split(), {}, []
+        for i in range(len(words) - least + 1):
+            w = tuple(words[i : i + least])
+            at, head = seen.get(w, (-least, i))
+            seen[w] = (i, head) if i - at < least else (i, i)
+            if window.setdefault(w, (d, seen[w][1])) != (d, seen[w][1]):
+                covers.append((i, 1))
+        out.append((d, S.cut_words(t, again, covers, least)[0]))
+    return out
+
+
+def test_passages_in_mid_sentence(spark):
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    sentences = " ".join(some(n) + "." for n in (29, 12, 12))
+    bare = some(60)
+    rows = [(1, sentences + " " + some(5) + "."), (2, some(40) + " " + sentences + " " + some(30))]
+    rows += [(3, bare), (4, some(7) + " " + bare.upper() + " " + some(7)), (5, some(9) + "\n" + bare[bare.index(" ", 200) :] + "\t" + some(9))]
+    rows += [(6, some(3) + " " + " ".join(bare.split()[:24]) + " " + some(3)), (7, "word " * 900), (8, some(4) + " word" * 300), (9, bare + " x " + bare)]
+    for k in range(10, 60):
+        cuts = sorted(rng.randrange(61) for _ in range(2))
+        rows.append((k, " ".join([some(rng.randrange(30)), *bare.split()[cuts[0] : cuts[1]], some(rng.randrange(30)), rng.choice([sentences, bare, some(20)]), some(5)])))
+    got = {r.doc_id: r for r in S.dedup_substrings(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA), anywhere=True).collect()}
+    for d, clean in by_words(rows):
+        assert got[d].clean_text == clean, d
+    assert not set(sentences.split()) & set(got[2].clean_text.split()) and got[2].removed_words == 53
+    assert got[1].clean_text == got[1].text and got[3].clean_text == bare and got[6].n_removed == 0 and got[7].n_removed == 0
+    assert got[4].removed_words == 60 and got[8].removed_words == 300 and got[9].removed_words == 120
+
+
+def test_passages_anywhere_of_the_given_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted((r.doc_id, r.clean_text) for r in S.dedup_substrings(docs, anywhere=True).collect())
+    assert got == by_words(rows)
