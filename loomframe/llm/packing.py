@@ -226,10 +226,12 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
         rank, left = 0, counts[length]
         while left:
             at = bisect.bisect_left(sizes, length)
+            # Row by row, a gap that takes a piece is the best one for the next as long as it fits.
             if at < len(sizes):
                 gap = sizes[at]
                 first, n = gaps[gap].pop()
-                take = min(n, left)
+                each = min(gap // length, left)
+                take = min(n, left // each)
                 if take < n:
                     gaps[gap].append((first + take, n - take))
                 if not gaps[gap]:
@@ -237,11 +239,13 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
                     sizes.pop(at)
             else:
                 gap, first = size, made
-                take = -(-left // (size // length))
+                each = min(size // length, left)
+                take = left // each
                 made += take
-            out.append((length, rank, take, first, size - gap))
-            rank, left = rank + take, left - take
-            add(gap - length, first, take)
+            for k in range(each):
+                out.append((length, rank + k * take, take, first, size - gap + k * length))
+            rank, left = rank + take * each, left - take * each
+            add(gap - each * length, first, take)
     return out
 
 

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -74,3 +75,21 @@ def test_pack(spark):
         held[r.sequence_id] = r.offset + r.length
     assert max(held.values()) <= 2048 and len(held) == best_fit([w[3] for w in want], 2048)
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_plan_makes_as_many_sequences_as_row_wise_best_fit():
+    from loomframe.llm.packing import plan
+
+    rng = random.Random(3)
+    for lengths in [[4, 4, 4, 4, 3, 3, 2], *([rng.randrange(1, 13) for _ in range(rng.randrange(1, 60))] for _ in range(300))]:
+        gaps = []
+        for n in sorted(lengths, reverse=True):
+            best = min((g for g in gaps if g >= n), default=None)
+            gaps.append((12 if best is None else gaps.pop(gaps.index(best))) - n)
+        got = plan(dict(Counter(lengths)), 12)
+        spots = [(s, o, n) for n, _, k, first, o in got for s in range(first, first + k)]
+        used = Counter()
+        for s, o, n in sorted(spots):
+            assert used[s] == o
+            used[s] += n
+        assert sorted(n for _, _, n in spots) == sorted(lengths) and sorted(12 - u for u in used.values()) == sorted(gaps)
