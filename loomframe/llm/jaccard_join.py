@@ -1,23 +1,29 @@
 """Exact n-gram Jaccard join of documents by forests of signature trees.
 
-1. A first pass counts prefix shingles; those in many documents mark bits of a fixed-size map. The
-   map only orders shingles (marked ones last), so its false marks cost nothing in exactness.
+1. A first pass counts prefix shingles; those in many documents mark bits of a map whose size follows
+   their number. The map only orders shingles (marked ones last), so its false marks cost nothing in
+   exactness.
 2. A second pass gives each document its set's size and fingerprint, the first
    n - ceil(t n) + 1 shingles in that order (similar sets share one of these), and a bitmap of all.
    Equal sets become one class, so copies are never paired.
-3. Each shared prefix shingle and size range roots one tree; roots with equal members are one. Large
-   roots are cut into chunks and each pair of chunks is a task: a document is held once a chunk.
-4. Trees hold OR-combined bitmaps and size ranges. Dual traversal drops node pairs whose largest
-   possible overlap is too small. What is left is verified on whole shingle sets.
-5. Verification emits only links that join two sets of documents (a spanning forest), never all
-   pairs of a group. In the first rounds each document takes part in its largest tree only; the last
-   one takes all that is left, without the pairs that are in one component by then or were compared
-   in a tree that both picked. No other pair is skipped.
+3. Each shared prefix shingle roots one tree; roots with equal members are one. Trees hold OR-combined
+   bitmaps and size ranges; dual traversal drops node pairs whose largest possible overlap is too small.
+   What is left is verified on whole shingle sets. Only the tree of the first shingle that two sets
+   share in the order must find them: there, a set's later shingles alone count (`reach`).
+4. A tree that is too large for one task isn't paired at first: all its members are compared with one
+   pivot, the member with the fewest unmarked shingles, which stands nearest to what the others share.
+   After that, members outside the tree's largest component are compared with all members; trees within
+   one component are done. So rows grow with a tree's members and with those that the pivot left out.
+5. Verification emits only links that join two sets of documents (a spanning forest), never all pairs
+   of a group. In the first round each document takes part in its largest tree only; the second one
+   takes all that is left, without the pairs that are in one component by then or were compared in a
+   tree that both picked. No other pair is skipped.
 
 Defined results: null, empty or blank texts have no shingles and link with nothing; texts of fewer
-words than a shingle are one shingle; rows with equal doc_id count as one document; a null doc_id
-links with nothing and has a null component; repeated rows are all returned; other columns of the
-input are ignored. Shingles are compared as 64-bit hashes, sets as 128-bit fingerprints.
+words than a shingle are one shingle; rows with equal doc_id are one document, which has the links of
+all its texts and one component; a null doc_id links with nothing and has a null component; repeated
+rows are all returned; other columns of the input are ignored. Shingles are compared as 64-bit hashes,
+sets as 128-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -32,15 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import by_group, dropped, mixed, sliced, split_words, tidy, written
-from loomframe.llm.components import Forest, components
+from loomframe.llm.components import components
 
 WIDTH, PERCENT = 5, 80
 #: A shingle in more prefixes than this is ordered last.
 HOT = 32
-#: Bits of the order map and of the map of needed documents: 1 MB each, whatever the corpus.
-MAP_BITS = 1 << 23
-#: Documents of a tree that one task takes from either side, and a tree's fan-out.
-CHUNK, FANOUT = 512, 8
+#: Bits of a map: the power of two at or above 8 for each value, within these (128 KB and 16 MB).
+LEAST_MAP, MOST_MAP = 1 << 20, 1 << 27
+#: Documents of a tree that one task takes from either side: a quarter, within these; shingles; fan-out.
+CHUNK, MOST_CHUNK, CHUNK_SHINGLES, FANOUT = 256, 1 << 13, 1 << 21, 8
 #: Bits of a signature: the power of two at or above the set's size, within these.
 LEAST_BITS, MOST_BITS = 64, 1 << 17
 
@@ -79,24 +85,42 @@ def bit_width(n: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, n - 1).bit_length()))
 
 
-def signature(found: np.ndarray) -> bytes:
-    width = bit_width(len(found))
+def signature(found: np.ndarray, times: int = 1) -> bytes:
+    width = bit_width(len(found) * times)
     bits = np.zeros(width, np.uint8)
     bits[((found >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def map_bits(n: int) -> int:
+    return min(MOST_MAP, max(LEAST_MAP, 1 << (8 * n).bit_length()))
+
+
 def marks(values: DataFrame, bits: int) -> np.ndarray:
     """A map of `bits` bits with those of the values' low bits set; at most bits / 64 rows reach the driver."""
     slot = F.col(values.columns[0]).bitwiseAND(F.lit(bits - 1))
     rows = values.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast({values.columns[0]} & 63L as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(bits // 64, np.int64)
     with tidy(values.sparkSession):
-        for r in rows.collect():
-            out[r["at"]] = r["bits"]
+        found = rows.toArrow()
+    out[np.asarray(found["at"])] = np.asarray(found["bits"])
     return out.view(np.uint8)
 
 
+def frequent(counts: DataFrame, least: int) -> np.ndarray:
+    """The map of the first column's values whose count c is above `least`, or above the least doubling of
+    it that leaves an eighth of the largest map's bits to them."""
+    table = written(counts.where(F.col("c") > least), "often")
+    step = F.floor(F.log2((F.col("c") - 1) / F.lit(least)))
+    sizes = {r["step"]: r["n"] for r in table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    times = 0
+    while (n := sum(v for k, v in sizes.items() if k >= times)) > MOST_MAP // 8:
+        times += 1
+    out = marks(table.where(F.col("c") > least << times).select(counts.columns[0]), map_bits(n))
+    dropped(table)
+    return out
+
+
 def marked(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     slot = (values & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
@@ -112,24 +136,25 @@ def prefix_tokens(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def signed(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, fp, prefix, bits) of every row."""
+    """(doc_id, n, rare, fp, prefix, bits) of every row; rare counts the set's unmarked shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in sliced(batches, "text"):
-            n, fp, prefix, bits = [], [], [], []
+            n, rare, fp, prefix, bits = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 late = marked(bitmap, s)
                 n.append(len(s))
+                rare.append(len(s) - int(np.count_nonzero(late)))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()))
                 prefix.append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)].view(np.int64))
                 bits.append(signature(s))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), lists, pa.array(bits, pa.binary())], ["doc_id", "n", "fp", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(fp, pa.binary()), lists, pa.array(bits, pa.binary())], ["doc_id", "n", "rare", "fp", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp binary, prefix array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, rare long, fp binary, prefix array<long>, bits binary")
 
 
 def sets_of(docs: DataFrame, needed: np.ndarray, width: int) -> DataFrame:
@@ -155,93 +180,135 @@ def needed_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 class SignatureTree:
-    """Levels from single documents up; a node ORs its children's bitmaps and spans their sizes."""
+    """Levels from single documents up; a node ORs its children's bitmaps and spans their sizes.
+
+    reach: how many shingles of a document count at most, its size if all do.
+    """
 
-    def __init__(self, sizes: np.ndarray, bits: list[bytes]) -> None:
+    def __init__(self, sizes: np.ndarray, reach: np.ndarray, bits: list[bytes], width: int) -> None:
         self.order = np.lexsort((np.arange(len(sizes)), sizes))
-        width = min(map(len, bits))
         rows = [np.bitwise_or.reduce(np.frombuffer(bits[k], np.uint8).reshape(-1, width), axis=0) for k in self.order]
         base = np.stack(rows).view(np.uint64)
         n = sizes[self.order].astype(np.int64)
-        self.levels = [(base, n, n, n - np.bitwise_count(base).sum(axis=1).astype(np.int64))]
+        self.levels = [(base, n, n, n - np.bitwise_count(base).sum(axis=1).astype(np.int64), reach[self.order].astype(np.int64))]
         while len(self.levels[-1][1]) > 1:
-            base, low, high, spare = self.levels[-1]
+            base, low, high, spare, most = self.levels[-1]
             cuts = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(base, cuts, axis=0), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(spare, cuts)))
-
-    def possible(self, level: int, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
-        """Which node pairs may hold a similar pair: sizes that fit, and enough overlap at best."""
-        base, low, high, spare = self.levels[level]
-        ok = (100 * high[p] >= percent * low[q]) & (100 * high[q] >= percent * low[p])
-        at = np.flatnonzero(ok)
-        step = max(1, (16 << 20) // (base.shape[1] * 8))
-        for k in range(0, len(at), step):
-            i = at[k : k + step]
-            both = np.bitwise_count(base[p[i]] & base[q[i]]).sum(axis=1).astype(np.int64)
-            best = np.minimum(both + np.minimum(spare[p[i]], spare[q[i]]), np.minimum(high[p[i]], high[q[i]]))
-            ok[i] = best >= needed_overlap(low[p[i]], low[q[i]], percent)
-        return ok
-
-    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Document pairs (i before j in the tree's order) that the traversal leaves; positions of the input."""
-        p = q = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 2, -1, -1):
-            n, step = len(self.levels[level][1]), 1 << 12
-            got = []
-            for k in range(0, len(p), step):
-                left, right = (x[k : k + step, None] * FANOUT for x in (p, q))
-                a = np.repeat(left + np.arange(FANOUT), FANOUT, axis=1).ravel()
-                b = np.tile(right + np.arange(FANOUT), (1, FANOUT)).ravel()
-                fit = (a < n) & (b < n) & ((a < b) if level == 0 else (a <= b))
-                a, b = a[fit], b[fit]
-                keep = self.possible(level, a, b, percent)
-                got.append((a[keep], b[keep]))
-            p, q = (np.concatenate([g[k] for g in got]) for k in (0, 1)) if got else (np.zeros(0, np.int64),) * 2
-        if len(self.levels) == 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return self.order[p], self.order[q]
+            self.levels.append((np.bitwise_or.reduceat(base, cuts, axis=0), np.minimum.reduceat(low, cuts), *(np.maximum.reduceat(x, cuts) for x in (high, spare, most))))
+
+    def at(self, level: int) -> tuple[np.ndarray, ...]:
+        """A level; above the root there is the root again."""
+        return self.levels[min(level, len(self.levels) - 1)]
+
+
+def possible(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Which node pairs may hold a similar pair: sizes that fit, and enough overlap at best."""
+    base, low, high, spare, most = left
+    base2, low2, high2, spare2, most2 = right
+    ok = (100 * high[p] >= percent * low2[q]) & (100 * high2[q] >= percent * low[p])
+    ok &= np.minimum(most[p], most2[q]) >= needed_overlap(low[p], low2[q], percent)
+    at = np.flatnonzero(ok)
+    step = max(1, (16 << 20) // (base.shape[1] * 8))
+    for k in range(0, len(at), step):
+        i = at[k : k + step]
+        both = np.bitwise_count(base[p[i]] & base2[q[i]]).sum(axis=1).astype(np.int64)
+        ok[i] = both + np.minimum(spare[p[i]], spare2[q[i]]) >= needed_overlap(low[p[i]], low2[q[i]], percent)
+    return ok
+
+
+def traversed(left: SignatureTree, right: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document pairs that a dual traversal leaves, as places of each tree's input; each pair once if the trees are one."""
+    same, top = left is right, max(len(left.levels), len(right.levels)) - 1
+    p = q = np.zeros(0 if same and not top else 1, np.int64)
+    if not top and not same:
+        keep = possible(left.at(0), right.at(0), p, q, percent)
+        p, q = p[keep], q[keep]
+    for level in range(top - 1, -1, -1):
+        one, two = left.at(level), right.at(level)
+        got = []
+        for k in range(0, len(p), 1 << 12):
+            a = np.repeat(p[k : k + (1 << 12), None] * FANOUT + np.arange(FANOUT), FANOUT, axis=1).ravel()
+            b = np.tile(q[k : k + (1 << 12), None] * FANOUT + np.arange(FANOUT), (1, FANOUT)).ravel()
+            fit = (a < len(one[1])) & (b < len(two[1]))
+            if same:
+                fit &= (a < b) if level == 0 else (a <= b)
+            a, b = a[fit], b[fit]
+            keep = possible(one, two, a, b, percent)
+            got.append((a[keep], b[keep]))
+        p, q = (np.concatenate([g[k] for g in got]) for k in (0, 1)) if got else (np.zeros(0, np.int64),) * 2
+    return left.order[p], right.order[q]
+
+
+#: What a row is to its group: compared with those of the other side, or, BOTH, with every other one.
+LEFT, RIGHT, BOTH = 1, 2, 3
+
+
+def candidates(sizes: np.ndarray, reach: np.ndarray, bits: list[bytes], role: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group that may be similar. Bitmaps are as wide as the shortest set's, so sizes are
+    first split into ranges; a similar pair is in one range or in two that adjoin."""
+    bucket = np.zeros(len(sizes), np.int64)
+    if sizes.max() * percent > 100 * sizes.min():
+        # A little more than the factor between similar sets keeps rounding out.
+        bucket = np.floor(np.log(sizes) / math.log(100 / percent * 1.0001)).astype(np.int64)
+    trees: dict[tuple[int, int, int], SignatureTree] = {}
+
+    def tree(side: int, k: int, width: int) -> SignatureTree:
+        if (side, k, width) not in trees:
+            at = places[side, k]
+            trees[side, k, width] = SignatureTree(sizes[at], reach[at], [bits[x] for x in at.tolist()], width)
+        return trees[side, k, width]
+
+    whole = bool((role == BOTH).all())
+    places = {(s, k): at for s in ((BOTH,) if whole else (LEFT, RIGHT)) for k in np.unique(bucket).tolist() if len(at := np.flatnonzero((bucket == k) & (role == s)))}
+    found = []
+    for side, k in places:
+        if side == RIGHT:
+            continue
+        for other in (k, k + 1) if whole else (k - 1, k, k + 1):
+            pair = (BOTH if whole else RIGHT, other)
+            if pair in places:
+                width = min(len(bits[x]) for at in ((side, k), pair) for x in places[at].tolist())
+                i, j = traversed(tree(side, k, width), tree(*pair, width), percent)
+                found.append((places[side, k][i], places[pair][j]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
 
 
 def allowed(group: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Pairs that this task answers for: not two visitors, one of each chunk, of different components,
-    and not compared in a round before, as two that picked the same tree of this size range were."""
-    home, side, comp = (np.asarray(group[c]) for c in ("home", "side", "comp"))
-    ok = (home[i] | home[j]) & (comp[i] != comp[j])
-    for pick in PICKS:
-        token = np.asarray(group[pick])
-        ok &= token[i] != token[j]
-    return ok & (side[i] != side[j]) if group["lo"][0].as_py() != group["hi"][0].as_py() else ok
+    """Pairs of different components that weren't compared in the first round, as two that picked one whole tree were."""
+    comp, token = np.asarray(group["comp"]), np.asarray(group["pick"].fill_null(0))
+    there = np.asarray(group["pick"].is_valid())
+    return (comp[i] != comp[j]) & ((token[i] != token[j]) | ~there[i] | ~there[j])
 
 
-KEYS = ["token", "k", "lo", "hi"]
-#: Rounds in which each document compares itself in one tree only, before all that is left. A pick is a
-#: tree's token; a document that hasn't picked has its own node there, which no other has.
-PICKS = ["p1", "p2"]
-MEMBER = "token long, k int, lo int, hi int, node long, home boolean, side int, size long, comp long, p1 long, p2 long"
+KEYS = ["token", "lo", "hi"]
+MEMBER = "token long, lo int, hi int, node long, role int, size long, whole boolean, reach long, comp long, pick long"
+NAMES = [field.split()[0] for field in MEMBER.split(", ")]
 
 
 def prune(percent: int):
     """For by_group: the members that have a possible partner in another component."""
 
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, j = SignatureTree(np.asarray(group["n"]), group["bits"].to_pylist()).pairs(percent)
+        i, j = candidates(*(np.asarray(group[c]) for c in ("n", "reach")), group["bits"].to_pylist(), np.asarray(group["role"]), percent)
         fit = allowed(group, i, j)
         use = np.unique(np.concatenate([i[fit], j[fit]]))
         if len(use):
-            out = group.select([*KEYS, "node", "home", "side", "size", "comp", *PICKS]).take(pa.array(use)).combine_chunks()
-            yield from out.to_batches()
+            yield from group.select(NAMES).take(pa.array(use)).combine_chunks().to_batches()
 
     return by_group(KEYS, None, work)
 
 
-def verify(percent: int):
-    """For by_group: links of whole sets that join components, a spanning forest of the group's links."""
+def verify(percent: int, first: bool):
+    """For by_group: links of whole sets that join components, a spanning forest of the group's links.
+
+    In the first round no pair of a tree counts as another tree's: those who pick it are all compared.
+    """
 
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
         node, comp = np.asarray(group["node"]), np.asarray(group["comp"]).copy()
         sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
         n = np.array([len(s) for s in sets], np.int64)
-        i, j = SignatureTree(n, [signature(s) for s in sets]).pairs(percent)
+        i, j = candidates(n, n if first else np.asarray(group["reach"]), [signature(s, 8) for s in sets], np.asarray(group["role"]), percent)
         fit = allowed(group, i, j)
         i, j = i[fit], j[fit]
         if not len(i):
@@ -298,67 +365,119 @@ def grouped(df: DataFrame, work, schema: str) -> DataFrame:
     return df.repartition(*[F.col(k) for k in KEYS]).sortWithinPartitions(*KEYS).mapInArrow(work, schema)
 
 
+ENTRY = "token long, at int, node long, mark long, n long, rare long, weight long, hot boolean"
+
+
+def parts_of(some: Column, shingles: Column, size: Column) -> Column:
+    """Into how many parts some of a tree's members are dealt, so that rows don't grow with the square of its size."""
+    chunk = F.greatest(F.lit(CHUNK), F.least(F.lit(MOST_CHUNK), F.ceil(size / 4)))
+    return F.least(some, F.greatest(F.ceil(some / chunk), F.ceil(shingles / CHUNK_SHINGLES))).cast("int")
+
+
 def tree_members(classes: DataFrame, percent: int) -> DataFrame:
-    """(token, k, lo, hi, node, home, side, size): who stands in which tree, cut into chunk pairs."""
-    entries = classes.select(F.explode("prefix").alias("token"), "node", "n")
-    entries = entries.repartition("token").sortWithinPartitions("token").mapInArrow(shared_only, "token long, node long, n long")
-    # Similar sets differ in size by a factor of 100 / percent at most; a little more keeps rounding out.
-    k = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent * 1.0001))).cast("int")
-    entries = written(entries.select("token", "node", F.explode(F.array(F.struct(k.alias("k"), F.lit(True).alias("home")), F.struct((k - 1).alias("k"), F.lit(False).alias("home")))).alias("r")).select("token", "r.k", "node", "r.home"), "entries")
-
-    def tag(seed: int) -> Column:
-        return F.bit_xor(F.xxhash64("node", "home", F.lit(seed)))
-
-    roots = entries.groupBy("token", "k").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("home").cast("int")).alias("homes"), tag(1).alias("x"), tag(2).alias("y"))
-    roots = roots.where("size > 1 and homes > 0").groupBy("k", "size", "x", "y").agg(F.min("token").alias("token"))
-    roots = written(roots.select("token", "k", "size"), "roots")
-    parts = F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")
-    rows = entries.join(roots, ["token", "k"]).withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("token", "k", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "node", "home", "side", "size")
-    out = written(rows, "members")
+    """(token, size, parts, node, n, rare, weight, reach): who stands in which tree; trees of several parts are too large for a task."""
+    entries = classes.select(F.posexplode("prefix").alias("at", "token"), "node", F.xxhash64("fp").alias("mark"), "n", "rare", "weight")
+    entries = entries.select("token", "at", "node", "mark", "n", "rare", "weight", (F.col("at") >= F.col("rare")).alias("hot"))
+    # Marked shingles are shared as a rule and may be hot keys: they needn't meet to be found shared.
+    alone = entries.where("not hot").repartition("token").sortWithinPartitions("token").mapInArrow(shared_only, ENTRY)
+    entries = written(alone.union(entries.where("hot")), "entries")
+    tags = [F.bit_xor(F.xxhash64("mark", F.lit(seed))).alias(name) for seed, name in ((1, "x"), (2, "y"))]
+    roots = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("n").alias("low"), F.bool_and("hot").alias("hot"), *tags).where("size > 1")
+    # Of trees with equal members, the one of the first shingle in the order (unmarked ones first, then as unsigned numbers).
+    order = F.struct("hot", F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), "token")
+    roots = roots.groupBy("size", "shingles", "low", "x", "y").agg(F.min(order).alias("first"))
+    parts = F.when(F.col("size") > 2, parts_of(F.col("size"), F.col("shingles"), F.col("size"))).otherwise(1)
+    roots = written(roots.select("first.token", "size", "low", parts.alias("parts")), "roots")
+    reach = F.col("n") - F.col("at")
+    # No member is smaller than low or, if it is similar to another, than its share of that one.
+    least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    rows = entries.join(roots, "token").where(reach * (100 + percent) >= percent * (F.col("n") + least))
+    out = written(rows.select("token", "size", "parts", "node", "n", "rare", "weight", reach.alias("reach")), "members")
     dropped(entries, roots)
     return out
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, map_bits: int = MAP_BITS) -> DataFrame:
+def part_of(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), parts).cast("int")
+
+
+def first_rows(members: DataFrame) -> DataFrame:
+    """Groups of the first round: whole trees, and each part of a large one with the tree's pivot."""
+    none = F.lit(None).cast("long").alias("pick")
+    large = members.where("parts > 1")
+    # The fewest unmarked shingles; then the most copies, the largest set and the smallest id.
+    rank = F.struct("rare", (-F.col("weight")).alias("weight"), (-F.col("n")).alias("n"), "node", "reach")
+    pivots = large.groupBy("token", "size", "parts").agg(F.min(rank).alias("p"))
+    pivots = pivots.select("token", F.lit(0).alias("lo"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hi"), F.col("p.node").alias("node"), F.lit(LEFT).alias("role"), "size", F.lit(False).alias("whole"), F.col("p.reach").alias("reach"), F.col("p.node").alias("comp"), none)
+    one = F.col("parts") == 1
+    rows = members.select("token", F.lit(0).alias("lo"), F.when(one, 0).otherwise(part_of(F.col("parts"))).alias("hi"), "node", F.when(one, BOTH).otherwise(RIGHT).alias("role"), "size", one.alias("whole"), "reach", F.col("node").alias("comp"), none)
+    return rows.union(pivots)
+
+
+def last_rows(members: DataFrame, left: DataFrame, picked: DataFrame, found: DataFrame) -> DataFrame:
+    """Groups of the second round: what whole trees left, and what is outside a large tree's main component with all of the tree."""
+    comp = F.coalesce("component", "node").alias("comp")
+    whole = left.where("whole").drop("comp", "pick").join(found, "node", "left").join(picked.withColumnRenamed("token", "pick"), "node", "left")
+    whole = whole.select(*NAMES[:-2], comp, "pick")
+    several = whole.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
+    whole = whole.join(several, "token", "left_semi")
+    large = members.where("parts > 1").join(found, "node", "left").select("token", "size", "parts", "node", "n", "reach", comp)
+    large = written(large, "large")
+    main = large.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"))
+    main = main.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), F.sum("shingles").alias("shingles")).where("c > main.c")
+    outer = F.col("c") - F.col("main.c")
+    rest = parts_of(outer, F.ceil(F.col("shingles") * outer / F.col("c")), F.col("c"))
+    main = main.select("token", F.col("main.comp").alias("main"), rest.alias("rest"))
+    rows = large.join(main, "token")
+    lo, hi = part_of(F.col("rest")), part_of(F.col("parts"))
+    tail = [F.lit(False).alias("whole"), "reach", "comp", F.lit(None).cast("long").alias("pick")]
+    all_ = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("lo"), hi.alias("hi"), "node", F.lit(RIGHT).alias("role"), "size", *tail)
+    outside = rows.where("comp != main").select("token", lo.alias("lo"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hi"), "node", F.lit(LEFT).alias("role"), "size", *tail)
+    return whole.union(all_).union(outside)
+
+
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id, fp): a row per row of docs; fp marks equal sets."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    often = prefix_tokens(docs, width, percent).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("token")
-    table = written(signed(docs, marks(often, map_bits), width, percent), "signed")
-    classes = table.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first(F.struct("n", "prefix", "bits")).alias("s"))
-    classes = written(classes.select("fp", "node", "s.*"), "classes")
+    counts = prefix_tokens(docs, width, percent).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    table = written(signed(docs, frequent(counts, hot), width, percent), "signed")
+    usable = table.where("n > 0 and doc_id is not null")
+    classes = usable.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first(F.struct("n", "rare", "prefix", "bits")).alias("s"))
+    # Unlike texts of one doc_id are classes with one node: what any of them meets, the document meets.
+    classes = written(classes.select("fp", "node", "weight", "s.*"), "classes")
     rows = written(table.select("doc_id", F.col("n").alias("n_shingles"), "fp"), "rows")
     dropped(table)
+    ids = written(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y").select("doc_id"), "shared-ids")
     members = tree_members(classes, percent)
     sketch = classes.select("node", "n", "bits")
 
     def pruned(rows: DataFrame) -> DataFrame:
         return written(grouped(rows.join(sketch, "node"), prune(percent), MEMBER), "pruned")
 
-    left = pruned(members.withColumns({c: F.col("node") for c in ("comp", *PICKS)}))
-    nodes = left.select("node").distinct()
-    sets = sets_of(docs, marks(nodes, map_bits), width).dropDuplicates(["doc_id", "fp"]).withColumnRenamed("doc_id", "node").drop("n")
+    left = pruned(first_rows(members))
+    nodes = written(left.select("node").union(members.where("parts > 1").select("node")).distinct(), "nodes")
+    sets = sets_of(docs, marks(nodes, map_bits(nodes.count())), width).dropDuplicates(["doc_id", "fp"]).withColumnRenamed("doc_id", "node").drop("n")
     sets = written(sets.join(nodes, "node", "left_semi").select("node", "shingles"), "sets")
 
-    def verified(rows: DataFrame) -> DataFrame:
-        return written(grouped(rows.join(sets, "node"), verify(percent), "a long, b long"), "verified")
-
-    found = None
-    for pick in PICKS:
-        picked = written(left.groupBy("node", "k").agg(F.max(F.struct("size", "token")).alias("p")).select("node", "k", F.col("p.token").alias("token")), "picks")
-        links = verified(left.join(picked, ["node", "k", "token"]))
-        old, found = found, components(links if found is None else links.union(found))
-        moved = left.drop("comp", pick).join(picked.withColumnRenamed("token", pick), ["node", "k"]).join(found, "node", "left")
-        after = pruned(moved.withColumn("comp", F.coalesce("component", "node")).drop("component"))
-        dropped(left, picked, links, *([old] if old is not None else []))
-        left = after
-    links = verified(left)
+    def verified(rows: DataFrame, first: bool) -> DataFrame:
+        return written(grouped(rows.join(sets, "node"), verify(percent, first), "a long, b long"), "verified")
+
+    picked = left.where(F.col("role") != LEFT).groupBy("node").agg(F.max(F.struct("size", "token", "whole")).alias("p"))
+    picked = written(picked.select("node", "p.token", "p.whole"), "picks")
+    once = left.where(F.col("role") != LEFT).join(picked.drop("whole"), ["node", "token"]).select(*NAMES)
+    links = verified(once.union(left.where(F.col("role") == LEFT)), True)
+    # All classes of a doc_id that has several are one document.
+    owners = rows.join(ids, "doc_id", "left_semi").join(classes.select("fp", "node"), "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = components(links.union(owners))
+    after = pruned(last_rows(members, left, picked.where("whole").drop("whole"), found))
+    dropped(members, left, links, picked)
+    links = verified(after, False)
     old, found = found, components(links.union(found))
-    dropped(members, left, links, old)
-    label = classes.select("fp", F.col("node")).join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    label = written(label, "labels")
-    dropped(classes, sets, found)
-    out = rows.join(label, "fp", "left")
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "fp")
+    dropped(after, links, old)
+    label = written(classes.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "labels")
+    # A text without words has its document's component too.
+    also = rows.join(ids, "doc_id", "left_semi").join(label, "fp").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+    also = written(also, "of-ids")
+    dropped(classes, sets, found, nodes, ids)
+    out = rows.join(label, "fp", "left").join(also, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_id", "component_id", "doc_id")).alias("component_id"), "fp")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.llm.common import dropped, mixed, sliced, split_words, written
-from loomframe.llm.jaccard_join import MAP_BITS, marked, marks
+from loomframe.llm.jaccard_join import map_bits, marked, marks
 
 LEAST_WORDS = 25
 BREAK = re.compile(r"(?<=[.!?])(?=[\x20\x09\x0B-\x0D])|(?<=\n)")
@@ -89,7 +89,15 @@ def cut(text: str, repeated: set[int], least_words: int) -> tuple[str, list[tupl
     return "".join([*kept, text[at:]]), spans, sum(1 for f in forms if f), gone, words
 
 
-def repeated_units(docs: DataFrame, map_bits: int = MAP_BITS) -> DataFrame:
+def map_of(values: DataFrame) -> np.ndarray:
+    """The map of the values' bits, its size after their number."""
+    table = written(values, "repeated")
+    out = marks(table, map_bits(table.count()))
+    dropped(table)
+    return out
+
+
+def repeated_units(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, places): the units of each text that an earlier unit equals; mark is the text's digest."""
     spark = docs.sparkSession
 
@@ -100,7 +108,7 @@ def repeated_units(docs: DataFrame, map_bits: int = MAP_BITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["h", "n"])
 
     often = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    shared = spark.sparkContext.broadcast(marks(often, map_bits))
+    shared = spark.sparkContext.broadcast(map_of(often))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -177,7 +185,7 @@ def pieces(texts: list[str | None], width: int) -> tuple[np.ndarray, ...]:
     return row[at], at - offsets[row[at]], after - at, begin[at] - offsets[row[at]], name[at], whole, at
 
 
-def repeated_windows(docs: DataFrame, width: int, map_bits: int = MAP_BITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, mark, covers): from each place (in words) of a text, how many windows equal an earlier one."""
     spark = docs.sparkSession
 
@@ -187,7 +195,7 @@ def repeated_windows(docs: DataFrame, width: int, map_bits: int = MAP_BITS) -> D
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["h", "n"])
 
     often = docs.where("doc_id is not null").select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    shared = spark.sparkContext.broadcast(marks(often, map_bits))
+    shared = spark.sparkContext.broadcast(map_of(often))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -272,16 +280,16 @@ def cut_words(text: str, repeated: set[int], covers: list[tuple[int, int]], leas
     return "".join([*kept, text[at:]]), spans, len(solid), lost, words
 
 
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, map_bits: int = MAP_BITS, anywhere: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, anywhere: bool = False) -> DataFrame:
     """docs with clean_text, spans (array of start and end), n_units, n_removed and removed_words."""
     clash = set(OWN) & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"the input already has {sorted(clash)}")
     names = docs.columns
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    places = repeated_units(slim, map_bits)
+    places = repeated_units(slim)
     if anywhere:
-        places = places.join(repeated_windows(slim, least_words, map_bits), ["doc_id", "mark"], "full")
+        places = places.join(repeated_windows(slim, least_words), ["doc_id", "mark"], "full")
     else:
         places = places.withColumn("covers", F.lit(None).cast("array<struct<place:int,n:int>>"))
     places = places.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), F.col("places").alias("_places"), F.col("covers").alias("_covers"))

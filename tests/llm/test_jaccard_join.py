@@ -89,14 +89,72 @@ def test_tree_prunes_no_similar_pair():
         for _ in range(9):
             sets.append(np.unique(np.where(rng.random(len(base)) < 0.06, rng.integers(0, 1 << 63, len(base), dtype=np.uint64), base)))
     n = np.array([len(s) for s in sets])
-    i, j = J.SignatureTree(n, [J.signature(s) for s in sets]).pairs(80)
+    bits = [J.signature(s) for s in sets]
+    similar = {(b, a) for a in range(len(sets)) for b in range(a) if 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (n[a] + n[b] - c)}
+    i, j = J.candidates(n, n, bits, np.full(len(n), J.BOTH), 80)
     left = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
     assert len(left) == len(i) < len(sets) * (len(sets) - 1) // 2 // 3
-    for a in range(len(sets)):
-        for b in range(a):
-            common = len(np.intersect1d(sets[a], sets[b]))
-            if 100 * common >= 80 * (n[a] + n[b] - common):
-                assert (b, a) in left
+    assert similar <= left
+    role = np.where(np.arange(len(n)) % 3 == 0, J.LEFT, J.RIGHT)
+    i, j = J.candidates(n, n, bits, role, 80)
+    assert (role[i] == J.LEFT).all() and (role[j] == J.RIGHT).all()
+    assert {p for p in similar if role[p[0]] != role[p[1]]} <= {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
+
+
+def near_copies(n, seed=7):
+    """n texts of 150 words, each with one to three words of its own."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(150)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for e in range(rng.choice([1, 1, 2, 3])):
+            w[rng.randrange(150)] = f"own{k}x{e}"
+        out.append((k, " ".join(w)))
+    return out
+
+
+def test_rows_grow_with_the_group(spark, monkeypatch):
+    """Rows of each round by the members of a group of near copies: in proportion, not with the square."""
+    made = {}
+
+    def kept(df, name):
+        out = written(df, name)
+        if name == "pruned":
+            made.setdefault("pruned", []).append(out.count())
+        return out
+
+    from loomframe.llm.common import written
+
+    monkeypatch.setattr(J, "written", kept)
+    share = {}
+    for n in (500, 1500, 3000):
+        made.clear()
+        rows = near_copies(n)
+        got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).select("doc_id", "component_id").collect()
+        share[n] = sum(made["pruned"]) / n
+        if n == 500:
+            want = {d: c for (d, _), (_, c) in brute(rows).items()}
+            assert {r.doc_id: r.component_id for r in got} == want
+    assert share[3000] < 1.5 * share[500], share
+
+
+def test_shared_ids(spark):
+    """Unlike texts of one doc_id are one document, with the links of each."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b + " more"), (5, ""), (7, c), (7, "x y"), (8, "x y"), (6, None), (6, c)]
+    want = {3: 3, 5: 3, 9: 3, 7: 6, 8: 6, 6: 6}
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+
+
+def test_shared_ids_in_hot_trees(spark, monkeypatch):
+    monkeypatch.setattr(J, "CHUNK", 8)
+    rng = random.Random(11)
+    rows = [(rng.randrange(40), t) for _, t in near_copies(60, 3)] + [(rng.randrange(40), t) for _, t in corpus(5)[:60]]
+    want = {d: c for (d, _), (_, c) in brute(rows).items()}
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), hot=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
 
 
 def test_components(spark):
