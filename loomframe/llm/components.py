@@ -98,3 +98,19 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(large, table)
         table = after
     return table.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def with_least(classes: DataFrame, found: DataFrame, lead: str) -> DataFrame:
+    """classes, which have a `node`, with `first`: the least `lead` of the classes of their component; found is what components gave."""
+    members = found.union(found.select(F.col("component").alias("node"), "component").distinct())
+    least = classes.select("node", lead).join(members, "node").groupBy("component").agg(F.min(lead).alias("first"))
+    # As in told, a disguised key leaves the join of a hot component splittable.
+    least = least.select(F.bitwise_not("component").alias("_c"), "first")
+    rows = classes.join(members, "node", "left").withColumn("_c", F.bitwise_not("component")).join(least, "_c", "left")
+    return rows.withColumn("first", F.coalesce("first", lead)).drop("_c", "component")
+
+
+def owners(rows: DataFrame, key: str) -> DataFrame:
+    """Links (a, b) between the nodes that rows of one key have: from each to the least."""
+    least = rows.groupBy(key).agg(F.min("node").alias("b"))
+    return rows.join(least, key).where("node != b").select(F.col("node").alias("a"), "b").distinct()

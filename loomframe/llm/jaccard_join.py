@@ -15,15 +15,16 @@
    After that, members outside the tree's largest component are compared with all members; trees within
    one component are done. So rows grow with a tree's members and with those that the pivot left out.
 5. Verification emits only links that join two sets of documents (a spanning forest), never all pairs
-   of a group. In the first round each document takes part in its largest tree only; the second one
-   takes all that is left, without the pairs that are in one component by then or were compared in a
-   tree that both picked. No other pair is skipped.
+   of a group. In the first round each document takes part in its largest tree only, in the second each
+   in its largest of those that a finer bitmap leaves; the third one takes all that is left, without the
+   pairs that are in one component by then or were compared in a tree that both picked in the first
+   round. No other pair is skipped.
 
 Defined results: null, empty or blank texts have no shingles and link with nothing; texts of fewer
 words than a shingle are one shingle; rows with equal doc_id are one document, which has the links of
-all its texts and one component; a null doc_id links with nothing and has a null component; repeated
-rows are all returned; other columns of the input are ignored. Shingles are compared as 64-bit hashes,
-sets as 128-bit fingerprints.
+all its texts and one component, unless `by_text` makes unlike texts of a doc_id documents of their own;
+a null doc_id links with nothing and has a null component; repeated rows are all returned; other columns
+of the input are ignored. Shingles are compared as 64-bit hashes, sets as 128-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import by_group, dropped, mixed, sliced, split_words, tidy, written
-from loomframe.llm.components import components
+from loomframe.llm.components import components, owners, with_least
 
 WIDTH, PERCENT = 5, 80
 #: A shingle in more prefixes than this is ordered last.
@@ -47,8 +48,8 @@ HOT = 32
 LEAST_MAP, MOST_MAP = 1 << 20, 1 << 27
 #: Documents of a tree that one task takes from either side: a quarter, within these; shingles; fan-out.
 CHUNK, MOST_CHUNK, CHUNK_SHINGLES, FANOUT = 256, 1 << 13, 1 << 21, 8
-#: Bits of a signature: the power of two at or above the set's size, within these.
-LEAST_BITS, MOST_BITS = 64, 1 << 17
+#: Bits of a signature: the power of two at or above the set's size, within these; the finer one has FINE times the bits.
+LEAST_BITS, MOST_BITS, FINE = 64, 1 << 17, 8
 
 
 # Sets ---------------------------------------------------------------------------------------------
@@ -136,7 +137,7 @@ def prefix_tokens(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def signed(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, rare, fp, prefix, bits) of every row; rare counts the set's unmarked shingles."""
+    """(doc_id, mark, n, rare, fp, prefix, bits) of every row; mark is its text's hash, rare counts the set's unmarked shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,13 +153,13 @@ def signed(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFr
                 bits.append(signature(s))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(fp, pa.binary()), lists, pa.array(bits, pa.binary())], ["doc_id", "n", "rare", "fp", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(fp, pa.binary()), lists, pa.array(bits, pa.binary())], ["doc_id", "mark", "n", "rare", "fp", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, rare long, fp binary, prefix array<long>, bits binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n long, rare long, fp binary, prefix array<long>, bits binary")
 
 
 def sets_of(docs: DataFrame, needed: np.ndarray, width: int) -> DataFrame:
-    """(doc_id, fp, n, shingles) of the rows whose doc_id's bit is marked."""
+    """(doc_id, fp, n, fine, shingles) of the rows whose doc_id's bit is marked; fine is the finer bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(needed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +167,9 @@ def sets_of(docs: DataFrame, needed: np.ndarray, width: int) -> DataFrame:
             batch = whole.filter(pa.array(marked(shared.value, np.asarray(whole.column("doc_id")).astype(np.int64).view(np.uint64))))
             for part in sliced(iter([batch]), "text"):
                 found = list(shingle_sets(part.column("text"), width))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "fp", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()), pa.array([signature(s, FINE) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "fp", "n", "fine", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, fp binary, n long, shingles binary")
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, fp binary, n long, fine binary, shingles binary")
 
 
 # Trees --------------------------------------------------------------------------------------------
@@ -308,7 +309,7 @@ def verify(percent: int, first: bool):
         node, comp = np.asarray(group["node"]), np.asarray(group["comp"]).copy()
         sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
         n = np.array([len(s) for s in sets], np.int64)
-        i, j = candidates(n, n if first else np.asarray(group["reach"]), [signature(s, 8) for s in sets], np.asarray(group["role"]), percent)
+        i, j = candidates(n, n if first else np.asarray(group["reach"]), [signature(s, FINE) for s in sets], np.asarray(group["role"]), percent)
         fit = allowed(group, i, j)
         i, j = i[fit], j[fit]
         if not len(i):
@@ -365,7 +366,7 @@ def grouped(df: DataFrame, work, schema: str) -> DataFrame:
     return df.repartition(*[F.col(k) for k in KEYS]).sortWithinPartitions(*KEYS).mapInArrow(work, schema)
 
 
-ENTRY = "token long, at int, node long, mark long, n long, rare long, weight long, hot boolean"
+ENTRY = "token long, at int, node long, n long, rare long, weight long, hot boolean"
 
 
 def parts_of(some: Column, shingles: Column, size: Column) -> Column:
@@ -376,12 +377,12 @@ def parts_of(some: Column, shingles: Column, size: Column) -> Column:
 
 def tree_members(classes: DataFrame, percent: int) -> DataFrame:
     """(token, size, parts, node, n, rare, weight, reach): who stands in which tree; trees of several parts are too large for a task."""
-    entries = classes.select(F.posexplode("prefix").alias("at", "token"), "node", F.xxhash64("fp").alias("mark"), "n", "rare", "weight")
-    entries = entries.select("token", "at", "node", "mark", "n", "rare", "weight", (F.col("at") >= F.col("rare")).alias("hot"))
+    entries = classes.select(F.posexplode("prefix").alias("at", "token"), "node", "n", "rare", "weight")
+    entries = entries.select("token", "at", "node", "n", "rare", "weight", (F.col("at") >= F.col("rare")).alias("hot"))
     # Marked shingles are shared as a rule and may be hot keys: they needn't meet to be found shared.
     alone = entries.where("not hot").repartition("token").sortWithinPartitions("token").mapInArrow(shared_only, ENTRY)
     entries = written(alone.union(entries.where("hot")), "entries")
-    tags = [F.bit_xor(F.xxhash64("mark", F.lit(seed))).alias(name) for seed, name in ((1, "x"), (2, "y"))]
+    tags = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(name) for seed, name in ((1, "x"), (2, "y"))]
     roots = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("n").alias("low"), F.bool_and("hot").alias("hot"), *tags).where("size > 1")
     # Of trees with equal members, the one of the first shingle in the order (unmarked ones first, then as unsigned numbers).
     order = F.struct("hot", F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), "token")
@@ -436,48 +437,86 @@ def last_rows(members: DataFrame, left: DataFrame, picked: DataFrame, found: Dat
     return whole.union(all_).union(outside)
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, fp): a row per row of docs; fp marks equal sets."""
+def with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of groups with their components of now; groups within one are done."""
+    rows = rows.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).select(*NAMES)
+    several = rows.groupBy(*KEYS).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select(*KEYS)
+    return rows.join(several, KEYS, "left_semi")
+
+
+def picked_rows(rows: DataFrame) -> DataFrame:
+    """Of each document that looks for partners, the rows of its largest tree, and the partners in those groups."""
+    seeks = rows.where(F.col("role") != RIGHT)
+    picked = seeks.groupBy("node").agg(F.max(F.struct("size", "token")).alias("p")).select("node", "p.token")
+    seeks = seeks.join(picked, ["node", "token"]).select(*NAMES)
+    return seeks.union(rows.where(F.col("role") == RIGHT).join(seeks.select(*KEYS).distinct(), KEYS, "left_semi").select(*NAMES))
+
+
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, by_text: bool = False) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id, leads): a row per row of docs.
+
+    mark is xxhash64 of the text. leads: the row is the one that stands for its component, the first by
+    doc_id and mark, or equal to it; never without words or doc_id.
+    """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     counts = prefix_tokens(docs, width, percent).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     table = written(signed(docs, frequent(counts, hot), width, percent), "signed")
     usable = table.where("n > 0 and doc_id is not null")
-    classes = usable.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first(F.struct("n", "rare", "prefix", "bits")).alias("s"))
-    # Unlike texts of one doc_id are classes with one node: what any of them meets, the document meets.
-    classes = written(classes.select("fp", "node", "weight", "s.*"), "classes")
-    rows = written(table.select("doc_id", F.col("n").alias("n_shingles"), "fp"), "rows")
+    classes = usable.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("lead"), F.count(F.lit(1)).alias("weight"), F.first(F.struct("n", "rare", "prefix", "bits")).alias("s"))
+    # The numbers are fixed as they are written.
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "fp", "lead", "weight", "s.*"), "classes")
+    rows = written(table.select("doc_id", "mark", F.col("n").alias("n_shingles"), "fp"), "rows")
     dropped(table)
-    ids = written(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y").select("doc_id"), "shared-ids")
     members = tree_members(classes, percent)
     sketch = classes.select("node", "n", "bits")
 
-    def pruned(rows: DataFrame) -> DataFrame:
+    def pruned(rows: DataFrame, sketch: DataFrame) -> DataFrame:
         return written(grouped(rows.join(sketch, "node"), prune(percent), MEMBER), "pruned")
 
-    left = pruned(first_rows(members))
-    nodes = written(left.select("node").union(members.where("parts > 1").select("node")).distinct(), "nodes")
-    sets = sets_of(docs, marks(nodes, map_bits(nodes.count())), width).dropDuplicates(["doc_id", "fp"]).withColumnRenamed("doc_id", "node").drop("n")
-    sets = written(sets.join(nodes, "node", "left_semi").select("node", "shingles"), "sets")
+    left = pruned(first_rows(members), sketch)
+    nodes = left.select("node").union(members.where("parts > 1").select("node")).distinct()
+    nodes = written(classes.select("node", "fp", F.col("lead.doc_id").alias("doc_id")).join(nodes, "node", "left_semi"), "nodes")
+    sets = sets_of(docs, marks(nodes.select("doc_id"), map_bits(nodes.count())), width).dropDuplicates(["doc_id", "fp"])
+    sets = written(sets.join(nodes, ["doc_id", "fp"]).select("node", "n", "fine", "shingles"), "sets")
+    fine, whole = sets.select("node", "n", F.col("fine").alias("bits")), sets.select("node", "shingles")
 
     def verified(rows: DataFrame, first: bool) -> DataFrame:
-        return written(grouped(rows.join(sets, "node"), verify(percent, first), "a long, b long"), "verified")
+        return written(grouped(rows.join(whole, "node"), verify(percent, first), "a long, b long"), "verified")
 
     picked = left.where(F.col("role") != LEFT).groupBy("node").agg(F.max(F.struct("size", "token", "whole")).alias("p"))
     picked = written(picked.select("node", "p.token", "p.whole"), "picks")
     once = left.where(F.col("role") != LEFT).join(picked.drop("whole"), ["node", "token"]).select(*NAMES)
     links = verified(once.union(left.where(F.col("role") == LEFT)), True)
-    # All classes of a doc_id that has several are one document.
-    owners = rows.join(ids, "doc_id", "left_semi").join(classes.select("fp", "node"), "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(links.union(owners))
-    after = pruned(last_rows(members, left, picked.where("whole").drop("whole"), found))
-    dropped(members, left, links, picked)
-    links = verified(after, False)
+    found = components(links)
+    some = pruned(last_rows(members, left, picked.where("whole").drop("whole"), found), sketch)
+    dropped(members, left, links, picked, nodes)
+    close = pruned(some, fine)
+    dropped(some)
+    links = verified(picked_rows(close), False)
     old, found = found, components(links.union(found))
-    dropped(after, links, old)
-    label = written(classes.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "labels")
-    # A text without words has its document's component too.
-    also = rows.join(ids, "doc_id", "left_semi").join(label, "fp").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
-    also = written(also, "of-ids")
-    dropped(classes, sets, found, nodes, ids)
-    out = rows.join(label, "fp", "left").join(also, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_id", "component_id", "doc_id")).alias("component_id"), "fp")
+    dropped(links, old)
+    last = pruned(with_components(close, found), fine)
+    dropped(close)
+    links = verified(last, False)
+    dropped(last, sets)
+    more = links.union(found)
+    ids = None
+    if not by_text:
+        # A doc_id's unlike texts are one document: its classes are linked.
+        ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y")
+        ids = written(ids.select("doc_id"), "shared-ids")
+        more = more.union(owners(rows.join(ids, "doc_id", "left_semi").join(classes.select("fp", "node"), "fp").select("doc_id", "node"), "doc_id"))
+    old, found = found, components(more)
+    dropped(links, old)
+    label = written(with_least(classes.select("node", "fp", "lead"), found, "lead").select("fp", "first"), "labels")
+    dropped(classes, found)
+    out = rows.join(label, "fp", "left")
+    leads = F.coalesce((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.mark") == F.col("mark")), F.lit(False)).alias("leads")
+    component = F.coalesce("first.doc_id", "doc_id")
+    if ids is not None:
+        # A text without words has its document's component too.
+        also = rows.join(ids, "doc_id", "left_semi").join(label, "fp").groupBy("doc_id").agg(F.min("first.doc_id").alias("of_id"))
+        out = out.join(written(also, "of-ids"), "doc_id", "left")
+        dropped(ids)
+        component = F.coalesce("first.doc_id", "of_id", "doc_id")
+    return out.select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), leads)
