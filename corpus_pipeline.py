@@ -2,11 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents. Stages work on all
-rows that the one before kept; rows that share a doc_id stay apart up to the near-duplicate stage.
+rows that the one before kept; rows that share a doc_id but not their text stay apart.
 
 quality     documents that the classifier rejects go; it learns from the labelled rows of the training folds
-near_dups   of each component of near-duplicate texts the row with the smallest doc_id stays; of rows
-            that share it, one; documents without words or without a doc_id all stay
+near_dups   of each component of near-duplicate texts the row with the smallest doc_id stays, of equal
+            rows one; unlike texts of one doc_id are documents of their own; documents without words or
+            without a doc_id all stay
 repeats     repeated passages are cut out of all documents but the first; a document left without words goes
 mixture     one row for each run of words that the mix takes, in the order of the text; n_chars follows
 packing     the last stage: one row for each piece, with its sequence and offset
@@ -30,13 +31,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.jaccard_join(docs)
-    kept = found.where("doc_id = component_id and n_shingles > 0").select("doc_id").distinct()
-    worded = mixing.word_count(F.col("text")) > 0
-    first = Window.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary")))
-    chosen = docs.where(worded).join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    alone = docs.where(F.col("doc_id").isNull() | ~worded)
-    return chosen.select(*COLUMNS).unionByName(alone.select(*COLUMNS))
+    found = jaccard_join.jaccard_join(docs, by_text=True)
+    kept = found.where("leads").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    worded = (mixing.word_count(F.col("text")) > 0) & F.col("doc_id").isNotNull()
+    rows = docs.withColumn("_of", F.xxhash64("text"))
+    chosen = rows.where(worded).join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_of") == F.col("_mark"))).dropDuplicates(["doc_id", "_of"])
+    return chosen.select(*COLUMNS).unionByName(rows.where(~worded).select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
