@@ -9,16 +9,35 @@ from loomframe.llm import mixing
 SCHEMA = "doc_id long, text string, source string, n_chars long"
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100]) == [187.5, 75.0, 37.5]
-    got = mixing.targets([10, 1000, 1000])
+def targets(sizes, weights=mixing.WEIGHTS, most=mixing.MOST):
+    """What each source should give, by plain water filling."""
+    weight = [weights[k % len(weights)] for k in range(len(sizes))]
+    out = [0.0] * len(sizes)
+    left, open_ = float(sum(sizes)), set(range(len(sizes)))
+    while open_:
+        unit = left / sum(weight[k] for k in open_)
+        full = {k for k in open_ if unit * weight[k] > most * sizes[k]}
+        for k in full or open_:
+            out[k] = float(most * sizes[k]) if full else unit * weight[k]
+        if not full:
+            break
+        left -= sum(out[k] for k in full)
+        open_ -= full
+    return out
+
+
+def test_targets(spark):
+    assert targets([100, 100, 100]) == [187.5, 75.0, 37.5]
+    got = targets([10, 1000, 1000])
     assert got[0] == 30 and abs(sum(got) - 2010) < 1e-9 and got[1] == 2 * got[2]
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
-    for seed in range(20):
+    for seed in range(4):
         rng = random.Random(seed)
-        sizes = [rng.choice([0, 5, 100, 10**6]) for _ in range(rng.randrange(1, 9))]
-        got = mixing.targets(sizes)
-        assert all(t <= 3 * s + 1e-6 for t, s in zip(got, sizes)) and abs(sum(got) - sum(sizes)) < 1e-6 * max(1, sum(sizes))
+        sizes = [rng.choice([0, 5, 100, 10**6]) for _ in range(rng.choice([1, 2, 9, 300]))]
+        sized = spark.createDataFrame([(f"s{k:05d}", n) for k, n in enumerate(sizes)], "source string, size long").repartition(8)
+        rows = mixing.figures_of(sized, mixing.WEIGHTS, 3, 128).orderBy("k").collect()
+        assert [r.k for r in rows] == list(range(len(sizes))) and [r.source_size for r in rows] == sizes
+        assert np.allclose([r.target for r in rows], targets(sizes), rtol=1e-12)
+        assert [r.base for r in rows] == [0, *np.cumsum([r.total for r in rows])[:-1].tolist()]
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 17, 64, 1000, 4097])
@@ -27,16 +46,19 @@ def test_permutation(size):
     assert sorted(a) == sorted(b) == list(range(size)) and (size < 60 or (a != b).any())
 
 
-def test_shards_add_up():
-    total = np.array([5000, 70, 0, 930, 2 * 10**9], np.int64)
-    shards = 7
-    slots = -(-int(total.sum()) // shards)
-    done = np.zeros_like(total)
-    for s in range(shards):
-        counts, before = mixing.shard_counts(total, s, shards, slots, 3)
-        assert (before == done).all() and counts.min() >= 0 and counts.sum() <= slots
-        done += counts
-    assert (done == total).all()
+@pytest.mark.parametrize("slots", [10**6, 5 * 10**12])
+def test_shard_counts_are_a_draw_at_every_size(slots):
+    """The sources of any shard's slots: near their shares, and no nearer than a draw would be."""
+    share, shards, size = 0.3, 200, 4096
+    lo = np.arange(shards)[:, None] * (slots // shards)
+    g = (lo + np.arange(min(size, slots // shards))).ravel()
+    inverse = np.empty(0)
+    # a slot's place among all is the permutation's; its inverse is a permutation as well, so shares are counted forward
+    inverse = mixing.permuted(g, slots, 7)
+    counts = (inverse.reshape(shards, -1) < share * slots).sum(axis=1)
+    n = inverse.size // shards
+    spread = np.sqrt(n * share * (1 - share))
+    assert abs(counts.mean() - n * share) < 4 * spread / np.sqrt(shards) and 0.8 < counts.std() / spread < 1.2
 
 
 def rows(seed=0):
@@ -56,7 +78,7 @@ def test_mix(spark):
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     names = sorted({r[2] for r in data if r[2]}) + [None]
     sizes = [sum(words(t) for _, t, s, _ in data if s == n) for n in names]
-    goal = dict(zip(names, mixing.targets(sizes)))
+    goal = dict(zip(names, targets(sizes)))
     source = {(d, words(t)): s for d, t, s, _ in data}
     taken = dict.fromkeys(names, 0)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.size) for r in got) == sorted((d is None, d or 0, words(t)) for d, t, _, _ in data)
@@ -71,7 +93,7 @@ def test_mix(spark):
     assert sorted(got, key=order) == sorted(again, key=order)
     # every slot of every shard is filled once
     slots = mix.slots.collect()
-    assert len({(r.shard, r.slot) for r in slots}) == len(slots)
+    assert sorted(r.shard * mixing.SHARD_SLOTS + r.slot for r in slots) == list(range(len(slots)))
     # the texts hold what was taken, in the order of the text
     texts = mix.texts(df).collect()
     held = {}
@@ -91,3 +113,23 @@ def test_empty(spark):
     assert mix.by_document().collect() == [] and mix.texts(spark.createDataFrame([], SCHEMA)).collect() == []
     mix = mixing.Mix(spark.createDataFrame([(1, None, None, None)], SCHEMA))
     assert [(r.size, r.target, r.taken) for r in mix.by_document().collect()] == [(0, 0.0, 0)]
+
+
+def test_clashing_names_types_and_many_sources(spark):
+    rng = random.Random(4)
+    data = [(k, f"a{k} b c", f"host{k % 700}", k, rng.random(), "r", k) for k in range(1500)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars int, _mark double, _runs string, _d int")
+    mix = mixing.Mix(df, block=4)
+    out = mix.texts(df)
+    assert out.columns == df.columns and dict(out.dtypes)["n_chars"] == "int"
+    whole = {r[0]: r for r in data}
+    got = out.collect()
+    assert got and all(r["_mark"] == whole[r.doc_id][4] and r["_d"] == r.doc_id and r.n_chars == len(r.text) and r.text in whole[r.doc_id][1] for r in got)
+    assert mix.figures.count() == 700
+
+
+def test_a_row_of_equal_texts_is_chosen_alike(spark):
+    data = [(1, "x y z", "s", None, f"l{k}") for k in range(6)]
+    schema = "doc_id long, text string, source string, n_chars long, lang string"
+    seen = {tuple(sorted(r.lang for r in mixing.Mix(df).texts(df).collect())) for df in (spark.createDataFrame(data, schema), spark.createDataFrame(data[::-1], schema).repartition(3))}
+    assert len(seen) == 1

@@ -60,14 +60,15 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     mark = {r.doc_id: r.mark for r in mix.sized.collect()}
     assert len(mark) == len(rest)
     want = {}
-    for k, source in enumerate(mix.sources):
+    for f in mix.figures.orderBy("k").collect():
+        k, source = f.k, f.source
         of_source = [r for r in rest if r[3] == source]
         buckets = max(1, math.isqrt(len(of_source)))
         own = sorted((order[r[0], mark[r[0]]][0] % buckets, order[r[0], mark[r[0]]][1], r[0], words(r[1])) for r in of_source)
         stream = [(d, i) for _, _, d, n in own for i in range(n)]
-        n = mix.blocks[k]
+        n = f.blocks
         slots = [r for r in mix.slots.where(f"k = {k}").collect()]
-        assert abs(len(slots) - mix.targets[k] * n / max(1, mix.sizes[k])) <= 1
+        assert abs(len(slots) - f.target * n / max(1, f.source_size)) <= 1
         for turn in {r.turn for r in slots}:
             got = sorted(r.block for r in slots if r.turn == turn)
             count = min(n, len(slots) - turn * n)
@@ -111,10 +112,15 @@ def test_each_stage_against_brute_force(spark, sf_dir):
 def test_odd_rows(spark, sf_dir):
     rng = random.Random(3)
     prose = " ".join(f"plain{rng.randrange(10**6)} word" for k in range(80)) + "."
-    rows = [(1, prose, "en", "a", None), (1, prose, "en", "a", None), (2, prose, None, None, 5), (None, prose + " x", "en", "b", 1), (3, None, None, None, None), (4, "", "en", "a", 0), (5, "tiny text", "en", "c", 9)]
+    rows = [(1, prose, "en", "a", None), (1, prose, "en", "a", None), (2, prose, None, None, 5), (None, prose + " x", "en", "b", 1), (3, None, None, None, None), (4, "", "en", "a", 0), (5, "tiny text", "en", "c", 9), (6, "long " * 200_000, "en", "d", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
     near = P.near_dups(spark, docs, sf_dir).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in near) == [(False, 1), (False, 3), (False, 4), (False, 5), (True, 0)]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in near) == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 6), (True, 0)]
+    # unlike texts of one doc_id are told apart; of near copies the first stays, whoever's they are
+    other = " ".join(f"other{k}" for k in range(60))
+    shared = spark.createDataFrame([(3, prose, "en", "a", 1), (5, prose, "en", "a", 1), (5, other, "en", "a", 1), (9, other + " x", "en", "a", 1), (5, other + " y", "en", "a", 1)], SCHEMA)
+    near = P.near_dups(spark, shared, sf_dir).collect()
+    assert len(near) == 2 and {r.doc_id for r in near} == {3, 5} and {r.text[:5] for r in near} == {"plain", "other"}
     for name, stage in P.STAGES:
         assert stage(spark, docs, sf_dir).columns == (P.COLUMNS if name != "packing" else ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
         assert stage(spark, docs, sf_dir).collect() is not None
