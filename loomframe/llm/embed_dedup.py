@@ -1,72 +1,85 @@
 """Embedding near-duplicates by random-hyperplane sign hashing in several tables, verified exactly.
 
-Equal vectors of a label become one class with a weight, so copies are never paired. Each class has
-`bits` signs in each of `tables` tables. Classes that share a label and a table's signs form a
-bucket; buckets with equal members are one. Large buckets are cut into chunks and each pair of
+Equal vectors of a label become one class with a weight, so copies are never paired. The signs and
+tables of a label follow from its number of rows n: log2(n) signs, so that unlike vectors are few in a
+bucket at every size, and as many tables as keep the chance to miss a pair at the threshold itself
+below `miss`; closer pairs are missed less often. Classes that share a label and a table's signs form
+a bucket; buckets with equal members are one. Large buckets are cut into chunks and each pair of
 chunks is a task. A pair is counted in the first bucket that holds it, which both classes' signs
 show; its cosine is computed in double precision from whole vectors. A task emits a count for each
-member and the links of a spanning forest, never its pairs.
-
-A pair with cosine 0.98 shares no bucket with probability (1 - (1 - acos(0.98) / pi) ** 14) ** 20,
-about 4e-5; closer pairs with less. Links that are found are exact.
+member and the links of a spanning forest, never its pairs. Links that are found are exact.
 
 Defined results: a null label, a null, empty or zero vector or one with null or non-finite
 components links with nothing: n_links 0, component_id its own id, kept; vectors of other length
 than the label's others are compared with those of their length only; rows that share a vec_id
-count as rows, and have one component; a null vec_id gets a null component; other columns are
-ignored; an empty table gives an empty table.
+count as rows, and are one vertex: they have one component, through the links of each; rows with a null
+vec_id count as links of others, but connect nothing and have a null component and a null kept; other
+columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import by_group, dropped, written
-from loomframe.llm.components import components
+from loomframe.llm.components import components, owners, with_least
+
+THRESHOLD, MISS, SEED, CHUNK = 0.98, 1e-4, 20240229, 512
+#: Signs of a code at least and at most, whatever a label's number of rows.
+LEAST_BITS, MOST_BITS = 8, 60
+
 
-THRESHOLD, BITS, TABLES, SEED, CHUNK = 0.98, 14, 20, 20240229, 512
+def tables_for(bits: int, threshold: float, miss: float) -> int:
+    """How many tables a pair at the threshold misses all of with a chance of `miss` at most."""
+    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    return max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
 
 
+@functools.lru_cache(64)
 def planes(size: int, bits: int, tables: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, size]).standard_normal((size, bits * tables))
+    return np.random.default_rng([seed, size, bits]).standard_normal((size, bits * tables))
 
 
 def signs(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
     """A row of `tables` codes for each vector."""
     positive = (vectors @ planes(vectors.shape[1], bits, tables, seed) > 0).reshape(len(vectors), tables, bits)
-    return (positive * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+    return positive @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def classes_of(vectors: DataFrame) -> DataFrame:
-    """(node, label, weight, raw): a row for each label and distinct usable vector."""
-    usable = F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.where("vec_id is not null").where(F.coalesce(usable, F.lit(False)))
-    # -0.0 and 0.0 are one component
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    return rows.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"))
+def usable(v: Column, label: Column) -> Column:
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(label.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
 
+def coded(classes: DataFrame, threshold: float, miss: float, seed: int) -> DataFrame:
+    """classes with codes, one for each table of their label."""
+    names = [n for n in classes.columns if n != "bits"]
 
-def coded(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("v")
+            lists, bits = batch.column("v"), np.asarray(batch.column("bits"))
             size = np.asarray(lists.value_lengths())
             flat, ends = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(size)])
-            out = np.zeros((len(size), tables), np.int32)
-            for n in np.unique(size).tolist():
-                at = np.flatnonzero(size == n)
+            each: list[np.ndarray] = [np.zeros(0, np.int64)] * len(size)
+            for n, b in set(zip(size.tolist(), bits.tolist())):
+                at = np.flatnonzero((size == n) & (bits == b))
                 rows = flat[ends[at][:, None] + np.arange(n)]
                 rows = rows / np.abs(rows).max(axis=1, keepdims=True)
-                out[at] = signs(rows, bits, tables, seed)
-            codes = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tables), pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("cls", "node", "label", "weight", "v")], codes], ["cls", "node", "label", "weight", "v", "codes"])
+                for k, codes in zip(at.tolist(), signs(rows, b, tables_for(b, threshold, miss), seed)):
+                    each[k] = codes
+            upto = np.concatenate([[0], np.cumsum([len(e) for e in each])])
+            codes = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate(each)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], codes], [*names, "codes"])
 
-    return classes.mapInArrow(run, "cls long, node long, label string, weight long, v array<double>, codes array<int>")
+    kinds = dict(classes.dtypes)
+    return classes.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", codes array<long>")
 
 
 KEYS = ["label", "t", "code", "dim", "lo", "hi"]
@@ -77,63 +90,83 @@ def linked(threshold: float):
 
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
         t, across = group["t"][0].as_py(), group["lo"][0].as_py() != group["hi"][0].as_py()
-        group = group.combine_chunks()
-        cls, node, weight, side = (np.asarray(group[c]) for c in ("cls", "node", "weight", "side"))
-        n = len(cls)
+        n = group.num_rows
         if n < 2:
             return
+        group = group.combine_chunks()
+        node, weight, side, named = (np.asarray(group[c]) for c in ("node", "weight", "side", "named"))
         v = np.asarray(group["v"].combine_chunks().flatten()).reshape(n, -1)
-        codes = np.asarray(group["codes"].combine_chunks().flatten()).reshape(n, -1)
         v = v / np.abs(v).max(axis=1, keepdims=True)
         v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-        ok = v @ v.T >= threshold
-        for k in range(t):
-            ok &= codes[:, None, k] != codes[None, :, k]
-        ok &= cls[:, None] != cls[None, :]
         if across:
-            ok &= side[:, None] != side[None, :]
-        partners = ok @ weight
-        some = np.flatnonzero(partners)
-        if not len(some):
+            one, two = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+            i, j = np.nonzero(v[one] @ v[two].T >= threshold)
+            i, j = one[i], two[j]
+            keep = side[i] != side[j]
+        else:
+            i, j = np.nonzero(v @ v.T >= threshold)
+            keep = i < j
+        i, j = i[keep], j[keep]
+        if t and len(i):
+            codes = np.asarray(group["codes"].combine_chunks().flatten()).reshape(n, -1)[:, :t]
+            new = np.concatenate([(codes[i[k : k + (1 << 16)]] != codes[j[k : k + (1 << 16)]]).all(axis=1) for k in range(0, len(i), 1 << 16)])
+            i, j = i[new], j[new]
+        if not len(i):
             return
-        kind, a, b = [np.zeros(len(some), np.int32)], [cls[some]], [partners[some]]
-        comp = np.arange(n)
-        links = []
-        for i in some.tolist():
-            for j in np.flatnonzero(ok[i]).tolist():
-                if comp[i] != comp[j]:
-                    links.append((node[i], node[j]))
-                    comp[comp == comp[j]] = comp[i]
-        kind.append(np.ones(len(links), np.int32))
-        a.append(np.array([x for x, _ in links], np.int64))
-        b.append(np.array([y for _, y in links], np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kind, a, b)], ["kind", "a", "b"])
+        partners = np.bincount(i, weight[j], n) + np.bincount(j, weight[i], n)
+        some = np.flatnonzero(partners)
+        comp, links = np.arange(n), []
+        both = named[i] & named[j]
+        for x, y in zip(i[both].tolist(), j[both].tolist()):
+            if comp[x] != comp[y]:
+                links.append((node[x], node[y]))
+                comp[comp == comp[y]] = comp[x]
+        kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(links), np.int32)])
+        a = np.concatenate([node[some], np.array([x for x, _ in links], np.int64)])
+        b = np.concatenate([partners[some].astype(np.int64), np.array([y for _, y in links], np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, a, b)], ["kind", "a", "b"])
 
     return by_group(KEYS, None, work)
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES, seed: int = SEED) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, miss: float = MISS, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept): a row per row of vectors."""
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), F.col(f"`{label}`").cast("string").alias("label"))
-    marked = rows.select("vec_id", "label", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
-    classes = classes_of(rows).withColumn("cls", F.xxhash64("label", "v")).select("cls", "node", "label", "weight", "v")
-    table = written(coded(classes, bits, tables, seed), "codes")
-    places = table.select("cls", "label", F.size("v").alias("dim"), F.posexplode("codes").alias("t", "code"))
-    buckets = places.groupBy("label", "t", "code", "dim").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # -0.0 and 0.0 are one component; two hashes tell classes apart
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    rows = rows.withColumns({"h1": F.xxhash64("label", "v"), "h2": F.xxhash64("v", "label", F.lit(1))})
+    width = F.least(F.lit(MOST_BITS), F.greatest(F.lit(LEAST_BITS), F.ceil(F.log2(F.col("n"))))).cast("int")
+    labels = rows.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", width.alias("bits"))
+    good = rows.where(usable(F.col("v"), F.col("label")))
+    classes = good.groupBy("label", "v").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.min("vec_id").alias("lead"), F.count(F.lit(1)).alias("weight"))
+    # The numbers are fixed as they are written.
+    table = coded(classes.join(labels, "label"), threshold, miss, seed).withColumn("node", F.monotonically_increasing_id())
+    table = written(table.withColumn("named", F.col("lead").isNotNull()), "codes")
+    places = table.select("node", "label", F.size("v").alias("dim"), F.posexplode("codes").alias("t", "code"))
+    tags = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(name) for k, name in ((1, "x"), (2, "y"))]
+    buckets = places.groupBy("label", "t", "code", "dim").agg(F.count(F.lit(1)).alias("size"), *tags).where("size > 1")
+    # Of buckets with equal members, the one of the first table.
+    buckets = buckets.groupBy("label", "dim", "size", "x", "y").agg(F.min(F.struct("t", "code")).alias("b"))
     parts = F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")
     # The code is disguised for the join, so that a hot bucket's rows can be split.
-    buckets = buckets.select("label", "t", F.bitwise_not("code").alias("mask"), "dim", "size")
+    buckets = buckets.select("label", "b.t", F.bitwise_not("b.code").alias("mask"), "dim", "size")
     members = places.withColumn("mask", F.bitwise_not("code")).join(buckets, ["label", "t", "mask", "dim"])
-    members = members.withColumn("side", F.pmod(F.xxhash64("cls"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    members = members.select("label", "t", "code", "dim", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "cls")
-    filled = members.join(table.select("cls", "node", "weight", "v", "codes"), "cls")
+    members = members.withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    members = members.select("label", "t", "code", "dim", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node")
+    filled = members.join(table.select("node", "named", "weight", "v", "codes"), "node")
     found = filled.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(linked(threshold), "kind int, a long, b long")
     found = written(found, "found")
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("others"))
-    stars = components(found.where("kind = 1").select("a", "b"))
-    ends = table.select("cls", "node", "weight").join(counts, "cls", "left").join(stars, "node", "left")
-    ends = written(ends.select("cls", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("comp")), "ends")
-    dropped(found)
-    out = marked.withColumn("cls", F.xxhash64("label", "v")).join(ends, "cls", "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("comp", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
+    links = found.where("kind = 1").select("a", "b")
+    # A vec_id's unlike vectors are one vertex: its classes are linked.
+    ids = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), F.min("h2").alias("z"), F.max("h2").alias("w")).where("x < y or z < w")
+    ids = written(ids.select("vec_id"), "shared-ids")
+    shared = rows.select("vec_id", "h1", "h2").join(ids, "vec_id", "left_semi")
+    stars = components(links.union(owners(shared.join(table.select("h1", "h2", "node"), ["h1", "h2"]).select("vec_id", "node"), "vec_id")))
+    ends = with_least(table.select("node", "h1", "h2", "lead", "weight"), stars, "lead").join(counts, "node", "left")
+    ends = written(ends.select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "first"), "ends")
+    also = written(shared.join(ends, ["h1", "h2"]).groupBy("vec_id").agg(F.min("first").alias("of_id")), "of-ids")
+    dropped(found, table, stars, ids)
+    out = rows.select("vec_id", "h1", "h2").join(ends, ["h1", "h2"], "left").join(also, "vec_id", "left")
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("first", "of_id", "vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))

@@ -1,6 +1,10 @@
+import math
+
+import duckdb
 import numpy as np
 
 from loomframe.llm import embed_dedup
+from loomframe.llm.sql import OP6_SQL
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string"
 
@@ -50,5 +54,27 @@ def test_repeated_null_and_empty(spark):
     v = [1.0, 2.0, 3.0]
     got = embed_dedup.near_duplicates(spark.createDataFrame([(1, v, 0, ""), (1, v, 0, ""), (None, v, 0, ""), (2, v, 0, "")], SCHEMA)).collect()
     assert sorted((r.vec_id or 0, r.component_id) for r in got) == [(0, None), (1, 1), (1, 1), (2, 1)]
-    assert {r.n_links for r in got if r.vec_id} == {2}
+    assert {r.n_links for r in got} == {3}
     assert embed_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_shared_and_null_ids_as_in_sql(spark):
+    """Unlike vectors of one vec_id are one vertex; a null vec_id is counted but connects nothing."""
+    con = duckdb.connect()
+    near = lambda a: [math.cos(a), math.sin(a), 0.0]
+    rows = [(3, near(0), 0), (5, near(0), 0), (5, [0.0, 0.0, 1.0], 0), (9, [0.0, 0.01, 1.0], 0), (5, None, 0), (7, [0.0] * 3, 0), (7, near(2), 1), (8, near(2.1), 1), (None, near(2.2), 1), (11, near(2.39), 1), (None, near(0), 0)]
+    con.execute("create table embeddings (vec_id bigint, embedding float[], label int)")
+    con.executemany("insert into embeddings values (?, ?, ?)", rows)
+    want = con.sql(OP6_SQL).fetchall()
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert {r.component_id for r in got if r.vec_id in (3, 5, 9)} == {3}
+
+
+def test_work_follows_the_number_of_rows():
+    """More rows have more signs and somewhat more tables; the chance to miss a pair stays."""
+    for bits in (8, 14, 30, 60):
+        tables = embed_dedup.tables_for(bits, 0.98, 1e-4)
+        agree = (1 - math.acos(0.98) / math.pi) ** bits
+        assert (1 - agree) ** tables <= 1e-4 < (1 - agree) ** (tables - 1)
+    assert embed_dedup.tables_for(30, 0.98, 1e-4) < 70
