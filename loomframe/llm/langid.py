@@ -1,17 +1,18 @@
 """Language identification with bit-sliced Bloom filters over letter trigrams.
 
-Training counts trigrams per language over all training rows and keeps, for a language, those that
-make up at least `least_share` of its trigrams (so 1 / least_share of them at most) and are not
-much rarer than in the language where they are most common. Each kept trigram sets its language's
-bit in `probes` of the filter's slots; a slot is one 64-bit word with a bit for each language, so
-one look-up returns every language that has the trigram. The filter has a fixed number of slots.
+Training counts trigrams per language over all training rows. A language contains those that make up
+at least `least_share` of its trigrams (so 1 / least_share of them at most; rarer ones are names and
+quotations in other languages). Each sets its language's bit in `probes` of the filter's slots; a slot
+has a bit for each language, in as many 62-bit words as they need, so one look-up returns every language
+that contains the trigram. The filter has a fixed number of slots.
 
 A text's trigrams are looked up; each language's hits are counted over the bits returned and the
 count is corrected for that language's false-positive rate; the largest corrected share wins.
 
 Defined results: null text or a text without a letter: `und`, score 0; no known trigram: the
 language with most training rows, score 0; ties: the one with more training rows, then by code
-point; nothing to learn from: `und`; repeated rows are all returned. 62 languages at most.
+point; nothing to learn from: `und`; repeated rows are all returned; any number of languages, the model
+holding a bit for each in every slot; a kept column named as one of the results raises.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import mixed, sliced
+from loomframe.llm.common import dropped, mixed, sliced, written
 
-SLOTS, PROBES, LEAST_SHARE, LEAST_RATIO = 1 << 20, 3, 1e-5, 0.4
+SLOTS, PROBES, LEAST_SHARE = 1 << 20, 3, 1e-5
 UNKNOWN = "und"
-MOST_LANGUAGES = 62
+#: Languages in a word of a slot.
+WORD_BITS = 62
 
 
 @functools.cache
@@ -53,30 +55,40 @@ def slots_of(packed: np.ndarray, probe: int, slots: int) -> np.ndarray:
 
 
 class Model:
-    """languages (a bit each, most training rows first) and the filter's slots."""
+    """languages (a bit each, most training rows first) and the filter's slots: a row of them for each word."""
 
     def __init__(self, languages: list[str], masks: np.ndarray, probes: int = PROBES) -> None:
         self.languages, self.masks, self.probes = languages, masks, probes
-        fill = np.array([np.count_nonzero((masks >> np.uint64(k)) & np.uint64(1)) / len(masks) for k in range(len(languages))])
+        fill = np.array([np.count_nonzero(self.bit(masks[k // WORD_BITS], k)) / masks.shape[1] for k in range(len(languages))])
         self.false_rate = np.minimum(fill**probes, 0.99)
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    @staticmethod
+    def bit(word: np.ndarray, k: int) -> np.ndarray:
+        return (word >> np.uint64(k % WORD_BITS)) & np.uint64(1) > 0
+
+    def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(trigrams of each text, of them those that each language contains: a row for each language)."""
         packed, own = trigrams(texts)
-        n = np.bincount(own, minlength=len(texts))
+        slots = [slots_of(packed, k, self.masks.shape[1]) for k in range(self.probes)]
+        out = np.zeros((len(self.languages), len(texts)), np.int64)
+        for w, word in enumerate(self.masks):
+            found = np.bitwise_and.reduce([word[s] for s in slots])
+            for k in range(w * WORD_BITS, min((w + 1) * WORD_BITS, len(self.languages))):
+                out[k] = np.bincount(own[self.bit(found, k)], minlength=len(texts))
+        return np.bincount(own, minlength=len(texts)), out
+
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        found = self.masks[slots_of(packed, 0, len(self.masks))]
-        for k in range(1, self.probes):
-            found &= self.masks[slots_of(packed, k, len(self.masks))]
-        hits = np.stack([np.bincount(own[((found >> np.uint64(k)) & np.uint64(1)) > 0], minlength=len(texts)) for k in range(len(self.languages))])
+        n, hits = self.hits(texts)
         share = hits / np.maximum(n, 1)
         share = np.clip((share - self.false_rate[:, None]) / (1 - self.false_rate[:, None]), 0, 1)
         best = np.argmax(share, axis=0)
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, n)], np.where(n > 0, share[best, np.arange(len(texts))], 0.0).tolist()
 
 
-def train(rows: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS, probes: int = PROBES, least_share: float = LEAST_SHARE, least_ratio: float = LEAST_RATIO) -> Model:
-    """A model of all rows with a language; only counts of bounded size reach the driver."""
+def train(rows: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS, probes: int = PROBES, least_share: float = LEAST_SHARE) -> Model:
+    """A model of all rows with a language; a row for each language and for each slot in use reach the driver."""
     spark = rows.sparkSession
     rows = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang is not null")
 
@@ -91,36 +103,36 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", slots: int =
 
     # gram 0 carries the number of rows
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from loomframe.llm.common import dropped, written
-
     counts = written(counts, "trigrams")
     totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("gram") != 0, F.col("n")).otherwise(0)).alias("total"), F.sum(F.when(F.col("gram") == 0, F.col("n")).otherwise(0)).alias("docs"))
-    languages = [(r["docs"], r["lang"], r["total"]) for r in totals.limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    names = [name for _, name, _ in sorted(languages, key=lambda x: (-x[0], x[1]))]
+    languages = sorted(totals.collect(), key=lambda x: (-x["docs"], x["lang"]))
+    names = [x["lang"] for x in languages]
+    words = max(1, -(-len(names) // WORD_BITS))
+    masks = np.zeros((words, slots), np.uint64)
     if not names:
-        return Model([], np.zeros(slots, np.uint64), probes)
-    bits = spark.createDataFrame([(n, 1 << k, max(1, next(t for _, m, t in languages if m == n))) for k, n in enumerate(names)], "lang string, bit long, total long")
-    common = counts.where("gram != 0").join(F.broadcast(bits), "lang").withColumn("f", F.col("n") / F.col("total")).where(F.col("f") >= least_share)
-    top = common.groupBy("gram").agg(F.max("f").alias("top"), F.collect_list(F.struct("bit", "f")).alias("each"))
-    sets = top.select("gram", F.expr(f"aggregate(filter(each, x -> x.f >= {least_ratio} * top), 0L, (s, x) -> s | x.bit)").alias("mask"))
+        return Model([], masks, probes)
+    bits = spark.createDataFrame([(x["lang"], k // WORD_BITS, 1 << (k % WORD_BITS), max(1, x["total"])) for k, x in enumerate(languages)], "lang string, word int, bit long, total long")
+    # A row for each language of the model.
+    common = counts.where("gram != 0").join(F.broadcast(bits), "lang").where(F.col("n") / F.col("total") >= least_share)
+    sets = common.groupBy("gram", "word").agg(F.bit_or("bit").alias("mask"))
 
     def insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = np.asarray(batch.column("gram")).view(np.uint64)
             for k in range(probes):
-                yield pa.RecordBatch.from_arrays([pa.array(slots_of(grams, k, slots)), batch.column("mask")], ["slot", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(slots_of(grams, k, slots)), batch.column("word"), batch.column("mask")], ["slot", "word", "mask"])
 
-    masks = np.zeros(slots, np.uint64)
-    for r in sets.mapInArrow(insert, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
-        masks[r["slot"]] = r["mask"]
+    for r in sets.mapInArrow(insert, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+        masks[r["word"], r["slot"]] = r["mask"]
     dropped(counts)
     return Model(names, masks, probes)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with lang_pred and score; whole texts, no shuffle."""
+    clash = {c.lower() for c in keep} & {"lang_pred", "score", "_text"}
+    if clash:
+        raise ValueError(f"the results have columns named {sorted(clash)} themselves")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
 
