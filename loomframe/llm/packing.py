@@ -43,11 +43,22 @@ MOST_KNOWN, JOINED = 200_000, 256
 CLOSING = ".,!?;:"
 
 
+@functools.cache
+def two_byte_letters() -> np.ndarray:
+    """By first byte less 0xC3 and second less 0x80: letters of U+00C0 to U+024F that lower case leaves one letter."""
+    found = np.zeros((7, 64), bool)
+    for code in range(0xC0, 0x250):
+        low, (first, second) = chr(code).lower(), chr(code).encode()
+        found[first - 0xC3, second - 0x80] = chr(code).isalpha() and len(low) == 1 and low.isalpha()
+    return found
+
+
 def stems_of(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(stems, cut): words without closing punctuation where `cut`, others whole.
 
     Only where the tokenizer's splits certainly fall before it: no apostrophe in the word, and the
-    stem ends in an ASCII letter or digit or in a letter of two bytes from U+00C0 on.
+    stem ends in an ASCII letter or digit or in one of two_byte_letters (not U+0130, whose lower case
+    ends in a mark that the tokenizer sets together with what follows).
     """
     stems = pc.utf8_rtrim(words, CLOSING)
     size = np.asarray(pc.binary_length(stems)).astype(np.int64)
@@ -61,7 +72,8 @@ def stems_of(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
         tail[k - 1][there] = raw[at[there] - k]
     last, lead = tail
     plain = (last >= 48) & (last <= 57) | ((last | 32) >= 97) & ((last | 32) <= 122)
-    letter = (last >= 0x80) & (lead >= 0xC3) & (lead <= 0xC9) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+    letter = (last >= 0x80) & (last <= 0xBF) & (lead >= 0xC3) & (lead <= 0xC9)
+    letter[letter] = two_byte_letters()[lead[letter] - 0xC3, last[letter] - 0x80]
     cut = short & (plain | letter) & ~np.asarray(pc.match_substring(words, "'"))
     return (pc.if_else(pa.array(cut), stems, words) if not cut.all() else stems), cut
 

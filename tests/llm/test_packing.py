@@ -55,6 +55,24 @@ def test_encoder_equals_whole_text_encoding():
         lo = hi
 
 
+def test_every_two_byte_letter_before_closing_marks():
+    """U+00C0 to U+024F, alone and after a letter, before each closing mark and some in a row; then mixed texts."""
+    path = public_tokenizers.path(packing.TOKENIZER)
+    texts = [f"{head}{chr(code)}{tail} next" for code in range(0xC0, 0x250) for head in ("", "a", "A\u0301") for tail in (*".,!?;:", "...", "?!", ".'", "'.")]
+    rng = random.Random(8)
+    alphabet = "aZ9.,!?;:' \n'\u0130\u0131\u00df\u0149\u01c5\u00e9\u0301\u0307\u03a3\u1e9e\ufb01\u6f22<|>"
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    whole = Tokenizer.from_file(path)
+    known = packing.Encoder(path)
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        ends, ids = known.encode(pa.array(some))
+        lo = 0
+        for t, hi in zip(some, ends.tolist()):
+            assert ids[lo:hi].tolist() == whole.encode(t, add_special_tokens=False).ids, ascii(t)
+            lo = hi
+
+
 def test_pack(spark):
     rng = random.Random(4)
     rows = [(k, " ".join(rng.choice(["thing", "of", "a", "réel", "xq"]) for _ in range(rng.choice([0, 3, 30, 300, 900])))) for k in range(300)]
