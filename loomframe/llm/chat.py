@@ -15,8 +15,9 @@ A turn is START role newline text END newline. In texts and roles `\\`, `<` and
 reverses this. Header, text and tail are encoded apart, so the loss mask falls on token boundaries.
 
 Defined results: null roles and texts are empty; rows are ordered by turn, role and text, nulls
-first, and repeated rows are turns of their own; rows with a null conv_id are one conversation; an
-empty table gives an empty table; other columns are ignored. One conversation must fit in memory.
+first, and repeated rows are turns of their own; each row with a null conv_id is a conversation of its
+own, as nothing says which belong together; an empty table gives an empty table; other columns are
+ignored. One conversation must fit in memory.
 """
 
 from __future__ import annotations
@@ -27,14 +28,13 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm.common import by_group, sliced
-
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
 TOKENIZER = "byte_bpe_50k.json"
@@ -84,128 +84,218 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end
 NODE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "length", "position", "parent", "loss_start", "loss_end")] + [T.StructField("attends", T.ArrayType(SPAN))])
 CONV = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("leaf", T.IntegerType())])
 PACKED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("convs", T.ArrayType(CONV))])
+#: Bytes of texts that a worker takes at a time, and tokens or characters that it hands on at a time.
+SLICE, MOST_OUT = 2 << 20, 1 << 21
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    if isinstance(kind, T.StructType):
-        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind.fields])
-    if isinstance(kind, T.ArrayType):
-        return pa.list_(_arrow(kind.elementType))
-    return pa.int64() if isinstance(kind, T.LongType) else pa.int32()
+def offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
 
 
 class Packer:
-    """The packed row in the making: conversations come in sorted order."""
+    """Packed rows in the making, column by column: conversations come in sorted order."""
 
     def __init__(self, path: str) -> None:
-        self.path = path
+        self.path, self.known = path, {}
+        self.fixed: dict[str, np.ndarray] = {}
+        self.begin()
         self.clear()
 
     def clear(self) -> None:
-        self.ids: list[int] = []
-        self.nodes: list[dict] = []
-        self.convs: list[dict] = []
-        self.stack: list[tuple[bytes, int]] = []
+        """Forget the finished rows."""
+        self.ids: list[np.ndarray] = []
+        self.fields: dict[str, list[int]] = {n: [] for n in ("start", "length", "position", "parent", "loss_start", "loss_end", "spans")}
+        self.spans: tuple[list[int], list[int]] = ([], [])
+        self.convs: tuple[list[int | None], list[int]] = ([], [])
+        self.rows: tuple[list[int], list[int], list[int]] = ([], [], [])
+
+    def begin(self) -> None:
+        """Start a row."""
+        self.tokens = self.nodes = self.held = 0
+        # Of each turn above: its digest, node, tokens in the conversation up to its end, and what it attends to.
+        self.stack: list[tuple[bytes, int, int, list[tuple[int, int]]]] = []
+
+    def learn(self, texts: list[str]) -> None:
+        """Encode the texts of a slice at once, each distinct one once."""
+        new = list(dict.fromkeys(texts))
+        self.known = {t: np.array(ids, np.int32) for t, ids in zip(new, encode(self.path, [escaped(t) for t in new]))}
+
+    def body(self, text: str) -> np.ndarray:
+        found = self.known.get(text)
+        return np.array(encode(self.path, [escaped(text)])[0], np.int32) if found is None else found
+
+    def around(self, part: str) -> np.ndarray:
+        """A header or the tail, of which there are few; forgotten if there aren't."""
+        if part not in self.fixed:
+            if len(self.fixed) > 1000:
+                self.fixed.clear()
+            self.fixed[part] = np.array(encode(self.path, [part])[0], np.int32)
+        return self.fixed[part]
+
+    def shared(self, digests: list[bytes]) -> int:
+        n = 0
+        while n < min(len(self.stack), len(digests)) and self.stack[n][0] == digests[n]:
+            n += 1
+        return n
 
     def add(self, conv_id: int | None, digests: list[bytes], roles: list[str], texts: list[str]) -> None:
-        shared = 0
-        while shared < min(len(self.stack), len(digests)) and self.stack[shared][0] == digests[shared]:
-            shared += 1
+        shared = self.shared(digests)
         del self.stack[shared:]
-        parts = [s for r, t in zip(roles[shared:], texts[shared:]) for s in segments(r, t)]
-        coded = encode(self.path, parts)
         for k in range(shared, len(digests)):
-            head, body, tail = coded[3 * (k - shared) : 3 * (k - shared) + 3]
-            parent = self.stack[-1][1] if self.stack else -1
-            above = self.nodes[parent] if self.stack else None
-            start, n = len(self.ids), len(head) + len(body) + len(tail)
-            loss = start + len(head)
-            spans = [dict(s) for s in above["attends"]] if above else []
-            if spans and spans[-1]["end"] == start:
-                spans[-1]["end"] = start + n
-            else:
-                spans.append({"start": start, "end": start + n})
-            self.nodes.append({
-                "start": start, "length": n, "position": above["position"] + above["length"] if above else 0, "parent": parent,
-                "loss_start": loss, "loss_end": loss + len(body) if roles[k] == TRAINED_ROLE else loss, "attends": spans,
-            })
-            for part in (head, body, tail):
-                self.ids.extend(part)
-            self.stack.append((digests[k], len(self.nodes) - 1))
-        self.convs.append({"conv_id": conv_id, "leaf": self.stack[-1][1]})
-
-    def row(self) -> pa.RecordBatch:
-        arrays = [pa.array([getattr(self, f.name)], _arrow(f.dataType)) for f in PACKED.fields]
+            head, _, tail = segments(roles[k], "")
+            parts = [self.around(head), self.body(texts[k]), self.around(tail)]
+            n, start = sum(map(len, parts)), self.tokens
+            parent, position, spans = self.stack[-1][1:] if self.stack else (-1, 0, [])
+            loss = start + len(parts[0])
+            spans = [*spans[:-1], (spans[-1][0], start + n)] if spans and spans[-1][1] == start else [*spans, (start, start + n)]
+            for name, value in zip(self.fields, (start, n, position, parent, loss, loss + len(parts[1]) if roles[k] == TRAINED_ROLE else loss, len(spans))):
+                self.fields[name].append(value)
+            for a, b in spans:
+                self.spans[0].append(a)
+                self.spans[1].append(b)
+            self.ids += parts
+            self.stack.append((digests[k], self.nodes, position + n, spans))
+            self.tokens, self.nodes = self.tokens + n, self.nodes + 1
+        self.convs[0].append(conv_id)
+        self.convs[1].append(self.stack[-1][1])
+        self.held += 1
+
+    def end(self) -> None:
+        """Finish the row."""
+        for column, n in zip(self.rows, (self.tokens, self.nodes, self.held)):
+            column.append(n)
+        self.begin()
+
+    def batch(self) -> pa.RecordBatch:
+        """The finished rows."""
+        ints = lambda x: pa.array(x, pa.int32())
+        spans = pa.StructArray.from_arrays([ints(x) for x in self.spans], ["start", "end"])
+        *plain, counts = self.fields.values()
+        nodes = pa.StructArray.from_arrays([*map(ints, plain), pa.ListArray.from_arrays(offsets(counts), spans)], NODE.fieldNames())
+        convs = pa.StructArray.from_arrays([pa.array(self.convs[0], pa.int64()), ints(self.convs[1])], CONV.fieldNames())
+        flat = pa.array(np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32), pa.int32())
+        out = [pa.ListArray.from_arrays(offsets(n), values) for n, values in zip(self.rows, (flat, nodes, convs))]
         self.clear()
-        return pa.RecordBatch.from_arrays(arrays, PACKED.fieldNames())
+        return pa.RecordBatch.from_arrays(out, PACKED.fieldNames())
 
 
 def conversations(turns: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
-    """(conv_id, path, roles, texts): the turns of a conversation in order and their chained digests."""
+    """(conv_id, path, roles, texts, size): the turns of a conversation in order, their chained digests and bytes."""
+    names = ["conv_id", "path", "roles", "texts", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        key, held, chain, roles, texts, size = None, 0, [], [], [], 0
 
-    def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        roles, texts = ([x or "" for x in group[c].to_pylist()] for c in ("role", "text"))
-        chain, last = [], b""
-        for r, t in zip(roles, texts):
-            last = xxhash.xxh3_128_digest(b"\0".join([last, r.encode("utf-8", "surrogatepass"), t.encode("utf-8", "surrogatepass")]))
-            chain.append(last)
-        yield pa.RecordBatch.from_arrays([group["conv_id"].slice(0, 1).combine_chunks(), pa.array([b"".join(chain)]), pa.array([roles]), pa.array([texts])], ["conv_id", "path", "roles", "texts"])
+        def finished() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()))], names)
+            done.clear()
+            return out
+
+        for batch in batches:
+            for c, alone, r, t in zip(*[batch.column(n).to_pylist() for n in ("conv_id", "alone", "role", "text")]):
+                if (c, alone) != key:
+                    if chain:
+                        done.append((key[0], b"".join(chain), roles, texts, size))
+                        held += size
+                        if held > SLICE:
+                            yield finished()
+                            held = 0
+                    key, chain, roles, texts, size = (c, alone), [], [], [], 0
+                said = t.encode("utf-8", "surrogatepass")
+                chain.append(xxhash.xxh3_128_digest(b"\0".join([chain[-1] if chain else b"", r.encode("utf-8", "surrogatepass"), said])))
+                roles.append(r)
+                texts.append(t)
+                size += len(said)
+        if chain:
+            done.append((key[0], b"".join(chain), roles, texts, size))
+        if done:
+            yield finished()
 
     named = {"conv_id": F.col(f"`{conv_id}`").cast("long"), "turn": F.col(f"`{turn}`"), "role": F.col(f"`{role}`"), "text": F.col(f"`{text}`")}
     rows = turns.select(*[c.alias(n) for n, c in named.items()])
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return rows.mapInArrow(by_group(["conv_id"], None, work), "conv_id long, path binary, roles array<string>, texts array<string>")
+    # Rows without a conv_id are dealt out by a number of their own.
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    rows = rows.repartition("conv_id", "alone").sortWithinPartitions("conv_id", "alone", "turn", "role", "text")
+    rows = rows.select("conv_id", "alone", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "conv_id long, path binary, roles array<string>, texts array<string>, size long")
 
 
 def prefix_trees(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", path: str | None = None, most_tokens: int = MOST_TOKENS) -> DataFrame:
     """Packed rows (ids, nodes, convs) of all conversations."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(path)
-        for batch in sliced(batches, "path"):
-            for c, p, r, t in zip(*[batch.column(x).to_pylist() for x in ("conv_id", "path", "roles", "texts")]):
-                packer.add(c, [p[k : k + 16] for k in range(0, len(p), 16)], r, t)
-                if len(packer.ids) >= most_tokens:
-                    yield packer.row()
-        if packer.convs:
-            yield packer.row()
+        packer = Packer(vocabulary(path))
+        for batch in batches:
+            upto, at = np.cumsum(np.asarray(batch.column("size"))), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, side="right")))
+                some = list(zip(*[batch.column(x).slice(at, to - at).to_pylist() for x in ("conv_id", "path", "roles", "texts")]))
+                at = to
+                paths = [[p[k : k + 16] for k in range(0, len(p), 16)] for _, p, _, _ in some]
+                # What a conversation shares with the one before it needs no encoding, unless a row begins with it.
+                fresh = packer.shared(paths[0])
+                wanted: list[str] = []
+                for k, (_, _, _, texts) in enumerate(some):
+                    if k:
+                        fresh = next((n for n, (a, b) in enumerate(zip(paths[k - 1], paths[k])) if a != b), min(len(paths[k - 1]), len(paths[k])))
+                    wanted += texts[fresh:]
+                packer.learn(wanted)
+                for digests, (c, _, roles, texts) in zip(paths, some):
+                    packer.add(c, digests, roles, texts)
+                    if packer.tokens >= most_tokens:
+                        packer.end()
+                        if sum(packer.rows[0]) >= MOST_OUT:
+                            yield packer.batch()
+        if packer.held:
+            packer.end()
+        if packer.rows[0]:
+            yield packer.batch()
 
     order = [F.col("path"), F.col("conv_id")]
     return conversations(turns, conv_id, turn, role, text).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, PACKED)
 
 
+def vocabulary(path: str | None) -> str:
+    """The tokenizer's file, found where the task runs."""
+    if path is not None:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def read_back(packed: DataFrame, path: str | None = None) -> DataFrame:
     """(conv_id, formatted, turns, loss_text) of every conversation, from the packed rows alone."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path(TOKENIZER)
     schema = "conv_id long, formatted string, turns array<struct<role:string,text:string>>, loss_text string"
     kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = tokenizer(path).decode
+        decode = tokenizer(vocabulary(path)).decode_batch
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, nodes = row["ids"], row["nodes"]
-                whole = [decode(ids[n["start"] : n["start"] + n["length"]], skip_special_tokens=False) for n in nodes]
-                loss = [unescaped(decode(ids[n["loss_start"] : n["loss_end"]], skip_special_tokens=False)) if n["loss_end"] > n["loss_start"] else "" for n in nodes]
-                out = []
-                for c in row["convs"]:
-                    k, chain = c["leaf"], []
-                    while k >= 0:
-                        chain.append(k)
-                        k = nodes[k]["parent"]
+            for k in range(batch.num_rows):
+                ids = batch.column("ids")[k].values.to_numpy()
+                nodes, convs = batch.column("nodes")[k].values, batch.column("convs")[k].values
+                start, length, parent, lo, hi = (nodes.field(n).to_pylist() for n in ("start", "length", "parent", "loss_start", "loss_end"))
+                # The parts before, under and after the loss mask, which starts and ends between tokens.
+                cuts = [(s, a, b, s + n) if b > a else (s, s + n, s + n, s + n) for s, n, a, b in zip(start, length, lo, hi)]
+                parts = decode([ids[c[x] : c[x + 1]].tolist() for c in cuts for x in range(3)], skip_special_tokens=False)
+                whole = ["".join(parts[3 * n : 3 * n + 3]) for n in range(len(cuts))]
+                loss = [unescaped(parts[3 * n + 1]) for n in range(len(cuts))]
+                said = [parsed(w)[0] for w in whole]
+                out, chars = [], 0
+                for c, leaf in zip(convs.field("conv_id").to_pylist(), convs.field("leaf").to_pylist()):
+                    chain = []
+                    while leaf >= 0:
+                        chain.append(leaf)
+                        leaf = parent[leaf]
                     chain.reverse()
-                    text = "".join(whole[k] for k in chain)
-                    out.append((c["conv_id"], text, [{"role": r, "text": t} for r, t in parsed(text)], "".join(loss[k] for k in chain)))
-                    if sum(len(x[1]) for x in out) > 8 << 20:
+                    text = "".join(whole[n] for n in chain)
+                    out.append((c, text, [{"role": said[n][0], "text": said[n][1]} for n in chain], "".join(loss[n] for n in chain)))
+                    chars += len(text)
+                    if chars > MOST_OUT:
                         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], ["conv_id", "formatted", "turns", "loss_text"])
-                        out = []
+                        out, chars = [], 0
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], ["conv_id", "formatted", "turns", "loss_text"])
 

@@ -49,9 +49,28 @@ def test_one_packer_emits_shared_turns_once():
     packer.add(1, [b"a", b"b"], ["user", "assistant"], ["q", "x"])
     packer.add(2, [b"a", b"c"], ["user", "assistant"], ["q", "y"])
     packer.add(3, [b"a", b"c"], ["user", "assistant"], ["q", "y"])
-    assert len(packer.nodes) == 3 and packer.nodes[2]["parent"] == 0 and packer.nodes[2]["position"] == packer.nodes[0]["length"]
-    assert packer.nodes[2]["attends"] == [{"start": 0, "end": packer.nodes[0]["length"]}, {"start": packer.nodes[2]["start"], "end": packer.nodes[2]["start"] + packer.nodes[2]["length"]}]
-    assert [c["leaf"] for c in packer.convs] == [1, 2, 2]
+    packer.end()
+    row = packer.batch().to_pylist()[0]
+    nodes = row["nodes"]
+    assert len(nodes) == 3 and nodes[2]["parent"] == 0 and nodes[2]["position"] == nodes[0]["length"]
+    assert nodes[2]["attends"] == [{"start": 0, "end": nodes[0]["length"]}, {"start": nodes[2]["start"], "end": nodes[2]["start"] + nodes[2]["length"]}]
+    assert [c["leaf"] for c in row["convs"]] == [1, 2, 2] and len(row["ids"]) == sum(n["length"] for n in nodes)
+
+
+def test_null_ids_and_long_texts(spark):
+    """Rows without a conv_id are conversations of their own; a very long text and many rows are whole."""
+    long = "word <|im_end|> [x] " * 100_000
+    rows = [(None, k % 2, "user", "same", None) for k in range(30)] + [(None, None, None, None, None), (1, 0, "assistant", long, None), (2, 0, "user", long, None), (2, 1, "assistant", long, None)]
+    rows += [(10 + k, t, "user" if t % 2 == 0 else "assistant", f"{'shared ' * 40 if t < 4 else k}", None) for k in range(300) for t in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    packed = chat.prefix_trees(df, most_tokens=2000)
+    got = chat.read_back(packed).collect()
+    assert len(got) == 31 + 302 and sum(r.conv_id is None for r in got) == 31 and all(len(r.turns) == 1 for r in got if r.conv_id is None)
+    by_id = {r.conv_id: r for r in got}
+    assert by_id[1].loss_text == by_id[2].loss_text == long and by_id[2].turns[0].text == long
+    assert all([t.text for t in by_id[10 + k].turns] == ["shared " * 40] * 4 + [str(k)] * 2 for k in range(300))
+    one = packed.selectExpr("size(ids) as n", "size(convs) as c").collect()
+    assert sum(r.c for r in one) == len(got) and any(r.c > 1 for r in one)
 
 
 def test_empty_and_digest(spark):
