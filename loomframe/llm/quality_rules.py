@@ -22,7 +22,13 @@ SYMBOLS = "#*$%&|<>"
 #: A kept line's last character, white space aside, is one of these.
 TERMINALS = ".!?…:;\"'”’»)]。！？；：」』؟।"
 BLANKS = " \t\n\x0b\f\r"
-BOILERPLATE = ("lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "log in", "sign up", "subscribe now", "read more")
+# Stock phrases of web pages in English, Spanish, French and German, in lower case.
+BOILERPLATE = (
+    "all rights reserved", "click here", "cookie policy", "javascript", "log in", "lorem ipsum", "privacy policy", "read more", "sign up", "subscribe now", "terms of service", "terms of use",
+    "aviso legal", "haga clic aquí", "iniciar sesión", "leer más", "política de cookies", "política de privacidad", "todos los derechos reservados", "términos de uso",
+    "cliquez ici", "conditions d'utilisation", "lire la suite", "mentions légales", "politique de confidentialité", "se connecter", "tous droits réservés",
+    "alle rechte vorbehalten", "datenschutzerklärung", "hier klicken", "jetzt anmelden", "mehr lesen", "nutzungsbedingungen",
+)
 NAVIGATION = "|»›•"
 
 
@@ -68,17 +74,15 @@ def repeated_words(windows: Column) -> Column:
 def failed_rule(line: Column, words: Column) -> Column:
     """The first rule a line fails, or null: punctuation, navigation or boilerplate.
 
-    _stock tells whether the text holds a boilerplate phrase at all; its lines are searched only then.
+    A boilerplate phrase counts where no letter or digit adjoins it. _stock tells whether the text holds one's
+    characters at all; its lines are searched only then.
     """
-    lower = F.lower(line)
     symbol = count_of(line, SYMBOLS) * 10 > words * 3
     shout = count_of(line, "!?") * 10 > words * 3
     shout = shout & (count_of(line, "!?") > 1)
     menu = (count_of(line, NAVIGATION) >= 2) & (count_of(line, NAVIGATION) * 6 >= words)
-    stock = F.lit(False)
-    for phrase in BOILERPLATE:
-        stock = stock | lower.contains(phrase)
-    stock = F.col("_stock") & stock
+    apart = r"(^|[^\p{L}\p{N}])(%s)($|[^\p{L}\p{N}])" % "|".join(BOILERPLATE)
+    stock = F.col("_stock") & F.lower(line).rlike(apart)
     return (
         F.when(menu, "navigation").when(symbol | shout | ~F.lit(TERMINALS).contains(F.substring(F.rtrim(line, F.lit(BLANKS)), -1, 1)), "punctuation").when(stock, "boilerplate")
     )

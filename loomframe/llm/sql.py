@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from loomframe.llm.quality_rules import BOILERPLATE
-
 WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 
@@ -11,7 +9,12 @@ def _count(column: str, chars: str) -> str:
     return f"(length({column}) - length(translate({column}, '{chars}', '')))"
 
 
-_STOCK = " or ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
+# Fixed values, written apart from the operator's: what each language's pages say, as a regular expression.
+_EN = r"all rights reserved|click here|cookie policy|javascript|log in|lorem ipsum|privacy policy|read more|sign up|subscribe now|terms of (service|use)"
+_ES = r"aviso legal|haga clic aquí|iniciar sesión|leer más|política de (cookies|privacidad)|todos los derechos reservados|términos de uso"
+_FR = r"cliquez ici|conditions d''utilisation|lire la suite|mentions légales|politique de confidentialité|se connecter|tous droits réservés"
+_DE = r"alle rechte vorbehalten|datenschutzerklärung|hier klicken|jetzt anmelden|mehr lesen|nutzungsbedingungen"
+_STOCK = rf"regexp_matches(lower(line), '(^|[^\p{{L}}\p{{N}}])({_EN}|{_ES}|{_FR}|{_DE})($|[^\p{{L}}\p{{N}}])')"
 
 OP1_SQL = rf"""
 with d as (select row_number() over () as rid, doc_id, text, coalesce(text, '') as t from documents),

@@ -1,8 +1,10 @@
 from collections import Counter
 
+import duckdb
 import pytest
 
 from loomframe.llm import quality_rules
+from loomframe.llm.sql import OP1_SQL
 
 SCHEMA = "doc_id long, text string, lang string"
 PROSE = "\n".join(" ".join(f"word{k * 13 + j}" for j in range(12)) + "." for k in range(12))
@@ -33,6 +35,25 @@ def test_counts_and_verdicts(spark):
     assert not any(found[k].kept for k in (1, 2, 3, 4, 5, 7, 8, 9)) and found[1].clean_text is None
 
 
+def test_stock_phrases_stand_alone(spark):
+    """A phrase inside longer words is prose; in four languages a line that holds one goes."""
+    prose = ["The catalog in the old library was a sign upon the door of readmore.", "Ein weblog in vielen Teilen, mehrlesen und datenschutzerklärungen gibt es."]
+    stock = ["Please log in.", "Log in: now.", "(Privacy Policy).", "Todos los derechos reservados.", "Lea la Política de Privacidad.", "Tous droits réservés.", "Voir les Conditions d'utilisation.", "Alle Rechte vorbehalten.", "Unsere Datenschutzerklärung."]
+    found = judged(spark, [(k, f"{PROSE}\n{line}", None) for k, line in enumerate(prose + stock)])
+    assert [found[k].n_failed_lines for k in range(len(found))] == [0] * len(prose) + [1] * len(stock)
+
+
+def test_sql_says_the_same(spark):
+    texts = [PROSE, None, "", "We log in.\nTodos los derechos reservados.\nblog in here.\n" + PROSE, "Home | A | B\nok then !!\nmehr lesen.\n" * 3, "é ü — Tous droits réservés.\nLire la suite…\nx\u00a0log in\u00a0y."]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar)")
+    con.executemany("insert into documents values (?, ?, null)", list(enumerate(texts)))
+    want = {r["doc_id"]: r for r in con.sql(OP1_SQL).fetchdf().to_dict("records")}
+    for k, r in judged(spark, [(k, t, None) for k, t in enumerate(texts)]).items():
+        for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words", "n_failed_lines"):
+            assert r[c] == want[k][c], (k, c)
+
+
 def test_empty_repeated_and_clashing(spark):
     assert judged(spark, []) == {}
     twice = quality_rules.clean_lines(spark.createDataFrame([(1, PROSE, "en")] * 2, SCHEMA)).collect()
