@@ -1,7 +1,8 @@
 """Column functions that Spark lacks, as expressions that stay in the JVM, and user-defined ones in Arrow batches."""
 
 from loomframe.functions.numbers import gcd, lcm
-from loomframe.functions.user import tokens, trimmed_mean
+from loomframe.functions.texts import tokens
+from loomframe.functions.user import cogrouped_asof, moving_averages, nfc, word_counts
 from loomframe.functions.vectors import cosine, dot, l2_distance, norm
 
-__all__ = ["cosine", "dot", "gcd", "l2_distance", "lcm", "norm", "tokens", "trimmed_mean"]
+__all__ = ["cogrouped_asof", "cosine", "dot", "gcd", "l2_distance", "lcm", "moving_averages", "nfc", "norm", "tokens", "word_counts"]

@@ -17,5 +17,6 @@ def gcd(a: Column, b: Column) -> Column:
 
 
 def lcm(a: Column, b: Column) -> Column:
-    """The least common multiple; 0 if either is 0; null if either is null."""
-    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(a.cast("long") * (b.cast("long") / gcd(a, b)).cast("long")))
+    """The least common multiple; 0 if either is 0; null if either is null. Whole numbers throughout: doubles end at 2^53."""
+    whole = F.abs(a.cast("long") * F.call_function("div", b.cast("long"), gcd(a, b)))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("long")).when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(whole)

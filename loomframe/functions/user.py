@@ -1,35 +1,64 @@
-"""User-defined functions: a table function and a grouped aggregate."""
+"""User-defined functions where Spark has no function: scalar, grouped, cogrouped and by partition, in Arrow batches."""
 
 from __future__ import annotations
 
-import re
+import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def tokens(spark: SparkSession) -> None:
-    """Registers loomframe_tokens(text): the lower-case a-z words of a text with their places."""
+def nfc(text: Column) -> Column:
+    """Unicode normal form C of a text, a scalar function over batches."""
 
-    @F.udtf(returnType="place int, token string", useArrow=True)
-    class Tokens:
-        def eval(self, text: str):
-            yield from enumerate(re.findall("[a-z]+", (text or "").lower()))
+    @F.pandas_udf("string")
+    def normal(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    spark.udtf.register("loomframe_tokens", Tokens)
+    return normal(text)
 
 
-def trimmed_mean(share: float = 0.1):
-    """A grouped aggregate: the mean without the lowest and highest share of the values.
+def moving_averages(df: DataFrame, key: str, order: list[str], value: str, weight: float) -> DataFrame:
+    """(key, ema): the exponential moving average at each key's last row; a key's rows meet in one worker."""
 
-    A group's values meet in one Python worker, as any exact order statistic's do.
-    """
+    def last(rows: pd.DataFrame) -> pd.DataFrame:
+        values = rows.sort_values(order)[value]
+        return pd.DataFrame({key: rows[key].iloc[:1].to_numpy(), "ema": values.ewm(alpha=weight, adjust=False).mean().iloc[-1:].to_numpy()})
 
-    @F.pandas_udf("double")
-    def trimmed(values: pd.Series) -> float:
-        ordered = values.dropna().sort_values()
-        cut = int(len(ordered) * share)
-        return float(ordered.iloc[cut : len(ordered) - cut].mean()) if len(ordered) else None
+    return df.groupBy(key).applyInPandas(last, f"{key} {dict(df.dtypes)[key]}, ema double")
 
-    return trimmed
+
+def cogrouped_asof(left: DataFrame, right: DataFrame, key: str, on: str, value: str) -> DataFrame:
+    """Each left row with the value of the last right row of its key at or before it; for keys whose rows
+    fit in a worker, see operators.asof_join for others."""
+
+    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty:
+            return pd.DataFrame(columns=[*left_names, value])
+        if b.empty:
+            return a.assign(**{value: pd.array([None] * len(a), "Int64")})
+        found = pd.merge_asof(a.sort_values(on), b[["_on", value]].sort_values(["_on", value]), left_on=on, right_on="_on").drop(columns="_on")
+        found[value] = found[value].astype("Int64")
+        return found
+
+    kinds, left_names = dict(right.dtypes), left.columns
+    schema = ", ".join([f"{n} {t}" for n, t in left.dtypes] + [f"{value} {kinds[value]}"])
+    # Names of its own keep the sides apart when both come from one table.
+    other = right.select(F.col(key).alias("_key"), F.col(on).alias("_on"), value)
+    return left.groupBy(key).cogroup(other.groupBy("_key")).applyInPandas(match, schema)
+
+
+def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_words) of whole texts, by partition; words are set apart by ASCII white space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trimmed = pc.ascii_trim_whitespace(pc.fill_null(batch.column(text), ""))
+            n = pc.if_else(pc.equal(trimmed, ""), 0, pc.list_value_length(pc.ascii_split_whitespace(trimmed)))
+            yield pa.RecordBatch.from_arrays([batch.column(key), n.cast(pa.int64())], [key, "n_words"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, n_words long")

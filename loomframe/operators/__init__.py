@@ -1,8 +1,8 @@
 """Operators that Spark has no single plan for, composed from its own."""
 
 from loomframe.operators.funnels import funnel
-from loomframe.operators.joins import asof_join, interval_join, salted_join
+from loomframe.operators.joins import asof_join, interval_join, not_in, salted_join
 from loomframe.operators.series import gap_fill, sessionize, windowed
-from loomframe.operators.windows import groups_frame, qualify, top_k
+from loomframe.operators.windows import groups_frame, qualify, ranked, top_k
 
-__all__ = ["asof_join", "funnel", "gap_fill", "groups_frame", "interval_join", "qualify", "salted_join", "sessionize", "top_k", "windowed"]
+__all__ = ["asof_join", "funnel", "gap_fill", "groups_frame", "interval_join", "not_in", "qualify", "ranked", "salted_join", "sessionize", "top_k", "windowed"]

@@ -11,8 +11,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values:
 
     One shuffle on the keys and one sort: the sides are stacked and the last right row is carried
     forward, so the cost is linear where a join on an inequality is quadratic. Ties of right rows
-    are settled by the values' order; left rows without a match have nulls.
+    are settled by the values' order; left rows without a match have nulls. A null key or time matches nothing.
     """
+    for c in (on, *by):
+        right = right.where(F.col(c).isNotNull())
     names = left.columns
     pack = F.struct(*[F.col(v) for v in values])
     lhs = left.select(*by, on, F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(right.select(pack.alias("p")).schema["p"].dataType).alias("_value"))
@@ -35,6 +37,19 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], at: Column,
     return lhs.join(rhs, [*by, "_b"]).where("_at between _lo and _hi").drop("_b", "_at", "_lo", "_hi")
 
 
+def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:
+    """Left rows whose column is NOT IN the right's: none if the right has a null, all if it has no row.
+
+    Spark plans single-column NOT IN as a broadcast of the right side whatever its size; here it is a
+    plain anti join, with the right's nulls counted apart.
+    """
+    counts = right.agg(F.count(F.lit(1)).alias("_rows"), F.count(other).alias("_full"))
+    kept = left.join(right.select(F.col(other).alias("_other")).where("_other is not null"), F.col(column) == F.col("_other"), "left_anti")
+    # counts is one row.
+    fits = (F.col("_rows") == 0) | ((F.col("_rows") == F.col("_full")) & F.col(column).isNotNull())
+    return kept.join(F.broadcast(counts)).where(fits).drop("_rows", "_full")
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int, how: str = "inner") -> DataFrame:
     """A join whose left side has hot keys: left rows spread over `salts`, right rows are repeated that often."""
     if how not in ("inner", "left", "left_semi", "left_anti"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,56 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return qualify(df, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) <= k)
 
 
-def groups_frame(df: DataFrame, by: list[str], order: str, before: int, after: int, aggregates: dict[str, Column]) -> DataFrame:
-    """Aggregates over the peers of `before` order values back to `after` forward: a GROUPS frame."""
-    ranked = df.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(order)))
-    frame = Window.partitionBy(*by).orderBy("_rank").rangeBetween(-before, after)
-    return ranked.withColumns({name: c.over(frame) for name, c in aggregates.items()}).drop("_rank")
+def ranked(df: DataFrame, by: list[str], order: str, coarse: Column, ties: list[str] | None = None, tiles: int | None = None) -> DataFrame:
+    """df with rank, dense_rank, row_number, percent_rank, cume_dist and, with `tiles`, ntile, for few keys with many rows.
+
+    coarse is a function of `order` that never falls, such as its month: a key's rows are spread over its
+    values and ranked there; the counts of earlier values, a row for each, are added. Rows of equal order
+    are numbered by `ties`.
+    """
+    rows = df.withColumn("_coarse", coarse)
+    counts = rows.groupBy(*by, "_coarse").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(order).alias("_d"))
+    if df.schema[order].nullable:
+        # Nulls are one value of their own, which a distinct count leaves out.
+        counts = rows.groupBy(*by, "_coarse").agg(F.count(F.lit(1)).alias("_n"), (F.count_distinct(order) + F.max(F.col(order).isNull().cast("int"))).alias("_d"))
+    key = Window.partitionBy(*by)
+    counts = counts.withColumns({
+        "_before": F.sum("_n").over(key.orderBy("_coarse")) - F.col("_n"), "_kinds": F.sum("_d").over(key.orderBy("_coarse")) - F.col("_d"), "_all": F.sum("_n").over(key),
+    }).drop("_n", "_d")
+    part = Window.partitionBy(*by, "_coarse")
+    peers = part.orderBy(order)
+    rows = rows.withColumns({
+        "rank": F.rank().over(peers), "dense_rank": F.dense_rank().over(peers), "cume_dist": F.count(F.lit(1)).over(peers.rangeBetween(Window.unboundedPreceding, 0)),
+        "row_number": F.row_number().over(part.orderBy(order, *(ties or []))),
+    })
+    same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in (*by, "_coarse")]
+    rows = rows.alias("_l").join(counts.alias("_r"), functools.reduce(lambda a, b: a & b, same)).select("_l.*", "_r._before", "_r._kinds", "_r._all")
+    rows = rows.withColumns({c: (F.col(c) + F.col("_before")) for c in ("rank", "row_number", "cume_dist")}).withColumn("dense_rank", F.col("dense_rank") + F.col("_kinds"))
+    rows = rows.withColumns({
+        "percent_rank": F.when(F.col("_all") > 1, (F.col("rank") - 1) / (F.col("_all") - 1)).otherwise(0.0), "cume_dist": F.col("cume_dist") / F.col("_all"),
+    })
+    if tiles:
+        # The first n % tiles tiles have a row more.
+        n, place = F.col("_all"), F.col("row_number")
+        small, more = F.floor(n / tiles), n % tiles
+        cut = more * (small + 1)
+        rows = rows.withColumn("ntile", F.when(place <= cut, F.ceil(place / (small + 1))).otherwise(more + F.ceil((place - cut) / F.greatest(small, F.lit(1)))).cast("int"))
+    return rows.drop("_coarse", "_before", "_kinds", "_all")
+
+
+def groups_frame(df: DataFrame, by: list[str], order: str, before: int, after: int, aggregates: dict[str, Column], coarse: Column | None = None, spread: int = 64) -> DataFrame:
+    """Aggregates over the peers of `before` order values back to `after` forward: a GROUPS frame.
+
+    With `coarse` (see ranked), a key's rows are spread over runs of `spread` order values, each with the rows
+    around it that its frames reach, so that a key needn't fit in a task.
+    """
+    if coarse is None:
+        rows = df.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(order)))
+        rows = rows.withColumns({"_run": F.lit(0).cast("long"), "_of": F.lit(0).cast("long")})
+    else:
+        places = ranked(df, by, order, coarse).drop("rank", "row_number", "percent_rank", "cume_dist").withColumnRenamed("dense_rank", "_rank")
+        run = lambda rank: F.floor(rank / spread)
+        reach = F.sequence(run(F.col("_rank") - after), run(F.col("_rank") + before))
+        rows = places.withColumns({"_of": run(F.col("_rank")), "_run": F.explode(reach)})
+    frame = Window.partitionBy(*by, "_run").orderBy("_rank").rangeBetween(-before, after)
+    return rows.withColumns({name: c.over(frame) for name, c in aggregates.items()}).where("_run = _of").drop("_rank", "_run", "_of")

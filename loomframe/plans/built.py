@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from loomframe import functions as L
 from loomframe import operators as O
 from loomframe import streaming
 from loomframe.session import shared_dir
-from loomframe.sources import read_table, stream
+from loomframe.sources import read, read_table, stream, write
 
 
 def asof_purchase_click(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,15 @@ def salted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def groups_frame_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
-    return O.groups_frame(orders, ["o_orderpriority"], "o_orderdate", 2, 0, {"n": F.count(F.lit(1))}).select("o_orderkey", "n")
+    month = F.date_trunc("month", "o_orderdate")
+    return O.groups_frame(orders, ["o_orderpriority"], "o_orderdate", 2, 0, {"n": F.count(F.lit(1))}, coarse=month).select("o_orderkey", "n")
+
+
+def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ranks over five priorities: months of a priority are ranked apart, so no task sorts a whole one."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    out = O.ranked(orders, ["o_orderpriority"], "o_orderdate", F.date_trunc("month", "o_orderdate"), ["o_orderkey"], tiles=4)
+    return out.select("o_orderkey", F.col("rank").alias("r"), F.col("dense_rank").alias("d"), F.col("ntile").alias("q"), F.round("percent_rank", 9).alias("p"), F.round("cume_dist", 9).alias("c"))
 
 
 def qualify_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +81,17 @@ def signup_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    L.tokens(spark)
-    read_table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
-    return spark.sql("select item_id, t.place, t.token from benchmark, lateral loomframe_tokens(text) t")
+    return L.tokens(read_table(spark, sf_dir, "benchmark"), ["item_id"], "text")
 
 
 def trimmed_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(L.trimmed_mean()("value"), 6).alias("mean"))
+    """The mean of each type without its lowest and highest tenth, by row numbers that are dealt over runs of values."""
+    events = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    rows = O.ranked(events, ["event_type"], "value", F.floor(F.col("value") / 10), ["event_id"])
+    counts = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    cut = F.floor(F.col("n") * 0.1)
+    rows = rows.join(counts, "event_type").where((F.col("row_number") > cut) & (F.col("row_number") <= F.col("n") - cut))
+    return rows.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
 
 
 def gcd_lcm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,19 +118,83 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appended windows: those that the watermark has closed."""
     out = streaming.window_sums(_events(spark, sf_dir), "ts", "1 hour", ["event_type"], {"n": F.count(F.lit(1)), "top": F.max("value")}, "1 hour")
-    out = _streamed(spark, out, "complete")
+    out = _streamed(spark, out, "append")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "top")
 
 
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streaming.window_sums(_events(spark, sf_dir), "ts", "2 hours", [], {"n": F.count(F.lit(1))}, "1 hour", "1 hour")
+    return _streamed(spark, out, "append").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+def stream_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete mode, for a result of few rows that is wanted whole."""
+    out = streaming.window_sums(_events(spark, sf_dir), "ts", "1 day", [], {"n": F.count(F.lit(1))}, "1 hour")
+    return _streamed(spark, out, "complete").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _streamed(spark, streaming.session_counts(_events(spark, sf_dir), "ts", "1 hour", ["user_id"], "1 hour"), "append")
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("opened"), F.col("session_end").cast("timestamp_ntz").alias("closed"), "n")
+
+
+def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream joined with a stream: errors within an hour after a signup of the same user."""
+    signups = _events(spark, sf_dir).where("event_type = 'signup'").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("signup_id"))
+    errors = _events(spark, sf_dir).where("event_type = 'error'").select("user_id", "ts", "event_id")
+    out = _streamed(spark, streaming.interval_pairs(signups, errors, "user_id", "since", "ts", "1 hour", "1 hour"), "append")
+    return out.select("signup_id", "event_id")
+
+
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed state in update mode: each user's last totals."""
+    out = _streamed(spark, streaming.running_totals(_events(spark, sf_dir), "user_id", "value"), "update")
+    last = out.groupBy("user_id").agg(F.max(F.struct("n", "total", "top")).alias("s"))
+    return last.select("user_id", "s.n", F.round("s.total", 2).alias("total"), "s.top")
+
+
+def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed state by transformWithState: how often each user's event type changed."""
+    with streaming.rocksdb(spark):
+        out = _streamed(spark, streaming.type_changes(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type"), "update")
+    return out.groupBy("user_id").agg(F.max("changes").alias("changes"))
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _streamed(spark, streaming.deduplicated(_events(spark, sf_dir).select("event_id", "ts", "user_id"), "ts", ["event_id"], "1 hour"), "append")
     return out.select("event_id", "user_id")
 
 
+def _round_trip(spark: SparkSession, df: DataFrame, kind: str, **options: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/formats/{uuid.uuid4().hex}"
+    write(df, path, kind, **options)
+    return read(spark, path, kind, df.schema, **options)
+
+
+def format_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written and read back in each format; xml and text as well."""
+    rows = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    out = [_round_trip(spark, rows, kind).select(F.lit(kind).alias("kind"), "n_nationkey", "n_name") for kind in ("parquet", "orc", "json", "csv")]
+    out.append(_round_trip(spark, rows, "xml", rowTag="row").select(F.lit("xml").alias("kind"), "n_nationkey", "n_name"))
+    lines = _round_trip(spark, rows.select(F.concat_ws("|", "n_nationkey", "n_name").alias("value")), "text")
+    parts = F.split("value", r"\|")
+    out.append(lines.select(F.lit("text").alias("kind"), parts[0].cast("int").alias("n_nationkey"), parts[1].alias("n_name")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def partitioned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written by status, read back with the partitions pruned to one."""
+    path = f"{shared_dir(spark)}/formats/{uuid.uuid4().hex}"
+    write(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), path, partition_by=("o_orderstatus",))
+    return read(spark, path).where("o_orderstatus = 'P'").select("o_orderkey", "o_orderstatus")
+
+
 QUERIES = {f.__name__: f for f in (
     asof_purchase_click, interval_error_after_signup, salted_lines, groups_frame_orders, qualify_first_events, sessions, tumbling_windows, sliding_windows,
-    filled_days, signup_funnel, word_rows, trimmed_means, gcd_lcm, vector_to_first, stream_tumbling, stream_dedup,
+    filled_days, signup_funnel, ranks, word_rows, trimmed_means, gcd_lcm, vector_to_first, stream_tumbling, stream_sliding, stream_complete, stream_sessions, stream_pairs, stream_totals,
+    stream_transitions, stream_dedup, format_round_trips, partitioned_output,
 )}
 
 _TUMBLING = "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, max(value) as top from events group by 1, 2"
@@ -164,6 +241,27 @@ SQL = {
         select vec_id, round(list_cosine_similarity(embedding::double[], first::double[]), 6) as cosine,
           round(list_distance(embedding::double[], first::double[]), 6) as distance, round(list_inner_product(embedding::double[], first::double[]), 6) as product
         from embeddings join f using (label)""",
-    "stream_tumbling": _TUMBLING,
+    "ranks": """
+        select o_orderkey, rank() over w as r, dense_rank() over w as d, ntile(4) over (partition by o_orderpriority order by o_orderdate, o_orderkey)::int as q,
+          round(percent_rank() over w, 9) as p, round(cume_dist() over w, 9) as c
+        from orders window w as (partition by o_orderpriority order by o_orderdate)""",
+    "stream_tumbling": f"select * from ({_TUMBLING}) where window_start + interval 1 hour <= (select max(ts) - interval 1 hour from events)",
+    "stream_sliding": """
+        select w as window_start, count(*) as n from (select unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as w from events)
+        where w + interval 2 hour <= (select max(ts) - interval 1 hour from events) group by 1""",
+    "stream_complete": "select date_trunc('day', ts)::timestamp as window_start, count(*) as n from events group by 1",
+    "stream_sessions": """
+        with o as (select user_id, ts, coalesce((ts - lag(ts) over (partition by user_id order by ts) >= interval 1 hour)::int, 1) as opens from events),
+        s as (select user_id, ts, sum(opens) over (partition by user_id order by ts) as session from o)
+        select user_id, min(ts) as opened, max(ts) + interval 1 hour as closed, count(*) as n from s group by user_id, session
+        having max(ts) + interval 1 hour <= (select max(ts) - interval 1 hour from events)""",
+    "stream_pairs": """
+        select s.event_id as signup_id, e.event_id from events s join events e on s.user_id = e.user_id
+        where s.event_type = 'signup' and e.event_type = 'error' and e.ts between s.ts and s.ts + interval 1 hour""",
+    "stream_totals": "select user_id, count(value) as n, round(sum(value), 2) as total, max(value) as top from events group by 1",
+    "stream_transitions": """
+        select user_id, sum(changed)::bigint as changes from (select user_id, coalesce((event_type <> lag(event_type) over (partition by user_id order by ts, event_id))::int, 0) as changed from events) group by 1""",
+    "format_round_trips": "select kind, n_nationkey, n_name from nation, unnest(['parquet', 'orc', 'json', 'csv', 'xml', 'text']) as k(kind)",
+    "partitioned_output": "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'P'",
     "stream_dedup": "select distinct event_id, user_id from events",
 }

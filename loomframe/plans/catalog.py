@@ -1,6 +1,7 @@
 """Registered relational, event-time and streaming queries and their DuckDB twins.
 
-SHARED texts run unchanged on both engines. BUILT queries use the operators of this package.
+SHARED texts run unchanged on both engines, PAIRED ones have one for each; the rest use the operators of
+this package and DataFrame methods.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.plans import built
+from loomframe.plans import aggregates, built, frames, scalars
 from loomframe.sources import TABLES, register_views
 
 #: name -> (tables, SQL for both engines)
@@ -41,8 +42,6 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
         select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)"""),
     "anti_join": (("orders", "lineitem"), """
         select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)"""),
-    "null_aware_anti_join": (("part", "lineitem"), """
-        select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49)"""),
     "left_join": (("orders", "lineitem"), """
         select o_orderkey, count(l_linenumber) as n_lines, coalesce(sum(l_quantity), 0) as quantity
         from orders left join lineitem on l_orderkey = o_orderkey and l_returnflag = 'R' group by o_orderkey"""),
@@ -93,10 +92,6 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
           partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders) x where r <= 3"""),
     "moving_avg": (("events",), """
         select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 9 preceding and current row), 6) as m from events"""),
-    "ranks": (("orders",), """
-        select o_orderkey, rank() over w as r, dense_rank() over w as d, ntile(4) over (partition by o_orderpriority order by o_orderdate, o_orderkey) as q,
-          round(percent_rank() over w, 9) as p, round(cume_dist() over w, 9) as c
-        from orders window w as (partition by o_orderpriority order by o_orderdate)"""),
     "neighbours": (("events",), """
         select event_id, lag(event_type) over w as before, lead(value, 2) over w as later, first_value(event_id) over w as opened,
           last_value(event_id) over (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following) as closed
@@ -165,10 +160,14 @@ def _sql(tables: tuple[str, ...], text: str) -> Callable[[SparkSession, str], Da
     return run
 
 
+_SAME = SHARED | aggregates.SHARED | scalars.SHARED
+_PAIRED = PAIRED | aggregates.PAIRED | scalars.PAIRED
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{name: _sql(tables, text) for name, (tables, text) in SHARED.items()},
-    **{name: _sql(tables, text) for name, (tables, text, _) in PAIRED.items()},
+    **{name: _sql(tables, text) for name, (tables, text) in _SAME.items()},
+    **{name: _sql(tables, text) for name, (tables, text, _) in _PAIRED.items()},
+    **frames.QUERIES,
     **built.QUERIES,
 }
-SQL: dict[str, str] = {**{n: t for n, (_, t) in SHARED.items()}, **{n: t for n, (_, _, t) in PAIRED.items()}, **built.SQL}
-assert {t for tables, *_ in [*SHARED.values(), *PAIRED.values()] for t in tables} <= set(TABLES)
+SQL: dict[str, str] = {**{n: t for n, (_, t) in _SAME.items()}, **{n: t for n, (_, _, t) in _PAIRED.items()}, **frames.SQL, **built.SQL}
+assert {t for tables, *_ in [*_SAME.values(), *_PAIRED.values()] for t in tables} <= set(TABLES)

@@ -1,6 +1,7 @@
 """Readers and writers."""
 
 from loomframe.sources.files import read, stream, write, write_bucketed
+from loomframe.sources.numbers import number_rows
 from loomframe.sources.tables import TABLES, read_table, register_views
 
-__all__ = ["TABLES", "read", "read_table", "register_views", "stream", "write", "write_bucketed"]
+__all__ = ["TABLES", "number_rows", "read", "read_table", "register_views", "stream", "write", "write_bucketed"]

@@ -1,6 +1,6 @@
 """Structured Streaming twins of the event-time operators."""
 
 from loomframe.streaming.events import deduplicated, interval_pairs, run_available, session_counts, window_sums
-from loomframe.streaming.stateful import running_totals
+from loomframe.streaming.stateful import rocksdb, running_totals, type_changes
 
-__all__ = ["deduplicated", "interval_pairs", "run_available", "running_totals", "session_counts", "window_sums"]
+__all__ = ["deduplicated", "interval_pairs", "rocksdb", "run_available", "running_totals", "session_counts", "type_changes", "window_sums"]

@@ -38,13 +38,15 @@ def interval_pairs(left: DataFrame, right: DataFrame, by: str, left_ts: str, rig
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is, into Parquet, and reads the result.
 
-    Append writes each batch's finished rows once. Complete replaces the table with each batch.
+    Append writes each batch's finished rows once; update writes the rows that each batch changed. Complete
+    replaces the table with each batch.
     """
     spark = stream.sparkSession
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", path).start()
     else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
+        how = "overwrite" if mode == "complete" else "append"
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode(how).parquet(path)).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -24,3 +26,37 @@ def running_totals(events: DataFrame, by: str, value: str) -> DataFrame:
     kind = dict(events.dtypes)[by]
     out = events.select(by, value).groupBy(by)
     return out.applyInPandasWithState(update, f"{by} {kind}, n long, total double, top double", "n long, total double, top double", "update", GroupStateTimeout.NoTimeout)
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Within it, streams that start keep their state in RocksDB, as transformWithState needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def type_changes(events: DataFrame, by: str, order: list[str], kind: str) -> DataFrame:
+    """(by, changes) after each batch: how often a key's kind differed from the one before; a batch's rows are put in order."""
+
+    class Changes(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.last = handle.getValueState("last", "kind string, changes long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            kinds = pd.concat(list(rows)).sort_values(order)[kind].tolist()
+            before, changes = self.last.get() if self.last.exists() else (kinds[0], 0)
+            for now in kinds:
+                changes, before = changes + (now != before), now
+            self.last.update((before, changes))
+            yield pd.DataFrame({by: [key[0]], "changes": [changes]})
+
+        def close(self) -> None:
+            pass
+
+    out = events.select(by, *order, kind).groupBy(by)
+    return out.transformWithStateInPandas(Changes(), f"{by} {dict(events.dtypes)[by]}, changes long", "update", "none")

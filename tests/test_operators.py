@@ -2,6 +2,7 @@ import datetime
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomframe import functions as L
@@ -19,6 +20,42 @@ def test_asof_ties_misses_and_nulls(spark):
     assert got == [(1, 1, "b", -1), (1, 5, "a", 30), (1, 5, "a", 30), (2, 9, "c", -1), (3, 1, "d", -1)]
 
 
+def test_asof_null_keys_and_times(spark):
+    left = spark.createDataFrame([(None, 5, "a"), (1, None, "b"), (1, 5, "c"), (None, None, "d")], "k int, t int, v string")
+    right = spark.createDataFrame([(None, 1, 99), (1, None, 10), (None, None, 7)], "k int, t int, w int")
+    assert sorted((r.v, r.w) for r in O.asof_join(left, right, "t", ["k"], ["w"]).collect()) == [("a", None), ("b", None), ("c", None), ("d", None)]
+
+
+def test_not_in(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,), (2,)], "x int")
+    for values, want in (([2, 3, 2], [1]), ([2, None], []), ([None], []), ([], [None, 1, 2, 2])):
+        right = spark.createDataFrame([(v,) for v in values], "y int")
+        got = O.not_in(left, "x", right, "y")
+        assert sorted((r.x for r in got.collect()), key=lambda v: (v is not None, v)) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = O.not_in(left, "x", spark.range(10).select(F.col("id").cast("int").alias("y")), "y")
+        assert "SortMergeJoin" in big._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ranks_and_groups_frames_over_runs(spark):
+    """Ranks that are dealt over runs of values equal plain windows, nulls, ties and null keys included."""
+    rows = [(k, "ab"[k % 2] if k % 17 else None, None if k % 13 == 0 else k * k % 31) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, k string, v int")
+    w = Window.partitionBy("k").orderBy("v")
+    plain = df.select("id", F.rank().over(w).alias("rank"), F.dense_rank().over(w).alias("dense_rank"), F.row_number().over(Window.partitionBy("k").orderBy("v", "id")).alias("row_number"),
+                      F.percent_rank().over(w).alias("percent_rank"), F.cume_dist().over(w).alias("cume_dist"), F.ntile(7).over(Window.partitionBy("k").orderBy("v", "id")).alias("ntile"))
+    got = O.ranked(df, ["k"], "v", F.floor(F.col("v") / 4), ["id"], tiles=7).select(plain.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    for spread in (1, 3, 64):
+        for before, after in ((2, 0), (0, 3), (1, 1), (5, 5)):
+            agg = {"n": F.count(F.lit(1)), "s": F.sum("v"), "top": F.max("v")}
+            one, many = O.groups_frame(df, ["k"], "v", before, after, agg), O.groups_frame(df, ["k"], "v", before, after, agg, F.floor(F.col("v") / 4), spread)
+            assert sorted(map(str, one.collect())) == sorted(map(str, many.select(one.columns).collect()))
+
+
 def test_interval_join_equals_brute_force(spark):
     points = [(k % 3, k * 7 % 50) for k in range(60)]
     spans = [(k % 3, k * 5 % 40, k * 5 % 40 + k % 20 - 2) for k in range(40)]
@@ -51,8 +88,9 @@ def test_number_functions(spark):
     got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", L.gcd(F.col("a"), F.col("b")).alias("g")).collect()
     for r in got:
         assert r.g == (None if None in (r.a, r.b) else math.gcd(r.a, r.b))
-    few = spark.createDataFrame([(4, 6), (0, 5), (-3, 7), (None, 1)], "a long, b long").select(L.lcm(F.col("a"), F.col("b")).alias("l")).collect()
-    assert [r.l for r in few] == [12, 0, 21, None]
+    some = [(4, 6), (0, 5), (-3, 7), (None, 1), (0, None), (1, 2**53 + 1), (3, 3 * (2**53 + 1)), (2**31, 2**31 - 1), (6, -(2**60))]
+    few = spark.createDataFrame(some, "a long, b long").select("a", "b", L.lcm(F.col("a"), F.col("b")).alias("l")).collect()
+    assert [r.l for r in few] == [None if None in p else math.lcm(*p) for p in some]
 
 
 def test_vector_functions(spark):

@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from loomframe.session import SETTINGS
-from loomframe.sources import TABLES, read, read_table, register_views, write, write_bucketed
+from loomframe.sources import TABLES, number_rows, read, read_table, register_views, write, write_bucketed
 
 ROWS = [(1, "a", 0.5), (2, "b", None), (3, None, -1.0)]
 SCHEMA = "k int, s string, x double"
@@ -31,6 +32,18 @@ def test_bucketed_join_needs_no_shuffle(spark):
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 1000
 
 
+def test_numbers_source(spark):
+    got = number_rows(spark, -3, 11, 4)
+    assert sorted(r.n for r in got.collect()) == list(range(-3, 12)) and got.rdd.getNumPartitions() == 4
+    assert number_rows(spark, 5, 4, 3).collect() == [] and number_rows(spark, 1, 1, 9).count() == 1
+
+
+def test_a_rewritten_table_is_read_with_its_own_schema(spark, tmp_path):
+    for df in (spark.range(3), spark.range(3).select(F.col("id").cast("string").alias("name"), "id")):
+        df.write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+        assert read_table(spark, str(tmp_path), "t").columns == df.columns
+
+
 def test_tables(spark, sf_dir):
     register_views(spark, sf_dir, TABLES)
     assert all(spark.table(t).count() == read_table(spark, sf_dir, t).count() for t in ("region", "nation"))

@@ -41,6 +41,18 @@ def test_dedup_and_interval_pairs(spark, tmp_path):
     assert [(r.event_id, r.other_id) for r in streaming.run_available(pairs, f"{tmp_path}/p", f"{tmp_path}/ps").collect()] == [(1, 3)]
 
 
+def test_type_changes_carry_over_batches(spark, tmp_path):
+    kinds = ["a", "a", "b", "b", "a", "c"]
+    schema = "event_id long, user_id long, ts timestamp_ntz, kind string"
+    for k in (0, 1):
+        rows = [(i, 1, at(i), kinds[i]) for i in range(3 * k, 3 * k + 3)] + [(9, 2 + k, at(9), "z")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/b{k}")
+    stream = files.stream(spark, f"{tmp_path}/in/*", schema, files_per_batch=1)
+    with streaming.rocksdb(spark):
+        out = streaming.run_available(streaming.type_changes(stream, "user_id", ["ts"], "kind"), f"{tmp_path}/o", f"{tmp_path}/s", "update")
+    assert {r.user_id: r.c for r in out.groupBy("user_id").agg(F.max("changes").alias("c")).collect()} == {1: 3, 2: 0, 3: 0}
+
+
 def test_running_totals(spark, tmp_path):
     stream = dropped(spark, f"{tmp_path}/in", [(1, 1, at(0), 2.0), (2, 2, at(0), 1.0)], [(3, 1, at(5), 5.0), (4, 1, at(6), None)])
     seen = {}
