@@ -59,7 +59,10 @@ def ship(spark: SparkSession) -> None:
         return
     there = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd()}
     if root not in there:
-        file = Path(tempfile.mkdtemp(prefix="loomframe-")) / "loomframe.zip"
+        # On the driver alone: executors fetch it from there.
+        folder = tempfile.mkdtemp(prefix="loomframe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        file = Path(folder) / "loomframe.zip"
         with zipfile.ZipFile(file, "w") as out:
             for source in sorted((root / "loomframe").rglob("*.py")):
                 out.write(source, source.relative_to(root))
