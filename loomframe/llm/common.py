@@ -44,10 +44,43 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Owners of written tables, the innermost last.
+_OWNERS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """An owner of what is written within it: at its end, those tables are deleted. Results that read them
+    must be written by then, outside or as `kept`."""
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNERS.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """written, but no scratch's."""
+    owners = _OWNERS[:]
+    _OWNERS.clear()
+    try:
+        return written(df, name)
+    finally:
+        _OWNERS[:] = owners
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, prunes columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomframe/{name}-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     with tidy(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,8 +92,7 @@ def dropped(*tables: DataFrame) -> None:
         for file in table.inputFiles()[:1]:
             folder = file.rsplit("/", 1)[0]
             if "/loomframe/" in folder:
-                path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+                delete(table.sparkSession, folder)
 
 
 def words_of(text: Column) -> Column:

@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from loomframe.llm import mixing, quality_qda
+from loomframe.llm.common import written
+from loomframe.session import shared_dir
 from loomframe.llm.mixing import WORD
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -38,19 +41,19 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     sums = [(np.count_nonzero(y == k), x[y == k].sum(axis=0), x[y == k].T @ x[y == k]) for k in (0, 1)]
     score = quality_qda.Model(*(np.array([s[i] for s in sums]) for i in range(3))).score(x)
     good = [r for r, s in zip(raw, score) if s >= 0.3]
-    state = P.written(P.quality(spark, docs, sf_dir), "test")
+    state = written(P.quality(spark, docs, sf_dir), "test")
     assert rows_of(state) == sorted(good, key=str) and len(good) < len(raw)
 
     # near duplicates: all pairs compared
     classes = near_classes([(r[0], r[1]) for r in good])
     first = [r for r in good if not classes[r[0], r[1]][0] or classes[r[0], r[1]][1] == r[0]]
-    state = P.written(P.near_dups(spark, state, sf_dir), "test")
+    state = written(P.near_dups(spark, state, sf_dir), "test")
     assert rows_of(state) == sorted(first, key=str) and len(first) < len(good)
 
     # repeats: every unit's first occurrence by a dictionary
     clean = {d: (t, s) for d, t, s in cut_rows([(r[0], r[1]) for r in first])}
     rest = [(r[0], clean[r[0]][0], r[2], r[3], len(clean[r[0]][0]) if clean[r[0]][1] else r[4]) for r in first if words(clean[r[0]][0]) or not clean[r[0]][1]]
-    state = P.written(P.repeats(spark, state, sf_dir), "test")
+    state = written(P.repeats(spark, state, sf_dir), "test")
     assert rows_of(state) == sorted(rest, key=str)
 
     # mixture: the blocks that each source's passes and permutations name, from its stream in order
@@ -91,7 +94,7 @@ def test_each_stage_against_brute_force(spark, sf_dir):
         for _, a, b in runs:
             t = whole[d][1][(spans[d][a][0] if a else 0) : (spans[d][b][1] if b + 1 < len(spans[d]) else None)]
             mixed.append((d, t, whole[d][2], whole[d][3], len(t)))
-    state = P.written(P.mixture(spark, state, sf_dir), "test")
+    state = written(P.mixture(spark, state, sf_dir), "test")
     assert rows_of(state) == sorted(mixed, key=str)
 
     # packing: ids of whole texts, as few sequences as row-wise best fit
@@ -129,4 +132,8 @@ def test_odd_rows(spark, sf_dir):
 
 def test_run_and_contract(spark, sf_dir):
     assert [n for n, _ in P.STAGES] == ["quality", "near_dups", "repeats", "mixture", "packing"] and P.ORACLE_SQL is None
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "loomframe"
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
     assert P.run(spark, sf_dir).count() > 0
+    # What is left is the last stage's table.
+    assert [n.rsplit("-", 1)[0] for n in {p.name for p in folder.iterdir()} - before] == ["stage-packing"]
