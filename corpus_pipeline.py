@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm import jaccard_join, mixing, packing, quality_qda, substring_dedup
-from loomframe.llm.common import written
+from loomframe.llm.common import dropped, kept, scratch
 from loomframe.llm.queries import fold, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -61,8 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is a written table."""
+    """All stages over documents; each one's result is a written table, and what it needed besides is deleted after it."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    before = None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
