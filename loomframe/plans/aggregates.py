@@ -68,8 +68,8 @@ PAIRED: dict[str, tuple[tuple[str, ...], str, str]] = {
         "select l_linestatus, count_if(l_quantity > 25) as big, try_sum(l_linenumber) as s, try_avg(l_linenumber) as a from lineitem group by l_linestatus",
         "select l_linestatus, count_if(l_quantity > 25)::bigint as big, sum(l_linenumber)::bigint as s, avg(l_linenumber) as a from lineitem group by l_linestatus"),
     "every_some": (("orders",),
-        "select o_orderpriority, every(o_totalprice > 0) as e, some(o_orderstatus = 'P') as s, array_sort(collect_set(o_orderstatus)) as states from orders group by o_orderpriority",
-        "select o_orderpriority, bool_and(o_totalprice > 0) as e, bool_or(o_orderstatus = 'P') as s, list_sort(list(distinct o_orderstatus)) as states from orders group by o_orderpriority"),
+        "select o_orderpriority, every(o_totalprice > 0) as e, some(o_orderstatus = 'P') as s, array_join(array_sort(collect_set(o_orderstatus)), ',') as states from orders group by o_orderpriority",
+        "select o_orderpriority, bool_and(o_totalprice > 0) as e, bool_or(o_orderstatus = 'P') as s, array_to_string(list_sort(list(distinct o_orderstatus)), ',') as states from orders group by o_orderpriority"),
     # sketches: whether the estimate is within their stated error, which both engines must agree is so
     "approximate_counts": (("lineitem",),
         "select l_returnflag, abs(approx_count_distinct(l_partkey, 0.02) - count(distinct l_partkey)) <= 0.1 * count(distinct l_partkey) as near from lineitem group by l_returnflag",
