@@ -44,6 +44,19 @@ def test_plan_is_best_fit_decreasing(seed):
     assert len(held) == best_fit(lengths, size)
 
 
+def test_plan_has_one_size_at_every_scale():
+    """The plan follows the lengths there are, not how many pieces have them; few sequences more than the tokens need."""
+    rng = np.random.default_rng(0)
+    lengths, counts = np.unique(np.minimum(2048, rng.lognormal(5.5, 1.2, 50_000).astype(int) + 1), return_counts=True)
+    sizes = []
+    for times in (1, 1000, 10**6):
+        plan = packing.plan({int(n): int(c) * times for n, c in zip(lengths, counts)}, 2048)
+        made = max(first + n for _, _, n, first, _ in plan)
+        assert made <= 1.001 * int((lengths * counts).sum()) * times / 2048 + 1
+        sizes.append(len(plan))
+    assert max(sizes) < 1.5 * min(sizes) < 60_000
+
+
 def test_encoder_equals_whole_text_encoding():
     path = public_tokenizers.path(packing.TOKENIZER)
     texts = ["It's  a Test.\n\nUN’été été", None, "", "<|endoftext|> x<|startoftext|>y", "漢字　ok  12345", "\x00 a\x1cb", "don't I'LL", "́ a", " " * 9]
