@@ -46,8 +46,10 @@ WIDTH, PERCENT = 5, 80
 HOT = 32
 #: Bits of a map: the power of two at or above 8 for each value, within these (128 KB and 16 MB).
 LEAST_MAP, MOST_MAP = 1 << 20, 1 << 27
-#: Documents of a tree that one task takes from either side: a quarter, within these; shingles; fan-out.
-CHUNK, MOST_CHUNK, CHUNK_SHINGLES, FANOUT = 256, 1 << 13, 1 << 21, 8
+#: Documents that a task compares with a pivot; shingles that it holds; a tree's fan-out.
+CHUNK, CHUNK_SHINGLES, FANOUT = 256, 1 << 21, 8
+#: Where all of a tree is wanted by what a pivot left, a task takes a quarter, but CHUNK to MOST_CHUNK documents.
+MOST_CHUNK = 1 << 13
 #: Bits of a signature: the power of two at or above the set's size, within these; the finer one has FINE times the bits.
 LEAST_BITS, MOST_BITS, FINE = 64, 1 << 17, 8
 
@@ -369,10 +371,9 @@ def grouped(df: DataFrame, work, schema: str) -> DataFrame:
 ENTRY = "token long, at int, node long, n long, rare long, weight long, hot boolean"
 
 
-def parts_of(some: Column, shingles: Column, size: Column) -> Column:
-    """Into how many parts some of a tree's members are dealt, so that rows don't grow with the square of its size."""
-    chunk = F.greatest(F.lit(CHUNK), F.least(F.lit(MOST_CHUNK), F.ceil(size / 4)))
-    return F.least(some, F.greatest(F.ceil(some / chunk), F.ceil(shingles / CHUNK_SHINGLES))).cast("int")
+def parts_of(size: Column, shingles: Column, chunk: Column) -> Column:
+    """Into how many parts documents are dealt."""
+    return F.least(size, F.greatest(F.ceil(size / chunk), F.ceil(shingles / CHUNK_SHINGLES))).cast("int")
 
 
 def tree_members(classes: DataFrame, percent: int) -> DataFrame:
@@ -387,7 +388,7 @@ def tree_members(classes: DataFrame, percent: int) -> DataFrame:
     # Of trees with equal members, the one of the first shingle in the order (unmarked ones first, then as unsigned numbers).
     order = F.struct("hot", F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), "token")
     roots = roots.groupBy("size", "shingles", "low", "x", "y").agg(F.min(order).alias("first"))
-    parts = F.when(F.col("size") > 2, parts_of(F.col("size"), F.col("shingles"), F.col("size"))).otherwise(1)
+    parts = F.when(F.col("size") > 2, parts_of(F.col("size"), F.col("shingles"), F.lit(CHUNK))).otherwise(1)
     roots = written(roots.select("first.token", "size", "low", parts.alias("parts")), "roots")
     reach = F.col("n") - F.col("at")
     # No member is smaller than low or, if it is similar to another, than its share of that one.
@@ -422,18 +423,20 @@ def last_rows(members: DataFrame, left: DataFrame, picked: DataFrame, found: Dat
     whole = whole.select(*NAMES[:-2], comp, "pick")
     several = whole.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
     whole = whole.join(several, "token", "left_semi")
-    large = members.where("parts > 1").join(found, "node", "left").select("token", "size", "parts", "node", "n", "reach", comp)
+    large = members.where("parts > 1").join(found, "node", "left").select("token", "size", "node", "n", "reach", comp)
     large = written(large, "large")
     main = large.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"))
     main = main.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), F.sum("shingles").alias("shingles")).where("c > main.c")
     outer = F.col("c") - F.col("main.c")
-    rest = parts_of(outer, F.ceil(F.col("shingles") * outer / F.col("c")), F.col("c"))
-    main = main.select("token", F.col("main.comp").alias("main"), rest.alias("rest"))
+    # Parts of either side are sent once for each of the other's, so that there may be few: rows don't grow with the square of the size.
+    chunk = F.greatest(F.lit(CHUNK), F.least(F.lit(MOST_CHUNK), F.ceil(F.col("c") / 4)))
+    rest = parts_of(outer, F.ceil(F.col("shingles") * outer / F.col("c")), chunk)
+    main = main.select("token", F.col("main.comp").alias("main"), rest.alias("rest"), parts_of(F.col("c"), F.col("shingles"), chunk).alias("deal"))
     rows = large.join(main, "token")
-    lo, hi = part_of(F.col("rest")), part_of(F.col("parts"))
+    lo, hi = part_of(F.col("rest")), part_of(F.col("deal"))
     tail = [F.lit(False).alias("whole"), "reach", "comp", F.lit(None).cast("long").alias("pick")]
     all_ = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("lo"), hi.alias("hi"), "node", F.lit(RIGHT).alias("role"), "size", *tail)
-    outside = rows.where("comp != main").select("token", lo.alias("lo"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hi"), "node", F.lit(LEFT).alias("role"), "size", *tail)
+    outside = rows.where("comp != main").select("token", lo.alias("lo"), F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("hi"), "node", F.lit(LEFT).alias("role"), "size", *tail)
     return whole.union(all_).union(outside)
 
 
