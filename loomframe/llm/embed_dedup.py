@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import by_group, dropped, written
-from loomframe.llm.components import components, owners, with_least
+from loomframe.llm.common import dropped, written
+from loomframe.llm.components import Forest, components, owners, with_least
 
 THRESHOLD, MISS, SEED, CHUNK = 0.98, 1e-4, 20240229, 512
 #: Signs of a code at least and at most, whatever a label's number of rows.
@@ -85,48 +86,104 @@ def coded(classes: DataFrame, threshold: float, miss: float, seed: int) -> DataF
 KEYS = ["label", "t", "code", "dim", "lo", "hi"]
 
 
-def linked(threshold: float):
-    """For by_group: (kind, a, b): 0 a class and the weight of its partners here, 1 a link of the forest."""
-
-    def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        t, across = group["t"][0].as_py(), group["lo"][0].as_py() != group["hi"][0].as_py()
-        n = group.num_rows
-        if n < 2:
-            return
-        group = group.combine_chunks()
-        node, weight, side, named = (np.asarray(group[c]) for c in ("node", "weight", "side", "named"))
-        v = np.asarray(group["v"].combine_chunks().flatten()).reshape(n, -1)
+#: Rows and bytes of a block of whole groups, and the size from which a group's cosines are one matrix product.
+BLOCK, BLOCK_BYTES, LARGE = 1 << 13, 8 << 20, 48
+
+
+def pairs_within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the groups, by groups of one size."""
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        a, b = np.triu_indices(n, 1)
+        at = starts[sizes == n]
+        step = max(1, (1 << 16) // len(a))
+        for k in range(0, len(at), step):
+            yield (at[k : k + step, None] + a).ravel(), (at[k : k + step, None] + b).ravel()
+
+
+def similar(v: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a group with that cosine; many small groups are compared at once."""
+    found = [(np.zeros(0, np.int64),) * 2]
+    small = sizes < LARGE
+    for i, j in pairs_within(starts[small], sizes[small]):
+        ok = np.einsum("nd,nd->n", v[i], v[j]) >= threshold
+        found.append((i[ok], j[ok]))
+    for at, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
+        i, j = np.nonzero(v[at : at + n] @ v[at : at + n].T >= threshold)
+        found.append((i[i < j] + at, j[i < j] + at))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def compared(block: pa.Table, starts: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """(kind, a, b) of the groups that start there: 0 a class and the weight of its partners here, 1 a link of the forest."""
+    node, weight, side, named, t, lo, hi, dim = (np.asarray(block[c]) for c in ("node", "weight", "side", "named", "t", "lo", "hi", "dim"))
+    sizes = np.diff(np.append(starts, len(node)))
+    lists = block["codes"].chunk(0)
+    length = np.asarray(lists.value_lengths())
+    codes = np.zeros((len(node), int(length.max())), np.int64)
+    codes[np.arange(codes.shape[1]) < length[:, None]] = np.asarray(lists.flatten())
+    flat, ends = np.asarray(block["v"].chunk(0).flatten()), np.cumsum(dim)
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in np.unique(dim).tolist():
+        rows = np.flatnonzero(dim == d)
+        v = flat[(ends[rows] - d)[:, None] + np.arange(d)]
         v = v / np.abs(v).max(axis=1, keepdims=True)
         v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-        if across:
-            one, two = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-            i, j = np.nonzero(v[one] @ v[two].T >= threshold)
-            i, j = one[i], two[j]
-            keep = side[i] != side[j]
-        else:
-            i, j = np.nonzero(v @ v.T >= threshold)
-            keep = i < j
-        i, j = i[keep], j[keep]
-        if t and len(i):
-            codes = np.asarray(group["codes"].combine_chunks().flatten()).reshape(n, -1)[:, :t]
-            new = np.concatenate([(codes[i[k : k + (1 << 16)]] != codes[j[k : k + (1 << 16)]]).all(axis=1) for k in range(0, len(i), 1 << 16)])
-            i, j = i[new], j[new]
-        if not len(i):
-            return
-        partners = np.bincount(i, weight[j], n) + np.bincount(j, weight[i], n)
-        some = np.flatnonzero(partners)
-        comp, links = np.arange(n), []
-        both = named[i] & named[j]
-        for x, y in zip(i[both].tolist(), j[both].tolist()):
-            if comp[x] != comp[y]:
-                links.append((node[x], node[y]))
-                comp[comp == comp[y]] = comp[x]
-        kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(links), np.int32)])
-        a = np.concatenate([node[some], np.array([x for x, _ in links], np.int64)])
-        b = np.concatenate([partners[some].astype(np.int64), np.array([y for _, y in links], np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, a, b)], ["kind", "a", "b"])
-
-    return by_group(KEYS, None, work)
+        own = dim[starts] == d
+        i, j = similar(v, np.searchsorted(rows, starts[own]), sizes[own], threshold)
+        one.append(rows[i])
+        two.append(rows[j])
+    i, j = np.concatenate(one), np.concatenate(two)
+    # One of each chunk, where the group is a pair of chunks.
+    keep = (lo[i] == hi[i]) | (side[i] != side[j])
+    i, j = i[keep], j[keep]
+    # The first bucket that holds a pair counts it.
+    before = np.arange(codes.shape[1])
+    new = [~((codes[a] == codes[b]) & (before < t[a][:, None])).any(axis=1) for a, b in ((i[k : k + (1 << 16)], j[k : k + (1 << 16)]) for k in range(0, len(i), 1 << 16))]
+    if new:
+        i, j = i[np.concatenate(new)], j[np.concatenate(new)]
+    partners = np.bincount(i, weight[j], len(node)) + np.bincount(j, weight[i], len(node))
+    some = np.flatnonzero(partners)
+    both = named[i] & named[j]
+    forest = Forest()
+    links = [(x, y) for x, y in zip(node[i[both]].tolist(), node[j[both]].tolist()) if forest.join(x, y)]
+    kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(links), np.int32)])
+    a = np.concatenate([node[some], np.array([x for x, _ in links], np.int64)])
+    b = np.concatenate([partners[some].astype(np.int64), np.array([y for _, y in links], np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, a, b)], ["kind", "a", "b"])
+
+
+def linked(threshold: float):
+    """A mapInArrow function over partitions sorted by KEYS: blocks of whole groups, compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def blocks(last: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            n = table.num_rows
+            change = np.zeros(n, bool)
+            change[:1] = True
+            for c in KEYS:
+                column = table[c].chunk(0)
+                change[1:] |= np.asarray(pc.not_equal(column.slice(1), column.slice(0, n - 1)))
+            starts = np.flatnonzero(change)
+            held.clear()
+            if not last:
+                # The last group may go on.
+                held.extend(table.slice(starts[-1]).to_batches())
+                table, starts = table.slice(0, starts[-1]).combine_chunks(), starts[:-1]
+            if len(starts):
+                yield compared(table, starts, threshold)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= BLOCK or sum(b.nbytes for b in held) >= BLOCK_BYTES:
+                    yield from blocks(False)
+        if held:
+            yield from blocks(True)
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, miss: float = MISS, seed: int = SEED) -> DataFrame:

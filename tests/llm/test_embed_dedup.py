@@ -43,8 +43,10 @@ def data(n=150):
 
 def test_against_brute_force(spark, monkeypatch):
     rows = data()
-    for chunk in (512, 3):
+    for chunk, block, large in ((512, 1 << 13, 48), (3, 5, 2), (512, 40, 4)):
         monkeypatch.setattr(embed_dedup, "CHUNK", chunk)
+        monkeypatch.setattr(embed_dedup, "BLOCK", block)
+        monkeypatch.setattr(embed_dedup, "LARGE", large)
         got = embed_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows))
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
