@@ -26,10 +26,12 @@ import functools
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +82,77 @@ def encode(path: str, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
+# Fixed value: how the tokenizer's file says that text is split before its merges.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Texts of these characters only, of whose classes all regular expressions are of one mind, are split here.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\u024f]*")
+#: Pieces that a worker remembers, and how many are encoded as one text.
+MOST_PIECES, JOINED = 200_000, 256
+
+
+@functools.cache
+def blanks(path: str) -> np.ndarray:
+    """By token: whether it begins with a blank."""
+    vocabulary = tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True
+    return out
+
+
+class Pieces:
+    """Token ids of many texts: no merge crosses a piece's edge, so each distinct piece is encoded once."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.begin, self.size = array("i"), array("q"), array("q")
+
+    def add(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        at = len(self.begin)
+        self.known.update(zip(pieces, range(at, at + len(pieces))))
+        self.begin.frombytes((np.cumsum(sizes) - sizes + len(self.flat)).astype(np.int64).tobytes())
+        self.size.frombytes(sizes.astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.int32).tobytes())
+
+    def learn(self, new: list[str]) -> None:
+        """Words that follow a blank make one text, in which a token with the blank's mark begins each."""
+        words = [x for x in new if x[0] == " " and x[1:].isalpha()]
+        others = [x for x in new if not (x[0] == " " and x[1:].isalpha())]
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        for group, ids in zip(groups, encode(self.path, ["".join(g) for g in groups])):
+            found = np.array(ids, np.int32)
+            starts = np.flatnonzero(blanks(self.path)[found])
+            if len(starts) == len(group) and starts[0] == 0:
+                self.add(group, np.diff(starts, append=len(found)), found)
+            else:
+                others += group
+        each = encode(self.path, others)
+        self.add(others, np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], np.int32))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > MOST_PIECES:
+            self.clear()
+        plain = [PLAIN.fullmatch(t) is not None for t in texts]
+        lists = [PIECE.findall(t) if p else [] for t, p in zip(texts, plain)]
+        every = [x for pieces in lists for x in pieces]
+        self.learn([x for x in dict.fromkeys(every) if x not in self.known])
+        which = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        size = np.array(self.size, np.int64)[which]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        flat = np.array(self.flat, np.int32)[np.repeat(np.array(self.begin, np.int64)[which] - upto[:-1], size) + np.arange(upto[-1])]
+        ends = upto[np.cumsum([0, *map(len, lists)])].tolist()
+        others = iter(encode(self.path, [t for t, p in zip(texts, plain) if not p]))
+        return [flat[a:b] if p else np.array(next(others), np.int32) for p, a, b in zip(plain, ends, ends[1:])]
+
+
+@functools.cache
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 NODE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "length", "position", "parent", "loss_start", "loss_end")] + [T.StructField("attends", T.ArrayType(SPAN))])
 CONV = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("leaf", T.IntegerType())])
@@ -118,11 +191,11 @@ class Packer:
     def learn(self, texts: list[str]) -> None:
         """Encode the texts of a slice at once, each distinct one once."""
         new = list(dict.fromkeys(texts))
-        self.known = {t: np.array(ids, np.int32) for t, ids in zip(new, encode(self.path, [escaped(t) for t in new]))}
+        self.known = dict(zip(new, pieces(self.path).encode([escaped(t) for t in new])))
 
     def body(self, text: str) -> np.ndarray:
         found = self.known.get(text)
-        return np.array(encode(self.path, [escaped(text)])[0], np.int32) if found is None else found
+        return pieces(self.path).encode([escaped(text)])[0] if found is None else found
 
     def around(self, part: str) -> np.ndarray:
         """A header or the tail, of which there are few; forgotten if there aren't."""

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 
@@ -44,6 +45,18 @@ def test_round_trip_and_sharing(spark):
     assert sum(len(r.nodes) for r in once) < 4 + 3 + 4 + 4
 
 
+def test_pieces_equal_whole_text_encoding():
+    path = public_tokenizers.path(chat.TOKENIZER)
+    rng = random.Random(3)
+    parts = ["word", " the", "'s", "'ll", "'", " 12", "3", "é", "Ünter", " ...", "!?", "\n", "\n\n", "  ", " ", "\t", "\r\n", "\\l", "×", "ß", "ǆ", "_", "x" * 60]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(2000)] + ["漢字 and\u00a0more", "\x1c a", "", "e\u0301"]
+    known = chat.Pieces(path)
+    for at in range(0, len(texts), 300):
+        some = texts[at : at + 300]
+        for t, ids, whole in zip(some, known.encode(some), chat.encode(path, some)):
+            assert ids.tolist() == whole, ascii(t)
+
+
 def test_one_packer_emits_shared_turns_once():
     packer = chat.Packer(public_tokenizers.path(chat.TOKENIZER))
     packer.add(1, [b"a", b"b"], ["user", "assistant"], ["q", "x"])
