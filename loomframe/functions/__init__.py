@@ -2,7 +2,7 @@
 
 from loomframe.functions.numbers import gcd, lcm
 from loomframe.functions.texts import tokens
-from loomframe.functions.user import cogrouped_asof, moving_averages, nfc, word_counts
+from loomframe.functions.user import code_points, cogrouped_asof, extracted, moving_averages, nfc, word_counts
 from loomframe.functions.vectors import cosine, dot, l2_distance, norm
 
-__all__ = ["cogrouped_asof", "cosine", "dot", "gcd", "l2_distance", "lcm", "moving_averages", "nfc", "norm", "tokens", "word_counts"]
+__all__ = ["code_points", "cogrouped_asof", "cosine", "dot", "extracted", "gcd", "l2_distance", "lcm", "moving_averages", "nfc", "norm", "tokens", "word_counts"]

@@ -22,6 +22,27 @@ def nfc(text: Column) -> Column:
     return normal(text)
 
 
+def code_points(text: Column) -> Column:
+    """How many code points a text has, a scalar function over Arrow arrays."""
+
+    @F.arrow_udf("long")
+    def counted(values: pa.Array) -> pa.Array:
+        return pc.utf8_length(values).cast(pa.int64())
+
+    return counted(text)
+
+
+def extracted(df: DataFrame, key: str, text: str, pattern: str, name: str) -> DataFrame:
+    """(key, name): what the pattern's group finds first in each text, by partition in pandas; null if nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = batch[text].str.extract(pattern, expand=False)
+            yield pd.DataFrame({key: batch[key], name: found.astype(object).where(found.notna(), None)})
+
+    return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {name} string")
+
+
 def moving_averages(df: DataFrame, key: str, order: list[str], value: str, weight: float) -> DataFrame:
     """(key, ema): the exponential moving average at each key's last row; a key's rows meet in one worker."""
 

@@ -107,9 +107,9 @@ def vector_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("vec_id", F.round(L.cosine(v, w), 6).alias("cosine"), F.round(L.l2_distance(v, w), 6).alias("distance"), F.round(L.dot(v, w), 6).alias("product"))
 
 
-def _streamed(spark: SparkSession, build, mode: str) -> DataFrame:
+def _streamed(spark: SparkSession, build, mode: str, every: str | None = None) -> DataFrame:
     place = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    return streaming.run_available(build, f"{place}/out", f"{place}/state", mode)
+    return streaming.run_available(build, f"{place}/out", f"{place}/state", mode, every)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +124,11 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "top")
 
 
+def stream_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream without state, triggered every second."""
+    return _streamed(spark, _events(spark, sf_dir).where("event_type = 'error' and value > 100").select("event_id", "value"), "append", "1 second")
+
+
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streaming.window_sums(_events(spark, sf_dir), "ts", "2 hours", [], {"n": F.count(F.lit(1))}, "1 hour", "1 hour")
     return _streamed(spark, out, "append").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
@@ -193,7 +198,7 @@ def partitioned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     asof_purchase_click, interval_error_after_signup, salted_lines, groups_frame_orders, qualify_first_events, sessions, tumbling_windows, sliding_windows,
-    filled_days, signup_funnel, ranks, word_rows, trimmed_means, gcd_lcm, vector_to_first, stream_tumbling, stream_sliding, stream_complete, stream_sessions, stream_pairs, stream_totals,
+    filled_days, signup_funnel, ranks, word_rows, trimmed_means, gcd_lcm, vector_to_first, stream_tumbling, stream_filtered, stream_sliding, stream_complete, stream_sessions, stream_pairs, stream_totals,
     stream_transitions, stream_dedup, format_round_trips, partitioned_output,
 )}
 
@@ -246,6 +251,7 @@ SQL = {
           round(percent_rank() over w, 9) as p, round(cume_dist() over w, 9) as c
         from orders window w as (partition by o_orderpriority order by o_orderdate)""",
     "stream_tumbling": f"select * from ({_TUMBLING}) where window_start + interval 1 hour <= (select max(ts) - interval 1 hour from events)",
+    "stream_filtered": "select event_id, value from events where event_type = 'error' and value > 100",
     "stream_sliding": """
         select w as window_start, count(*) as n from (select unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as w from events)
         where w + interval 2 hour <= (select max(ts) - interval 1 hour from events) group by 1""",

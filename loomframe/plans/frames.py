@@ -144,6 +144,17 @@ def cogrouped_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.cogrouped_asof(left, right, "user_id", "ts", "click_id").select("event_id", "click_id")
 
 
+def code_point_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar function over Arrow arrays."""
+    bare = F.concat(F.substring("text", 1, 40), F.lit("e\u0301"))
+    return read_table(spark, sf_dir, "benchmark").select("item_id", L.code_points(bare).alias("n"))
+
+
+def extracted_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions in pandas: a value found in each event's properties."""
+    return L.extracted(read_table(spark, sf_dir, "events"), "event_id", "props", '"k": ?"?([^",}]*)', "k")
+
+
 def batch_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partitions in Python: words of each text, by Arrow's own splitting."""
     return L.word_counts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -151,7 +162,7 @@ def batch_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     filled_nulls, dropped_nulls, dropped_mostly_null, replaced_values, first_of_keys, union_by_name, transposed, sorted_within, products, last_rows, hash_sample, random_sample, renamed_columns,
-    melted, numbered_rows, null_aware_anti_join, not_in_operator, asof_with_nulls, large_lcm, normal_forms, ema_last, cogrouped_asof, batch_word_counts,
+    melted, numbered_rows, null_aware_anti_join, not_in_operator, asof_with_nulls, large_lcm, normal_forms, code_point_counts, extracted_props, ema_last, cogrouped_asof, batch_word_counts,
 )}
 
 _HOLED = "(select o_orderkey, nullif(o_orderstatus, 'P') as status, case when o_orderkey % 7 <> 0 then o_totalprice end as price from orders)"
@@ -183,6 +194,8 @@ SQL = {
         asof left join (select * from {_EVENTS} where event_type = 'click' and ts is not null) c on p.user_id = c.user_id and p.ts >= c.ts""",
     "large_lcm": "select p_partkey, lcm(3, (p_partkey + 9007199254740992) * 3)::bigint as l, gcd((p_partkey + 9007199254740992) * 6, 4)::bigint as g from part",
     "normal_forms": "select item_id, nfc_normalize(substr(text, 1, 40) || 'e' || chr(769) || 'a' || chr(776)) as text from benchmark",
+    "code_point_counts": "select item_id, length(substr(text, 1, 40) || 'e' || chr(769))::bigint as n from benchmark",
+    "extracted_props": "select event_id, json_extract_string(props, '$.k') as k from events",
     "ema_last": """select user_id, round(list_reduce(list(value order by ts, event_id), lambda a, x: 0.7 * a + 0.3 * x), 6) as ema from events group by 1""",
     "cogrouped_asof": """select s.event_id, c.event_id as click_id from (select * from events where event_type = 'signup') s
         asof left join (select * from events where event_type = 'click') c on s.user_id = c.user_id and s.ts >= c.ts""",

@@ -35,18 +35,24 @@ def interval_pairs(left: DataFrame, right: DataFrame, by: str, left_ts: str, rig
     return timed(left, left_ts, late).join(r, (F.col(by) == F.col("_by")) & later).drop("_by")
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", every: str | None = None) -> DataFrame:
     """Runs a stream over what there is, into Parquet, and reads the result.
 
+    With `every`, it is triggered at that interval and stopped when all is processed, instead of once.
+
     Append writes each batch's finished rows once; update writes the rows that each batch changed. Complete
     replaces the table with each batch.
     """
     spark = stream.sparkSession
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", path).start()
     else:
         how = "overwrite" if mode == "complete" else "append"
         query = writer.foreachBatch(lambda batch, _: batch.write.mode(how).parquet(path)).start()
+    if every:
+        query.processAllAvailable()
+        query.stop()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
