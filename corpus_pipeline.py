@@ -15,7 +15,7 @@ packing     the last stage: one row for each piece, with its sequence and offset
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import jaccard_join, mixing, packing, quality_qda, substring_dedup
@@ -25,6 +25,11 @@ from loomframe.llm.queries import fold, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def worded(text: str) -> Column:
+    """Whether a text has a word; looks no further than the first."""
+    return F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_qda.fit(quality_qda.featured(docs), table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     return quality_qda.judged(docs, model).where("predicted = 1").select(*COLUMNS)
@@ -33,15 +38,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_join(docs, by_text=True)
     kept = found.where("leads").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    worded = (mixing.word_count(F.col("text")) > 0) & F.col("doc_id").isNotNull()
+    named = worded("text") & F.col("doc_id").isNotNull()
     rows = docs.withColumn("_of", F.xxhash64("text"))
-    chosen = rows.where(worded).join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_of") == F.col("_mark"))).dropDuplicates(["doc_id", "_of"])
-    return chosen.select(*COLUMNS).unionByName(rows.where(~worded).select(*COLUMNS))
+    chosen = rows.where(named).join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_of") == F.col("_mark"))).dropDuplicates(["doc_id", "_of"])
+    return chosen.select(*COLUMNS).unionByName(rows.where(~named).select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = substring_dedup.dedup_substrings(docs)
-    found = found.where((F.col("n_removed") == 0) | (mixing.word_count(F.col("clean_text")) > 0))
+    found = found.where((F.col("n_removed") == 0) | worded("clean_text"))
     cut = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("clean_text").cast("long"))
     return found.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", cut.alias("n_chars"))
 
