@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import chat, embed_dedup, jaccard_join, langid, mixing, packing, quality_qda, quality_rules, sharding, substring_dedup
+from loomframe.llm import bpe, chat, embed_dedup, jaccard_join, langid, mixing, packing, quality_qda, quality_rules, sharding, substring_dedup
 from loomframe.llm.common import small_batches, written
 from loomframe.llm.sql import OP1_SQL, OP2_SQL, OP4_SQL, OP6_SQL, OP7_SQL, OP10_SQL
 
@@ -87,6 +87,14 @@ def op10_substring_dedup_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame
     return op10_substring_dedup(spark, sf_dir, anywhere=True)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(spark, public_tokenizers.path(bpe.RANKS))
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks), ranks)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +113,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
     "op10_substring_dedup_anywhere": op10_substring_dedup_anywhere,
+    "op11_byte_bpe": op11_byte_bpe,
     "pipeline": pipeline,
 }
 
