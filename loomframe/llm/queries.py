@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import bpe, chat, embed_dedup, jaccard_join, langid, mixing, packing, quality_qda, quality_rules, sharding, substring_dedup
+from loomframe.llm import ball_kmeans, bpe, chat, embed_dedup, jaccard_join, langid, mixing, packing, quality_qda, quality_rules, sharding, substring_dedup
 from loomframe.llm.common import small_batches, written
-from loomframe.llm.sql import OP1_SQL, OP2_SQL, OP4_SQL, OP6_SQL, OP7_SQL, OP10_SQL
+from loomframe.llm.sql import OP1_SQL, OP2_SQL, OP4_SQL, OP6_SQL, OP7_SQL, OP10_SQL, OP13_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,12 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, centroids = ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings"))
+    found = ball_kmeans.with_inertia(members, centroids)
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,6 +120,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op10_substring_dedup_anywhere": op10_substring_dedup_anywhere,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_ball_kmeans": op13_ball_kmeans,
     "pipeline": pipeline,
 }
 
@@ -124,4 +131,5 @@ SQL = {
     "op6_embedding_dedup": OP6_SQL,
     "op7_sharding": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op13_ball_kmeans": OP13_SQL,
 }

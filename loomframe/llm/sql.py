@@ -120,3 +120,26 @@ g as (select conv_id, count(*)::bigint as n_turns, string_agg(role || chr(10) ||
   sum({_LEN.format("text", "")} + {_LEN.format("role", chr(10))} + 24)::bigint as formatted_chars from c group by conv_id)
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g
 """
+
+
+def _kmeans(rounds: int) -> str:
+    """Plain k-means: all distances in each round, and exact means."""
+    nearest = """
+a{r} as materialized (select rid, min_by(c, d * 64 + c) as c, min(d) as d from (
+  select k.rid, m.c, list_sum(list_transform(range(1, 65), lambda i: (k.q[i] - m.q[i]) * (k.q[i] - m.q[i]))) as d from kept k, c{r} m) group by rid)"""
+    moved = """
+c{n} as materialized (select m.c, coalesce(f.q, m.q) as q from c{r} m left join (
+  select c, list(x order by i) as q from (select a.c, i, floor(sum(k.q[i]) / count(*))::bigint as x from a{r} a join kept k using (rid), range(1, 65) as t(i) group by a.c, i) group by c) f on m.c = f.c)"""
+    parts = [nearest.format(r=0)]
+    for r in range(rounds):
+        parts += [moved.format(r=r, n=r + 1), nearest.format(r=r + 1)]
+    return ",".join(parts)
+
+
+OP13_SQL = rf"""
+with kept as materialized (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and not isnan(x) and not isinf(x))) = 64),
+c0 as materialized (select row_number() over (order by h, q) - 1 as c, q from (select sha256('2:' || vec_id) as h, q from kept order by h, q limit 40)),{_kmeans(5)}
+select k.vec_id, a.c::int as cluster, a.d::bigint as distance, sum(a.d) over (partition by a.c)::bigint as cluster_inertia, sum(a.d) over ()::bigint as inertia,
+  sha256(array_to_string(m.q, ',')) as centroid_sha256 from kept k join a5 a using (rid) join c5 m on a.c = m.c
+"""
