@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import ball_kmeans, bpe, chat, embed_dedup, jaccard_join, langid, mixing, packing, quality_qda, quality_rules, sharding, substring_dedup
+from loomframe.llm import ball_kmeans, bpe, chat, embed_dedup, jaccard_join, langid, merkle, mixing, packing, quality_qda, quality_rules, sharding, substring_dedup
 from loomframe.llm.common import small_batches, written
-from loomframe.llm.sql import OP1_SQL, OP2_SQL, OP4_SQL, OP6_SQL, OP7_SQL, OP10_SQL, OP13_SQL
+from loomframe.llm.sql import OP1_SQL, OP2_SQL, OP4_SQL, OP6_SQL, OP7_SQL, OP10_SQL, OP12_SQL, OP13_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +97,15 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    found, root = merkle.manifest(docs, "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"], {"text": lower}, fold("doc_id", 3) == 0)
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("hash").alias("leaf"), "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified"),
+    )
+
+
 def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, centroids = ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings"))
     found = ball_kmeans.with_inertia(members, centroids)
@@ -120,6 +131,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op10_substring_dedup_anywhere": op10_substring_dedup_anywhere,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_ball_kmeans": op13_ball_kmeans,
     "pipeline": pipeline,
 }
@@ -131,5 +143,6 @@ SQL = {
     "op6_embedding_dedup": OP6_SQL,
     "op7_sharding": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
     "op13_ball_kmeans": OP13_SQL,
 }

@@ -122,6 +122,53 @@ select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as
 """
 
 
+def _crc32(text: str) -> str:
+    """The checksum, bit by bit, of an ASCII text."""
+    return f"""xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: ascii(ch)::bigint),
+      lambda c, b: list_reduce(range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(c, b)), 4294967295::bigint), 4294967295)"""
+
+
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """{name}0 are the leaves (t, pos, h, c: tree, place, hash, nodes of the level) and the following levels above them;
+    {name}s0 and so on have what stands left and right of a node in its run."""
+    parts = [f"{name}0 as materialized ({leaves})"]
+    for k in range(levels):
+        parts.append(f"""{name}{k + 1} as materialized (select t, pos // 8 as pos, (any_value(c) + 7) // 8 as c,
+  case when any_value(c) = 1 then min(h) else sha256(string_agg(h, '' order by pos)) end as h from {name}{k} group by t, pos // 8)""")
+        parts.append(f"""{name}s{k} as materialized (select a.t, a.pos, any_value(a.c) as c, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos < a.pos), '') as l,
+  coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos > a.pos), '') as r from {name}{k} a join {name}{k} b on a.t = b.t and a.pos // 8 = b.pos // 8 group by a.t, a.pos)""")
+    return ",\n".join(parts)
+
+
+def _climb(name: str, steps: str, levels: int, start: str) -> str:
+    """{start} (rid, t, pos, p, f: siblings so far, node) carried up all levels."""
+    parts, last = [], start
+    for k in range(levels):
+        parts.append(f"""{steps}{k} as materialized (select rid, x.t, x.pos // 8 as pos, p || s.l || s.r as p, case when s.c = 1 then f else sha256(s.l || f || s.r) end as f
+  from {last} x join {name}s{k} s on x.t = s.t and x.pos = s.pos)""")
+        last = f"{steps}{k}"
+    return ",\n".join(parts)
+
+
+_FIELDS = "concat({})".format(", ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12_SQL = f"""
+with d as materialized (select row_number() over () as rid, doc_id, coalesce(':' || lang, '') as t, sha256({_FIELDS.format("text")}) as h,
+  case when {_crc32("doc_id::varchar")} % 3 = 0 then sha256({_FIELDS.format(_LOWER)}) end as bad from documents),
+r as materialized (select *, row_number() over (partition by t order by doc_id nulls first, h) - 1 as pos, count(*) over (partition by t) as c from d),
+{_tree("n", "select t, pos, h, c from r", 7)},
+roots as materialized (select '' as t, t as key, h, row_number() over (order by encode(t)) - 1 as pos, count(*) over () as c from n7),
+{_tree("u", "select t, pos, h, c from roots", 4)},
+x as (select rid, t, pos, '' as p, coalesce(bad, h) as f from r),
+{_climb("n", "x", 7, "x")},
+y as (select rid, roots.t, roots.pos, p, f from x6 join roots on x6.t = roots.key),
+{_climb("u", "y", 4, "y")}
+select doc_id, r.h as leaf, roots.h as subroot, u4.h as root, sha256(y3.p) as proof_sha256, y3.f as folded_root, y3.f = u4.h as verified
+from r join y3 using (rid) join roots on r.t = roots.key, u4
+"""
+
+
 def _kmeans(rounds: int) -> str:
     """Plain k-means: all distances in each round, and exact means."""
     nearest = """
