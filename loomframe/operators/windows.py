@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.operators.ranges import numbered, same
+
 
 def qualify(df: DataFrame, condition: Column) -> DataFrame:
     """Rows whose window condition holds, without keeping it."""
@@ -71,3 +73,58 @@ def groups_frame(df: DataFrame, by: list[str], order: str, before: int, after: i
         rows = places.withColumns({"_of": run(F.col("_rank")), "_run": F.explode(reach)})
     frame = Window.partitionBy(*by, "_run").orderBy("_rank").rangeBetween(-before, after)
     return rows.withColumns({name: c.over(frame) for name, c in aggregates.items()}).where("_run = _of").drop("_rank", "_run", "_of")
+
+
+#: What a frame leaves out, of the row's own peers (rows of equal order).
+EXCLUDED = ("no others", "current row", "group", "ties")
+
+
+def frame_excluding(df: DataFrame, by: list[str], order: str, value: str, before: int, after: int, exclude: str, names: tuple[str, str, str, str], spread: int = 64) -> DataFrame:
+    """df with the count, sum, least and largest of `value` (under these names) over a GROUPS frame with EXCLUDE.
+
+    The frame goes from `before` order values back to `after` forward, less what is excluded: the row, its peers and it,
+    or its peers alone. Peers are aggregated first, which combines in the tasks: the frame before the row's peers and
+    that after them are windows over one row for each order value, in runs of `spread` values with the values around
+    that their frames reach, so that a hot key is split. A row joins its peers' row and adds of them what stays: for
+    the extremes without the row itself, the second least and largest if it alone has the first. Nulls aren't counted;
+    without any value the sum and extremes are null.
+    """
+    if exclude not in EXCLUDED:
+        raise ValueError(f"exclude must be one of {EXCLUDED}")
+    peers = [*by, order]
+    v = F.col(f"`{value}`")
+    each = df.groupBy(*peers, v.alias("_v")).agg(F.count(F.lit(1)).alias("_times"))
+    groups = each.groupBy(*peers).agg(
+        F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_times"))), F.lit(0)).alias("_c"), F.sum(F.col("_v") * F.col("_times")).alias("_s"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        F.min_by("_times", "_v").alias("_lo_times"), F.max_by("_times", "_v").alias("_hi_times"),
+    )
+    if exclude == "current row":
+        extremes = each.alias("_l").join(groups.alias("_r"), same("_l", "_r", peers)).select(*[F.col(f"_l.`{c}`") for c in peers], "_l._v", "_r._lo", "_r._hi")
+        second = extremes.groupBy(*peers).agg(F.min(F.when(F.col("_v") > F.col("_lo"), F.col("_v"))).alias("_lo2"), F.max(F.when(F.col("_v") < F.col("_hi"), F.col("_v"))).alias("_hi2"))
+        groups = groups.alias("_l").join(second.alias("_r"), same("_l", "_r", peers)).select("_l.*", "_r._lo2", "_r._hi2")
+    placed = numbered(groups, by, [order])
+    run = lambda at: F.floor(at / spread)
+    placed = placed.withColumns({"_of": run(F.col("_at")), "_run": F.explode(F.sequence(run(F.col("_at") - after), run(F.col("_at") + before)))})
+    frame = Window.partitionBy(*by, "_run").orderBy("_at")
+    sides = {"_b": frame.rangeBetween(-before, -1) if before else None, "_a": frame.rangeBetween(1, after) if after else None}
+    whole = {}
+    for side, window in sides.items():
+        for what, of in (("_c", F.sum), ("_s", F.sum), ("_lo", F.min), ("_hi", F.max)):
+            whole[side + what] = of(what).over(window) if window is not None else F.lit(None).cast(groups.schema[what].dataType)
+    placed = placed.withColumns(whole).where("_run = _of").drop("_run", "_of", "_at", "_n")
+    rows = df.alias("_l").join(placed.alias("_r"), same("_l", "_r", peers)).select("_l.*", *[F.col(f"_r.{c}") for c in placed.columns if c not in by and c != order])
+    own = v.isNotNull().cast("long")
+    kept = {
+        "no others": (F.col("_c"), F.col("_s"), F.col("_lo"), F.col("_hi")),
+        "group": (F.lit(0).cast("long"), F.lit(None), F.lit(None), F.lit(None)),
+        "ties": (own, v, v, v),
+        "current row": () if exclude != "current row" else (
+            F.col("_c") - own, F.when(F.col("_c") > own, F.col("_s") - F.coalesce(v, F.lit(0))),
+            F.when((v == F.col("_lo")) & (F.col("_lo_times") == 1), F.col("_lo2")).otherwise(F.col("_lo")), F.when((v == F.col("_hi")) & (F.col("_hi_times") == 1), F.col("_hi2")).otherwise(F.col("_hi")),
+        ),
+    }[exclude]
+    zero = lambda *cs: [F.coalesce(c, F.lit(0)) for c in cs]
+    n = functools.reduce(lambda a, b: a + b, zero(F.col("_b_c"), F.col("_a_c"), kept[0]))
+    total = functools.reduce(lambda a, b: a + b, zero(F.col("_b_s"), F.col("_a_s"), kept[1]))
+    made = (n, F.when(n > 0, total), F.least(F.col("_b_lo"), F.col("_a_lo"), kept[2]), F.greatest(F.col("_b_hi"), F.col("_a_hi"), kept[3]))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(name) for c, name in zip(made, names)])

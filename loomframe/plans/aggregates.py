@@ -10,9 +10,6 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
     "any_of_group": (("orders",), """
         select o_custkey, any_value(o_custkey) as c, first(o_custkey) as f, last(o_custkey) as l from orders group by o_custkey"""),
     "group_by_all": (("orders",), "select o_orderstatus, o_orderpriority, count(*) as n, max(o_totalprice) as top from orders group by all"),
-    "within_group": (("lineitem",), """
-        select l_returnflag, cast(percentile_cont(0.25) within group (order by l_quantity) as double) as q1, cast(percentile_disc(0.5) within group (order by l_extendedprice) as double) as m
-        from lineitem group by l_returnflag"""),
     "population": (("lineitem",), """
         select l_linenumber, round(covar_pop(l_quantity, l_extendedprice), 3) as cp, round(stddev_pop(l_tax), 9) as sp, round(var_samp(l_discount), 9) as vs from lineitem group by l_linenumber"""),
     "regressions": (("lineitem",), """

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.plans import aggregates, built, frames, scalars
+from loomframe.plans import aggregates, built, frames, ordered, scalars
 from loomframe.sources import TABLES, register_views
 
 #: name -> (tables, SQL for both engines)
@@ -85,7 +85,6 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
     "extremes_by": (("orders",), """
         select o_custkey, max_by(o_orderkey, o_totalprice) as top_order, min_by(o_orderkey, o_totalprice) as least_order, bool_or(o_orderstatus = 'P') as pending
         from orders group by o_custkey"""),
-    "medians": (("lineitem",), "select l_linenumber, median(l_quantity) as med, count(*) as n from lineitem group by l_linenumber"),
     # windows
     "topk_per_customer": (("orders",), """
         select o_custkey, o_orderkey, r from (select o_custkey, o_orderkey, row_number() over (
@@ -140,9 +139,6 @@ PAIRED: dict[str, tuple[tuple[str, ...], str, str]] = {
     "unpivot_prices": (("part",),
         "select p_partkey, field, amount from (select p_partkey, cast(p_size as double) as size, p_retailprice as price from part) unpivot (amount for field in (size, price))",
         "select p_partkey, 'size' as field, p_size::double as amount from part union all select p_partkey, 'price', p_retailprice from part"),
-    "percentiles": (("lineitem",),
-        "select l_returnflag, percentile(l_quantity, 0.9) as p90 from lineitem group by l_returnflag",
-        "select l_returnflag, quantile_cont(l_quantity, 0.9) as p90 from lineitem group by l_returnflag"),
     "hashes": (("customer",),
         "select c_custkey, md5(c_name) as m, sha2(c_name, 256) as s from customer",
         "select c_custkey, md5(c_name) as m, sha256(c_name) as s from customer"),
@@ -168,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _sql(tables, text) for name, (tables, text, _) in _PAIRED.items()},
     **frames.QUERIES,
     **built.QUERIES,
+    **ordered.QUERIES,
 }
-SQL: dict[str, str] = {**{n: t for n, (_, t) in _SAME.items()}, **{n: t for n, (_, _, t) in _PAIRED.items()}, **frames.SQL, **built.SQL}
+SQL: dict[str, str] = {**{n: t for n, (_, t) in _SAME.items()}, **{n: t for n, (_, _, t) in _PAIRED.items()}, **frames.SQL, **built.SQL, **ordered.SQL}
 assert {t for tables, *_ in [*_SAME.values(), *_PAIRED.values()] for t in tables} <= set(TABLES)
