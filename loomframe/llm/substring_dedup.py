@@ -23,8 +23,9 @@ send places back have a plain exchange on both sides, so that a hot line's rows
 
 Defined results: a null text stays null with no spans, an empty one empty; rows with a null doc_id
 neither lose text nor make others lose it; rows that share a doc_id are told apart by a digest of
-their text, and of equal units at one place of them each stays; repeats within a document are removed like those across documents; an empty table gives an
-empty table; all input columns are kept, and a clash of names raises.
+their text, and of equal units at one place of them each stays; repeats within a document are removed like those
+across documents; texts of any length are whole; an empty table gives an empty table; all input
+columns are kept, whatever their names, but those of the results (any case: ValueError).
 """
 
 from __future__ import annotations
@@ -292,17 +293,20 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         places = places.join(repeated_windows(slim, least_words), ["doc_id", "mark"], "full")
     else:
         places = places.withColumn("covers", F.lit(None).cast("array<struct<place:int,n:int>>"))
-    places = places.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), F.col("places").alias("_places"), F.col("covers").alias("_covers"))
-    rows = docs.withColumn("_key", F.col(f"`{doc_id}`").cast("long")).withColumn("_mark", F.xxhash64(F.col(f"`{text}`")))
-    rows = rows.join(places, (F.col("_key") == F.col("_id")) & (F.col("_mark") == F.col("_of")), "left").drop("_key", "_id", "_mark", "_of")
+    # The row's other columns travel as one, so that no name of theirs can clash with what is joined.
+    others = [c for c in names if c != text]
+    rows = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("of"))
+    found = places.select(F.col("doc_id").alias("key"), F.col("mark").alias("of"), "places", "covers")
+    rows = rows.join(found, ["key", "of"], "left").select("row", "text", "places", "covers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
-            found = zip(*[batch.column(c).to_pylist() for c in (text, "_places", "_covers")])
+        for batch in sliced(batches, "text"):
+            found = zip(*[batch.column(c).to_pylist() for c in ("text", "places", "covers")])
             got = [(None, [], 0, 0, 0) if t is None else cut_words(t, set(p or ()), [(c["place"], c["n"]) for c in cs], least_words) if cs else cut(t, set(p or ()), least_words) for t, p, cs in found]
             spans = pa.array([[{"start": a, "end": b} for a, b in g[1]] for g in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             more = [pa.array([g[0] for g in got], pa.string()), spans, *[pa.array([g[k] for g in got], pa.int64()) for k in (2, 3, 4)]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *more], [*names, *OWN])
+            fields = dict(zip(others, batch.column("row").flatten()[1:])) | {text: batch.column("text")}
+            yield pa.RecordBatch.from_arrays([*[fields[c] for c in names], *more], [*names, *OWN])
 
     more = "clean_text string, spans array<struct<start:bigint,end:bigint>>, n_units long, n_removed long, removed_words long"
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(more).fields])

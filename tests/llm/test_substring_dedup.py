@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomframe.llm import substring_dedup as S
 
@@ -71,6 +72,19 @@ def test_empty_and_clash(spark):
         S.dedup_substrings(spark.createDataFrame([], "doc_id long, text string, Spans int"))
 
 
+def test_columns_with_the_names_of_its_own_steps(spark):
+    more = ["_mark", "_places", "_id", "_key", "_of", "_covers", "row", "key", "of", "places", "covers", "mark", "h1", "place"]
+    line = " ".join(f"w{k}" for k in range(30)) + "."
+    df = spark.createDataFrame([(k, f"own {k}.\n{line}", *range(len(more))) for k in range(2)], ", ".join(["doc_id long", "text string", *[f"{c} long" for c in more]]))
+    for anywhere in (False, True):
+        out = S.dedup_substrings(df, anywhere=anywhere).orderBy("doc_id").collect()
+        assert [r.removed_words for r in out] == [0, 30] and out[0].clean_text == df.first().text
+        assert all([r[c] for c in more] == list(range(len(more))) for r in out)
+    # the id and the text may have other names, and be all there is
+    bare = df.select(F.col("doc_id").alias("key"), F.col("text").alias("of"))
+    assert sorted(r.removed_words for r in S.dedup_substrings(bare, "key", "of").collect()) == [0, 30]
+
+
 def test_unlike_texts_under_one_id(spark):
     rng = random.Random(5)
     part = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(9)) + "."
