@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.plans import aggregates, built, extended, frames, ordered, scalars
+from loomframe.plans import aggregates, built, extended, frames, ordered, replayed, scalars
 from loomframe.sources import TABLES, register_views
 
 #: name -> (tables, SQL for both engines)
@@ -166,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **built.QUERIES,
     **ordered.QUERIES,
     **extended.QUERIES,
+    **replayed.QUERIES,
 }
-SQL: dict[str, str] = {**{n: t for n, (_, t) in _SAME.items()}, **{n: t for n, (_, _, t) in _PAIRED.items()}, **frames.SQL, **built.SQL, **ordered.SQL, **extended.SQL}
+SQL: dict[str, str] = {**{n: t for n, (_, t) in _SAME.items()}, **{n: t for n, (_, _, t) in _PAIRED.items()}, **frames.SQL, **built.SQL, **ordered.SQL, **extended.SQL, **replayed.SQL}
 assert {t for tables, *_ in [*_SAME.values(), *_PAIRED.values()] for t in tables} <= set(TABLES)

@@ -5,8 +5,11 @@ Event time must be a TIMESTAMP; the tables' TIMESTAMP_NTZ is cast first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def timed(events: DataFrame, ts: str, late: str) -> DataFrame:
@@ -28,17 +31,30 @@ def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str) -> Data
     return timed(events, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def interval_pairs(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, within: str, late: str) -> DataFrame:
-    """Pairs of a key whose right time is at most `within` after the left; both sides' state ends with the watermark."""
+def interval_pairs(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, within: str, late: str, how: str = "inner") -> DataFrame:
+    """Pairs of a key whose right time is at most `within` after the left; both sides' state ends with the watermark.
+
+    With `how` left_outer, a left row without a pair comes once its state ends, as no right row can come any more."""
     r = timed(right, right_ts, late).withColumnRenamed(by, "_by")
     later = F.col(right_ts).between(F.col(left_ts), F.col(left_ts) + F.expr(f"interval {within}"))
-    return timed(left, left_ts, late).join(r, (F.col(by) == F.col("_by")) & later).drop("_by")
+    return timed(left, left_ts, late).join(r, (F.col(by) == F.col("_by")) & later, how).drop("_by")
+
+
+def enriched(stream: DataFrame, static: DataFrame, by: str) -> DataFrame:
+    """Each row of a stream with those of a table, which is read as it is at each batch; without one, with nulls."""
+    return stream.join(static, by, "left")
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that a finished query's stateful operators left out, as they came behind the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", every: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", every: str | None = None, done: Callable[[StreamingQuery], None] | None = None) -> DataFrame:
     """Runs a stream over what there is, into Parquet, and reads the result.
 
-    With `every`, it is triggered at that interval and stopped when all is processed, instead of once.
+    With `every`, it is triggered at that interval and stopped when all is processed, instead of once. `done` is called
+    with the finished query.
 
     Append writes each batch's finished rows once; update writes the rows that each batch changed. Complete
     replaces the table with each batch.
@@ -55,4 +71,6 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
         query.processAllAvailable()
         query.stop()
     query.awaitTermination()
+    if done:
+        done(query)
     return spark.read.schema(stream.schema).parquet(path)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -60,3 +61,51 @@ def type_changes(events: DataFrame, by: str, order: list[str], kind: str) -> Dat
 
     out = events.select(by, *order, kind).groupBy(by)
     return out.transformWithStateInPandas(Changes(), f"{by} {dict(events.dtypes)[by]}, changes long", "update", "none")
+
+
+def timed_sessions(events: DataFrame, by: str, ts: str, kind: str, gap: str, late: str) -> DataFrame:
+    """(by, opened, closed, n, kinds) of sessions that end after `gap` without an event, by a timer of the watermark's time.
+
+    The state is the open session's ends and number, and a map of how often it had each kind. A row that comes `gap` or
+    more after the last one ends the session before it; a key without further rows ends it by the timer. Rows
+    behind the watermark are left out; rows of a batch are put in order, those of earlier batches are before them.
+    """
+    seconds = pd.Timedelta(gap)
+
+    class Sessions(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.open = handle.getValueState("open", "opened timestamp, last timestamp, n long")
+            self.kinds = handle.getMapState("kinds", "kind string", "n long")
+
+        def ended(self, key) -> pd.DataFrame:
+            opened, last, n = self.open.get()
+            kinds = ",".join(f"{k[0]}:{v[0]}" for k, v in sorted(self.kinds.iterator()))
+            self.open.clear()
+            self.kinds.clear()
+            return pd.DataFrame({by: [key[0]], "opened": [opened], "closed": [pd.Timestamp(last) + seconds], "n": [n], "kinds": [kinds]})
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            frame = pd.concat(list(rows)).sort_values(ts)
+            for now, what in zip(frame[ts], frame[kind]):
+                if self.open.exists() and now - pd.Timestamp(self.open.get()[1]) >= seconds:
+                    yield self.ended(key)
+                opened, last, n = self.open.get() if self.open.exists() else (now, now, 0)
+                self.open.update((opened, max(pd.Timestamp(last), now), n + 1))
+                self.kinds.updateValue((what,), ((self.kinds.getValue((what,))[0] if self.kinds.containsKey((what,)) else 0) + 1,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            # the first millisecond at which the session has ended
+            end = pd.Timestamp(self.open.get()[1]) + seconds
+            self.handle.registerTimer(-(-end.value // 1_000_000))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.open.exists():
+                yield self.ended(key)
+
+        def close(self) -> None:
+            pass
+
+    rows = events.select(by, F.col(ts).cast("timestamp").alias(ts), kind).withWatermark(ts, late)
+    schema = f"{by} {dict(events.dtypes)[by]}, opened timestamp, closed timestamp, n long, kinds string"
+    return rows.groupBy(by).transformWithStateInPandas(Sessions(), schema, "append", "eventTime")
