@@ -1,4 +1,4 @@
-"""Streams over files that are replayed, some of their rows late."""
+"""Streams over files that are replayed, some of their rows late, and over the commits of a table."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomframe import streaming
 from loomframe.session import shared_dir
-from loomframe.sources import read_table, replay
+from loomframe.sources import read_committed, read_table, replay, stream_committed, write_committed
 
 #: Batches of three days; late rows come three batches after their own, well behind the watermark.
 SLICES, LATE_BY = 10, 3
@@ -58,12 +58,33 @@ def stream_timed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.col("opened").cast("timestamp_ntz").alias("opened"), F.col("closed").cast("timestamp_ntz").alias("closed"), "n", "kinds")
 
 
-QUERIES = {f.__name__: f for f in (stream_outer_late, stream_windows_late, stream_static, stream_timed_sessions)}
+def _committed(spark: SparkSession, sf_dir: str) -> str:
+    """Large orders, as two commits of a table."""
+    path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}/table"
+    orders = read_committed(spark, f"{sf_dir.rstrip('/')}/orders.parquet").where("o_totalprice > 200000").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    for status in ("F", "P"):
+        write_committed(orders.where(F.col("o_orderstatus") == status).repartition(4, "o_orderkey"), path)
+    return path
+
+
+def committed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of the data source of its own, filled from a given one; filters are pushed to both."""
+    return read_committed(spark, _committed(spark, sf_dir)).where("o_totalprice <= 400000 and o_orderkey is not null")
+
+
+def stream_committed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commits of such a table as a stream."""
+    return _run(spark, stream_committed(spark, _committed(spark, sf_dir)).where("o_totalprice <= 400000").select("o_orderkey", "o_orderstatus"), "append")
+
+
+QUERIES = {f.__name__: f for f in (committed_orders, stream_committed_orders, stream_outer_late, stream_windows_late, stream_static, stream_timed_sessions)}
 
 _SLICE = f"least((day(ts) - 1) // 3, {SLICES - 1})"
 _TIMELY = f"(select * from events where not ({_LATE} and {_SLICE} + {LATE_BY} < {SLICES}))"
 
 SQL = {
+    "committed_orders": "select o_orderkey, o_orderstatus, o_totalprice, o_orderdate from orders where o_totalprice > 200000 and o_totalprice <= 400000 and o_orderstatus in ('F', 'P')",
+    "stream_committed_orders": "select o_orderkey, o_orderstatus from orders where o_totalprice > 200000 and o_totalprice <= 400000 and o_orderstatus in ('F', 'P')",
     "stream_outer_late": f"""
         with e as {_TIMELY}, s as (select * from e where event_type = 'signup'), r as (select * from e where event_type = 'error'),
         edge as (select least((select max(ts) from s), (select max(ts) from r)) - interval 1 hour as at),
