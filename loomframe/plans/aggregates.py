@@ -7,8 +7,9 @@ HOLED = "(select o_orderkey, o_custkey, nullif(o_orderstatus, 'P') as status, ca
 
 SHARED: dict[str, tuple[tuple[str, ...], str]] = {
     "string_extremes": (("part",), "select p_brand, min(p_name) as lo, max(p_name) as hi, min(p_type) as t from part group by p_brand"),
-    "any_of_group": (("orders",), """
-        select o_custkey, any_value(o_custkey) as c, first(o_custkey) as f, last(o_custkey) as l from orders group by o_custkey"""),
+    # what depends on the key, so that any row of a group gives the same
+    "any_of_group": (("orders", "customer"), """
+        select o_custkey, any_value(c_name) as c, first(c_nationkey) as f, last(c_mktsegment) as l, count(*) as n from orders join customer on c_custkey = o_custkey group by o_custkey"""),
     "group_by_all": (("orders",), "select o_orderstatus, o_orderpriority, count(*) as n, max(o_totalprice) as top from orders group by all"),
     "population": (("lineitem",), """
         select l_linenumber, round(covar_pop(l_quantity, l_extendedprice), 3) as cp, round(stddev_pop(l_tax), 9) as sp, round(var_samp(l_discount), 9) as vs from lineitem group by l_linenumber"""),
@@ -23,15 +24,16 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
           count(case when status is null then 1 end) as unknown from {HOLED} group by o_orderpriority"""),
     "right_join": (("supplier", "nation"), """
         select n_name, count(s_suppkey) as n from supplier right join nation on s_nationkey = n_nationkey and s_acctbal > 5000 group by n_name"""),
-    "cross_join": (("region", "nation"), "select a.r_name as region, b.n_name as nation from region a cross join nation b where b.n_nationkey < 5"),
-    "using_join": (("nation",), "select n_regionkey, a.n_name as one, b.n_name as other from nation a join (select n_regionkey, n_name from nation where n_nationkey < 5) b using (n_regionkey)"),
+    "cross_join": (("region", "nation"), "select a.r_name as region, b.n_name as nation from region a cross join nation b"),
+    "using_join": (("nation",), "select n_regionkey, a.n_name as one, b.n_name as other from nation a join (select n_regionkey, n_name from nation) b using (n_regionkey)"),
     "null_safe_join": (("orders",), f"""
         select count(*) as n from (select distinct status from {HOLED}) a join (select distinct status from {HOLED}) b on a.status is not distinct from b.status"""),
     "exists_or": (("customer", "orders"), """
         select c_custkey from customer where c_acctbal > 9000 or exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT' and o_totalprice > 400000)"""),
-    "nested_ctes": (("orders",), """
-        with m as (select o_custkey, max(o_totalprice) as top from orders group by o_custkey), r as (select o_custkey, top, rank() over (order by top desc, o_custkey) as place from m)
-        select o_custkey, top, place from r where place <= 20"""),
+    "nested_ctes": (("orders", "customer"), """
+        with m as (select o_custkey, max(o_totalprice) as top from orders group by o_custkey), r as (select o_custkey, c_nationkey, top, rank() over (partition by c_nationkey order by top desc, o_custkey) as place
+          from m join customer on c_custkey = o_custkey)
+        select o_custkey, c_nationkey, top, place from r where place <= 5"""),
     "nth_values": (("events",), """
         select event_id, nth_value(event_type, 2) over w as second, nth_value(value, 3) over w as third
         from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following)"""),
@@ -41,7 +43,7 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
           count(*) over (partition by user_id, event_type) as n from events"""),
     "empty_groups": (("orders",), "select count(*) as n, sum(o_totalprice) as s, max(o_orderstatus) as m from orders where o_totalprice < 0"),
     "ordered_by_nulls": (("orders",), f"""
-        select o_orderkey, row_number() over (order by price desc nulls last, o_orderkey) as r from {HOLED} where o_orderkey <= 700"""),
+        select o_orderkey, row_number() over (partition by o_custkey order by price desc nulls last, o_orderkey) as r from {HOLED}"""),
 }
 
 PAIRED: dict[str, tuple[tuple[str, ...], str, str]] = {
@@ -90,8 +92,11 @@ PAIRED: dict[str, tuple[tuple[str, ...], str, str]] = {
         select kll_sketch_get_quantile_double(k, 0.5) between lo and hi as near from s""",
         "select true as near"),
     "count_min": (("events",),
-        """select event_type, hex(substr(count_min_sketch(user_id, 0.01D, 0.99D, 7), 1, 4)) as version, count(*) as n from events group by event_type""",
-        "select event_type, '00000001' as version, count(*) as n from events group by event_type"),
+        # a sketch's bytes: version, total, depth, width, hashes, and a row of counters for each hash; each row holds every item once
+        """with k as (select event_type, count_min_sketch(user_id, 0.05D, 0.9D, 7) as s from events group by event_type),
+        d as (select event_type, s, cast(conv(hex(substr(s, 5, 8)), 16, 10) as bigint) as total, cast(conv(hex(substr(s, 13, 4)), 16, 10) as int) as depth, cast(conv(hex(substr(s, 17, 4)), 16, 10) as int) as width from k)
+        select event_type, total, aggregate(sequence(0, depth - 1), true, (ok, r) -> ok and aggregate(sequence(0, width - 1), 0L, (t, c) -> t + cast(conv(hex(substr(s, 21 + 8 * depth + 8 * (r * width + c), 8)), 16, 10) as bigint)) = total) as full from d""",
+        "select event_type, count(*) as total, true as full from events group by event_type"),
     "bitmap_counts": (("lineitem",),
         """select sum(n) as n from (select bitmap_bucket_number(l_partkey) as b, bitmap_count(bitmap_construct_agg(bitmap_bit_position(l_partkey))) as n from lineitem group by bitmap_bucket_number(l_partkey))""",
         "select count(distinct l_partkey)::bigint as n from lineitem"),
@@ -99,8 +104,10 @@ PAIRED: dict[str, tuple[tuple[str, ...], str, str]] = {
         "select l_returnflag, size(histogram_numeric(l_quantity, 10)) as bins, cast(aggregate(histogram_numeric(l_quantity, 10), 0D, (s, x) -> s + x.y) as bigint) as n from lineitem group by l_returnflag",
         "select l_returnflag, 10 as bins, count(*) as n from lineitem group by l_returnflag"),
     "top_k_sketch": (("events",),
-        "select size(t) as n, t[0].count >= t[1].count as falling from (select approx_top_k(event_type, 3) as t from events)",
-        "select 3 as n, true as falling"),
+        # fewer kinds than the sketch has places, so its counts are exact
+        "select t[0].item as item, array_join(transform(t, x -> cast(x.count as string)), ',') as counts from (select approx_top_k(event_type, 3) as t from events)",
+        """with c as (select event_type, count(*) as n from events group by 1 order by n desc limit 3)
+        select max_by(event_type, n) as item, string_agg(n::varchar, ',' order by n desc) as counts from c"""),
     "join_hints": (("orders", "customer"),
         """select m.c_nationkey, m.n, s.top from (select /*+ MERGE(c) */ c_nationkey, count(*) as n from orders join customer c on o_custkey = c_custkey group by c_nationkey) m
         join (select /*+ SHUFFLE_HASH(c) */ c_nationkey, max(o_totalprice) as top from orders join customer c on o_custkey = c_custkey group by c_nationkey) s on m.c_nationkey = s.c_nationkey""",

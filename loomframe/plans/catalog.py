@@ -59,8 +59,11 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
     "lateral_top": (("customer", "orders"), """
         select c_custkey, t.o_orderkey, t.o_totalprice from customer,
           lateral (select o_orderkey, o_totalprice from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 1) t"""),
-    "recursive_steps": ((), """
-        with recursive steps(n, total) as (select 1, 1 union all select n + 1, total + n + 1 from steps where n < 40) select n, total from steps"""),
+    "recursive_steps": (("nation",), """
+        with recursive linked as (select n_nationkey, n_regionkey, n_name, lag(n_nationkey) over (partition by n_regionkey order by n_nationkey) as before from nation),
+        steps(k, depth, path) as (select n_nationkey, 1, cast(n_name as varchar(1000)) from linked where before is null
+          union all select n_nationkey, depth + 1, cast(path || ' > ' || n_name as varchar(1000)) from steps join linked on before = k)
+        select k, depth, path from steps"""),
     # aggregation
     "q1_pricing_summary": (("lineitem",), """
         select l_returnflag, l_linestatus, sum(l_quantity) as sq, round(sum(l_extendedprice), 2) as sp,

@@ -33,9 +33,9 @@ def replaced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each pair of keys; only what equals in all rows of a pair is kept."""
-    orders = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
-    return orders.dropDuplicates(["o_custkey", "o_orderstatus"])
+    """One row for each key, of many; besides the key it has what depends on it, so that any of the rows gives the same."""
+    customers = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    return read_table(spark, sf_dir, "orders").select("o_custkey").join(customers, "o_custkey").dropDuplicates(["o_custkey"])
 
 
 def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,8 @@ def sorted_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_table(spark, sf_dir, "lineitem").where("l_orderkey <= 300")
-    return lines.groupBy("l_linestatus").agg(F.round(F.product(1 + F.col("l_tax") / 10), 6).alias("p"))
+    lines = read_table(spark, sf_dir, "lineitem")
+    return lines.groupBy("l_orderkey").agg(F.round(F.product(1 + F.col("l_tax") / 10), 6).alias("p"))
 
 
 def last_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +94,10 @@ def melted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated rows from the custom data source, in four partitions."""
-    return number_rows(spark, 1, 1000, 4).select("n", (F.col("n") * F.col("n")).alias("square"))
+    """Part keys from the first to the last one by the data source of numbers, in four partitions, with the lines that have them."""
+    lines = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("n")).agg(F.count(F.lit(1)).alias("lines"))
+    ends = lines.agg(F.min("n"), F.max("n")).first()
+    return number_rows(spark, ends[0], ends[1], 4).join(lines, "n", "left").select("n", F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
 def null_aware_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +128,7 @@ def large_lcm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scalar function in Arrow batches: Unicode normal form C of decomposed text."""
-    bare = F.concat(F.substring("text", 1, 40), F.lit("éä"))
+    bare = F.concat("text", F.lit("éä"))
     return read_table(spark, sf_dir, "benchmark").select("item_id", L.nfc(bare).alias("text"))
 
 
@@ -146,7 +148,7 @@ def cogrouped_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_point_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scalar function over Arrow arrays."""
-    bare = F.concat(F.substring("text", 1, 40), F.lit("e\u0301"))
+    bare = F.concat("text", F.lit("e\u0301"))
     return read_table(spark, sf_dir, "benchmark").select("item_id", L.code_points(bare).alias("n"))
 
 
@@ -173,19 +175,21 @@ SQL = {
     "dropped_nulls": f"select * from {_HOLED} where status is not null and price is not null",
     "dropped_mostly_null": f"select * from {_HOLED} where status is not null or price is not null",
     "replaced_values": f"select o_orderkey, case status when 'F' then 'done' when 'O' then 'open' else status end as status from {_HOLED}",
-    "first_of_keys": "select distinct o_custkey, o_orderstatus from orders",
+    "first_of_keys": "select distinct o_custkey, c_name, c_mktsegment from orders join customer on o_custkey = c_custkey",
     "union_by_name": "select c_custkey, c_name as name, c_mktsegment, s_suppkey from customer, (select null::bigint as s_suppkey) union all select null, s_name, null, s_suppkey from supplier",
     "transposed": """with c as (select o_orderstatus as s, count(*) as n, count(distinct o_orderpriority) as kinds from orders group by 1)
         select 'n' as key, max(n) filter (s = 'F') as "F", max(n) filter (s = 'O') as "O", max(n) filter (s = 'P') as "P" from c
         union all select 'kinds', max(kinds) filter (s = 'F'), max(kinds) filter (s = 'O'), max(kinds) filter (s = 'P') from c""",
     "sorted_within": "select o_custkey, o_orderkey from orders",
-    "products": "select l_linestatus, round(product(1 + l_tax / 10), 6) as p from lineitem where l_orderkey <= 300 group by 1",
+    "products": "select l_orderkey, round(product(1 + l_tax / 10), 6) as p from lineitem group by 1",
     "last_rows": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey desc limit 5",
     "hash_sample": "select o_orderkey from orders where md5(o_orderkey::varchar)[1] < '4'",
     "random_sample": "select true as near, true as all_f, true as only_f",
     "renamed_columns": "select n_nationkey as k, upper(n_name) as upper, n_nationkey * 2 as twice, length(n_name)::int as n from nation",
     "melted": "select s_suppkey, 'nation' as field, s_nationkey::double as amount from supplier union all select s_suppkey, 's_acctbal', s_acctbal from supplier",
-    "numbered_rows": "select n, n * n as square from range(1, 1001) as r(n)",
+    "numbered_rows": """
+        with l as (select l_partkey as n, count(*) as lines from lineitem group by 1)
+        select n, coalesce(lines, 0) as lines from (select unnest(range((select min(n) from l), (select max(n) from l) + 1)) as n) left join l using (n)""",
     "null_aware_anti_join": "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49)",
     "not_in_operator": """with l as (select l_partkey, case when l_partkey % 50 <> 0 then l_partkey end as holed from lineitem where l_quantity > 45)
         select p_partkey, 'plain' as kind from part where p_partkey not in (select l_partkey from l)
@@ -193,8 +197,8 @@ SQL = {
     "asof_with_nulls": f"""select p.event_id, p.user_id, p.ts, c.event_id as click_id from (select * from {_EVENTS} where event_type = 'purchase') p
         asof left join (select * from {_EVENTS} where event_type = 'click' and ts is not null) c on p.user_id = c.user_id and p.ts >= c.ts""",
     "large_lcm": "select p_partkey, lcm(3, (p_partkey + 9007199254740992) * 3)::bigint as l, gcd((p_partkey + 9007199254740992) * 6, 4)::bigint as g from part",
-    "normal_forms": "select item_id, nfc_normalize(substr(text, 1, 40) || 'e' || chr(769) || 'a' || chr(776)) as text from benchmark",
-    "code_point_counts": "select item_id, length(substr(text, 1, 40) || 'e' || chr(769))::bigint as n from benchmark",
+    "normal_forms": "select item_id, nfc_normalize(text || 'e' || chr(769) || 'a' || chr(776)) as text from benchmark",
+    "code_point_counts": "select item_id, length(text || 'e' || chr(769))::bigint as n from benchmark",
     "extracted_props": "select event_id, json_extract_string(props, '$.k') as k from events",
     "ema_last": """select user_id, round(list_reduce(list(value order by ts, event_id), lambda a, x: 0.7 * a + 0.3 * x), 6) as ema from events group by 1""",
     "cogrouped_asof": """select s.event_id, c.event_id as click_id from (select * from events where event_type = 'signup') s
