@@ -13,7 +13,8 @@
 4. A tree that is too large for one task isn't paired at first: all its members are compared with one
    pivot, the member with the fewest unmarked shingles, which stands nearest to what the others share.
    After that, members outside the tree's largest component are compared with all members; trees within
-   one component are done. So rows grow with a tree's members and with those that the pivot left out.
+   one component are done. They meet by bitmaps in four parts of a tree, each sent once for each of the other side's,
+   so rows follow the members; only what bitmaps leave is dealt into parts whose whole sets fit a task.
 5. Verification emits only links that join two sets of documents (a spanning forest), never all pairs
    of a group. In the first round each document takes part in its largest tree only, in the second each
    in its largest of those that a finer bitmap leaves; the third one takes all that is left, without the
@@ -48,8 +49,11 @@ HOT = 32
 LEAST_MAP, MOST_MAP = 1 << 20, 1 << 27
 #: Documents that a task compares with a pivot; shingles that it holds; a tree's fan-out.
 CHUNK, CHUNK_SHINGLES, FANOUT = 256, 1 << 21, 8
-#: Where all of a tree is wanted by what a pivot left, a task takes a quarter, but CHUNK to MOST_CHUNK documents.
-MOST_CHUNK = 1 << 13
+#: Where all of a tree is wanted by what a pivot left, a task takes a quarter, but CHUNK to MOST_CHUNK documents, and
+#: no more shingles than these, as it holds their bitmaps only: 16 MB a side.
+MOST_CHUNK, SKETCHED_SHINGLES = 1 << 13, 1 << 26
+#: Parts that one side of a group is dealt into again at most, before whole sets are sent.
+AGAIN = 1 << 12
 #: Bits of a signature: the power of two at or above the set's size, within these; the finer one has FINE times the bits.
 LEAST_BITS, MOST_BITS, FINE = 64, 1 << 17, 8
 
@@ -371,9 +375,9 @@ def grouped(df: DataFrame, work, schema: str) -> DataFrame:
 ENTRY = "token long, at int, node long, n long, rare long, weight long, hot boolean"
 
 
-def parts_of(size: Column, shingles: Column, chunk: Column) -> Column:
+def parts_of(size: Column, shingles: Column, chunk: Column, most: int = CHUNK_SHINGLES) -> Column:
     """Into how many parts documents are dealt."""
-    return F.least(size, F.greatest(F.ceil(size / chunk), F.ceil(shingles / CHUNK_SHINGLES))).cast("int")
+    return F.least(size, F.greatest(F.ceil(size / chunk), F.ceil(shingles / most))).cast("int")
 
 
 def tree_members(classes: DataFrame, percent: int) -> DataFrame:
@@ -428,10 +432,11 @@ def last_rows(members: DataFrame, left: DataFrame, picked: DataFrame, found: Dat
     main = large.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"))
     main = main.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), F.sum("shingles").alias("shingles")).where("c > main.c")
     outer = F.col("c") - F.col("main.c")
-    # Parts of either side are sent once for each of the other's, so that there may be few: rows don't grow with the square of the size.
+    # Parts of either side are sent once for each of the other's, so that there may be few: four of a tree, whose bitmaps
+    # fit a task each up to 4 * SKETCHED_SHINGLES and 4 * MOST_CHUNK members, so rows follow the members.
     chunk = F.greatest(F.lit(CHUNK), F.least(F.lit(MOST_CHUNK), F.ceil(F.col("c") / 4)))
-    rest = parts_of(outer, F.ceil(F.col("shingles") * outer / F.col("c")), chunk)
-    main = main.select("token", F.col("main.comp").alias("main"), rest.alias("rest"), parts_of(F.col("c"), F.col("shingles"), chunk).alias("deal"))
+    rest = parts_of(outer, F.ceil(F.col("shingles") * outer / F.col("c")), chunk, SKETCHED_SHINGLES)
+    main = main.select("token", F.col("main.comp").alias("main"), rest.alias("rest"), parts_of(F.col("c"), F.col("shingles"), chunk, SKETCHED_SHINGLES).alias("deal"))
     rows = large.join(main, "token")
     lo, hi = part_of(F.col("rest")), part_of(F.col("deal"))
     tail = [F.lit(False).alias("whole"), "reach", "comp", F.lit(None).cast("long").alias("pick")]
@@ -440,6 +445,21 @@ def last_rows(members: DataFrame, left: DataFrame, picked: DataFrame, found: Dat
     return whole.union(all_).union(outside)
 
 
+def dealt_again(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of groups that bitmaps left, in parts whose whole sets fit a task. Whole trees do as they are."""
+    rows = rows.join(sizes, "node")
+    right = F.col("role") == RIGHT
+    many = lambda side: F.least(F.lit(AGAIN), F.ceil(F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0)) / CHUNK_SHINGLES), F.count(F.when(side, 1)))
+    large = rows.where("not whole").groupBy(*KEYS).agg(many(~right).cast("int").alias("a"), many(right).cast("int").alias("b")).where("a > 1 or b > 1")
+    rows = rows.join(large, KEYS, "left").withColumns({"a": F.coalesce("a", F.lit(1)), "b": F.coalesce("b", F.lit(1))})
+    # another seed than part_of's: members of one part are dealt anew
+    own = lambda parts: F.pmod(F.xxhash64("node", F.lit(2)), F.col(parts)).cast("int")
+    all_ = lambda parts: F.sequence(F.lit(0), F.greatest(F.col(parts), F.lit(1)) - 1)
+    rows = rows.withColumn("_lo", F.explode(F.when(right, all_("a")).otherwise(F.array(F.when(F.col("a") > 1, own("a")).otherwise(0)))))
+    rows = rows.withColumn("_hi", F.explode(F.when(right, F.array(F.when(F.col("b") > 1, own("b")).otherwise(0))).otherwise(all_("b"))))
+    return rows.withColumns({"lo": F.col("lo") * AGAIN + F.col("_lo"), "hi": F.col("hi") * AGAIN + F.col("_hi")}).select(*NAMES)
+
+
 def with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of groups with their components of now; groups within one are done."""
     rows = rows.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).select(*NAMES)
@@ -493,7 +513,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     found = components(links)
     some = pruned(last_rows(members, left, picked.where("whole").drop("whole"), found), sketch)
     dropped(members, left, links, picked, nodes)
-    close = pruned(some, fine)
+    close = pruned(dealt_again(some, classes.select("node", "n")), fine)
     dropped(some)
     links = verified(picked_rows(close), False)
     old, found = found, components(links.union(found))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomframe.llm import jaccard_join as J
 from loomframe.llm.components import components
@@ -139,6 +140,38 @@ def test_rows_grow_with_the_group(spark, monkeypatch):
     assert share[3000] < 1.5 * share[500], share
 
 
+def test_rows_sent_follow_the_members(spark):
+    """What a pivot left of one tree of long texts without a link: rows sent to the bitmaps' round by member."""
+    sent = {}
+    for n in (1000, 2000, 4000, 8000):
+        members = spark.range(n).select(F.lit(1).cast("long").alias("token"), F.lit(n).cast("long").alias("size"), F.lit(9).alias("parts"), F.col("id").alias("node"), F.lit(20_000).cast("long").alias("n"), F.lit(20_000).cast("long").alias("reach"))
+        none = spark.createDataFrame([], J.MEMBER)
+        rows = J.last_rows(members, none, spark.createDataFrame([], "node long, token long"), spark.createDataFrame([], "node long, component long"))
+        sent[n] = rows.count() / n
+    assert max(sent.values()) <= 8 and sent[8000] <= 1.1 * sent[1000], sent
+
+
+def test_groups_dealt_again(spark, monkeypatch):
+    """Whole sets in small parts: every pair of the two sides still meets, and the links are those of brute force."""
+    monkeypatch.setattr(J, "CHUNK_SHINGLES", 700)
+    schema = J.MEMBER
+    rows = [(1, 2, 3, k, J.LEFT if k < 30 else J.RIGHT, 90, False, 50, k, None) for k in range(90)] + [(2, 0, 0, k, J.BOTH, 9, True, 50, k, None) for k in range(9)]
+    df = spark.createDataFrame(rows, schema)
+    out = J.dealt_again(df, spark.range(90).select(F.col("id").alias("node"), F.lit(50).cast("long").alias("n")))
+    groups = {}
+    for r in out.collect():
+        groups.setdefault((r.token, r.lo, r.hi), {}).setdefault(r.role, set()).add(r.node)
+    met = [(a, b) for (t, *_), g in groups.items() if t == 1 for a in g.get(J.LEFT, ()) for b in g.get(J.RIGHT, ())]
+    assert sorted(met) == [(a, b) for a in range(30) for b in range(30, 90)]
+    assert [g for k, g in groups.items() if k[0] == 2] == [{J.BOTH: set(range(9))}]
+    assert max(sum(map(len, g.values())) for k, g in groups.items() if k[0] == 1) < 60
+    monkeypatch.setattr(J, "CHUNK", 8)
+    docs = near_copies(60, 5) + [(100 + k, t) for k, t in corpus(7)[:80]]
+    want = {d: c for (d, _), (_, c) in brute(docs).items()}
+    got = J.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), hot=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_shared_ids(spark):
     """Unlike texts of one doc_id are one document, with the links of each."""
     a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
