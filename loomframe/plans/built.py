@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 from loomframe import functions as L
 from loomframe import operators as O
 from loomframe import streaming
-from loomframe.session import shared_dir
 from loomframe.sources import read, read_table, stream, write
+from loomframe.sources.stages import temporary
 
 
 def asof_purchase_click(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +107,7 @@ def vector_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, build, mode: str, every: str | None = None) -> DataFrame:
-    place = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    place = temporary(spark, "stream")
     return streaming.run_available(build, f"{place}/out", f"{place}/state", mode, every)
 
 
@@ -173,7 +172,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _round_trip(spark: SparkSession, df: DataFrame, kind: str, **options: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/formats/{uuid.uuid4().hex}"
+    path = temporary(spark, "format")
     write(df, path, kind, **options)
     return read(spark, path, kind, df.schema, **options)
 
@@ -191,7 +190,7 @@ def format_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def partitioned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written by status, read back with the partitions pruned to one."""
-    path = f"{shared_dir(spark)}/formats/{uuid.uuid4().hex}"
+    path = temporary(spark, "format")
     write(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), path, partition_by=("o_orderstatus",))
     return read(spark, path).where("o_orderstatus = 'P'").select("o_orderkey", "o_orderstatus")
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe import streaming
-from loomframe.session import shared_dir
 from loomframe.sources import read_committed, read_table, replay, stream_committed, write_committed
+from loomframe.sources.stages import temporary
 
 #: Batches of three days; late rows come three batches after their own, well behind the watermark.
 SLICES, LATE_BY = 10, 3
@@ -23,7 +21,7 @@ def _replayed(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str, done=None) -> DataFrame:
-    place = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    place = temporary(spark, "stream")
     return streaming.run_available(stream, f"{place}/out", f"{place}/state", mode, done=done)
 
 
@@ -60,7 +58,7 @@ def stream_timed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _committed(spark: SparkSession, sf_dir: str) -> str:
     """Large orders, as two commits of a table."""
-    path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}/table"
+    path = temporary(spark, "table")
     orders = read_committed(spark, f"{sf_dir.rstrip('/')}/orders.parquet").where("o_totalprice > 200000").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     for status in ("F", "P"):
         write_committed(orders.where(F.col("o_orderstatus") == status).repartition(4, "o_orderkey"), path)

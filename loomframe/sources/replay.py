@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.session import shared_dir
 from loomframe.sources.files import stream
+from loomframe.sources.stages import temporary
 
 
 def replay(df: DataFrame, slice_of: Column, slices: int, late: Column | None = None, by: int = 0, files: int = 2) -> DataFrame:
     """A stream of df in `slices` batches: rows of slice 0 first, and so on; `late` rows come `by` slices after their own,
     if there are so many. A slice is written as `files` files, after those before it, and read as one batch."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}/in"
+    path = temporary(spark, "replayed")
     own = slice_of.cast("int")
     arrives = own if late is None else F.when(late & (own + by < slices), own + by).otherwise(own)
     rows = df.withColumn("_slice", arrives)

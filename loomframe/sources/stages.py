@@ -14,16 +14,21 @@ from loomframe.session import shared_dir
 _LEFT: dict[str, SparkSession] = {}
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder; deleted by `unstage`, or when the process ends."""
-    spark = df.sparkSession
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for what is deleted when the process ends."""
     if not _LEFT:
         # before the session's own end, as it was registered later
         atexit.register(_clear)
     path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
     _LEFT[path] = spark
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table in the shared folder; deleted by `unstage`, or when the process ends."""
+    path = temporary(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unstage(*tables: DataFrame) -> None:
