@@ -24,8 +24,8 @@
 Defined results: null, empty or blank texts have no shingles and link with nothing; texts of fewer
 words than a shingle are one shingle; rows with equal doc_id are one document, which has the links of
 all its texts and one component, unless `by_text` makes unlike texts of a doc_id documents of their own;
-a null doc_id links with nothing and has a null component; repeated rows are all returned; other columns
-of the input are ignored. Shingles are compared as 64-bit hashes, sets as 128-bit fingerprints.
+a null doc_id links with nothing and has a null component; repeated rows are all returned; texts of any
+length are whole; an empty table gives an empty table; other columns of the input are ignored. Shingles are compared as 64-bit hashes, sets as 128-bit fingerprints.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ count is corrected for that language's false-positive rate; the largest correcte
 
 Defined results: null text or a text without a letter: `und`, score 0; no known trigram: the
 language with most training rows, score 0; ties: the one with more training rows, then by code
-point; nothing to learn from: `und`; repeated rows are all returned; any number of languages, the model
+point; texts of any length are whole; nothing to learn from: `und`; repeated rows are all returned; any number of languages, the model
 holding a bit for each in every slot; a kept column named as one of the results raises.
 """
 

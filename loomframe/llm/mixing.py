@@ -15,7 +15,7 @@ table like any other: nothing of their number reaches the driver or is broadcast
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source of
 its own; rows that share a doc_id are told apart by their text, and equal rows are one document that
-counts once for each row; an empty table gives an empty table. `texts` keeps all other columns, whatever
+counts once for each row; texts of any length are whole; an empty table gives an empty table. `texts` keeps all other columns, whatever
 their names, of the row whose other columns have the least hash if rows differ in those alone; n_chars, if
 there, keeps its type.
 """

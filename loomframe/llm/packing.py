@@ -12,7 +12,7 @@ Tokenising goes by distinct white-space-separated chunks: the tokenizer's splits
 space, which tests compare with whole-text encoding.
 
 Defined results: null or empty text is one piece that holds the end id alone; texts of any length
-are whole; repeated rows are packed each; an empty table gives an empty table; ranks of ties are
+are whole; a null doc_id is one like any other; repeated rows are packed each; an empty table gives an empty table; ranks of ties are
 fixed by the written order; other columns are ignored.
 """
 

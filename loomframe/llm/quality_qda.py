@@ -9,7 +9,8 @@ log densities, from Mahalanobis distances by cached inverse Cholesky factors.
 Defined results: null and empty texts have all-zero counts and get a score like any other; labels
 other than 0 and 1 and null labels teach nothing; repeated labels of a document count by their
 majority (a tie is 1); with one class only, every score is that class's share; with no labels 0.5;
-repeated rows are all returned.
+repeated rows are all returned; texts of any length are whole; an empty table gives an empty table; other
+columns of documents and labels are ignored, whatever their names.
 """
 
 from __future__ import annotations
