@@ -1,12 +1,15 @@
-"""Queries with table functions, mergeable aggregates and variants."""
+"""Queries with table functions, mergeable aggregates, variants and bucketed tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe import functions as L
-from loomframe.sources import read_table, register_views
+from loomframe.sources import read_table, register_views, write_bucketed
+from loomframe.sources.stages import stage
 
 
 def thinned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +57,27 @@ def variant_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         union all select 'all', regexp_count(schema_of_variant_agg(doc), 'ARRAY<BIGINT>'), regexp_extract(schema_of_variant_agg(doc), 'note: ([A-Z]+)', 1) from v""")
 
 
-QUERIES = {f.__name__: f for f in (thinned_events, vector_spread, variant_fields, variant_exploded, variant_shapes)}
+def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables bucketed alike by their key: the join and the sums by that key shuffle nothing."""
+    found, names = joined_buckets(spark, sf_dir)
+    out = stage(found, "bucketed")
+    for name in names:
+        spark.sql(f"drop table {name}")
+    return out
+
+
+def joined_buckets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    names = [f"loomframe_{uuid.uuid4().hex}" for _ in range(2)]
+    write_bucketed(read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), "o_totalprice"), names[0], ("custkey",), 8)
+    write_bucketed(read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name"), names[1], ("custkey",), 8)
+    pairs = spark.table(names[0]).hint("merge").join(spark.table(names[1]), "custkey")
+    return pairs.groupBy("custkey", "c_name").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top")), names
+
+
+QUERIES = {f.__name__: f for f in (bucketed_join, thinned_events, vector_spread, variant_fields, variant_exploded, variant_shapes)}
 
 SQL = {
+    "bucketed_join": "select o_custkey as custkey, c_name, count(*) as n, max(o_totalprice) as top from orders join customer on c_custkey = o_custkey group by 1, 2",
     "thinned_events": """
         with recursive e as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as p from events),
         k as (select event_id, user_id, ts, p, 1::bigint as kept_no from e where p = 1

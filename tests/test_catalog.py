@@ -8,7 +8,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry  # noqa: E402
 from compare import assert_same, connect  # noqa: E402
 
-from loomframe.plans import catalog  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from loomframe.plans import catalog, extended  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +37,27 @@ def test_scans_are_pruned_and_pushed(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(l_discount), IsNotNull(l_quantity)" in plan and "l_comment" not in plan and "l_tax" not in plan
 
 
+def test_buckets_spare_the_shuffle(spark, sf_dir):
+    found, names = extended.joined_buckets(spark, sf_dir)
+    plan = plan_of(found)
+    for name in names:
+        spark.sql(f"drop table {name}")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_hints_are_obeyed(spark, sf_dir):
+    plan = plan_of(catalog.QUERIES["join_hints"](spark, sf_dir))
+    assert "SortMergeJoin" in plan and "ShuffledHashJoin" in plan
+
+
+def test_sorted_within_partitions(spark, sf_dir):
+    rows = catalog.QUERIES["sorted_within"](spark, sf_dir).withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}).orderBy("row").collect()
+    keys = {}
+    for r in rows:
+        keys.setdefault(r.part, []).append((r.o_custkey, r.o_orderkey))
+    assert all(own == sorted(own) for own in keys.values()) and len({(k, p) for p, own in keys.items() for k, _ in own}) == len({k for own in keys.values() for k, _ in own})
+
+
 def test_no_cartesian_products(spark, sf_dir):
     for name in sorted(q for q in catalog.QUERIES if q not in ("theta_join", "cross_join") and not q.startswith("stream_")):
         assert "CartesianProduct" not in plan_of(catalog.QUERIES[name](spark, sf_dir)), name

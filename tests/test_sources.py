@@ -48,3 +48,18 @@ def test_tables(spark, sf_dir):
     register_views(spark, sf_dir, TABLES)
     assert all(spark.table(t).count() == read_table(spark, sf_dir, t).count() for t in ("region", "nation"))
     assert SETTINGS["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_staged_tables_go(spark):
+    import glob
+
+    from loomframe.session import shared_dir
+    from loomframe.sources import stages
+
+    top = shared_dir(spark).removeprefix("file://")
+    one, two = (stages.stage(spark.range(k), "some") for k in (3, 4))
+    assert one.count() == 3 and len(glob.glob(f"{top}/stages/some-*")) == 2
+    stages.unstage(one)
+    assert len(glob.glob(f"{top}/stages/some-*")) == 1 and two.count() == 4
+    stages.unstage(two)
+    assert glob.glob(f"{top}/stages/some-*") == []
