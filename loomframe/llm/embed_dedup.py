@@ -30,9 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import dropped, written
-from loomframe.llm.components import Forest, components, owners, with_least
+from loomframe.llm.components import components, owners, with_least
 
-THRESHOLD, MISS, SEED, CHUNK = 0.98, 1e-4, 20240229, 512
+THRESHOLD, MISS, SEED = 0.98, 1e-4, 20240229
+#: Rows of a bucket in a chunk: as many whole vectors as a task holds twice.
+CHUNK = 1 << 13
 #: Signs of a code at least and at most, whatever a label's number of rows.
 LEAST_BITS, MOST_BITS = 8, 60
 
@@ -86,8 +88,8 @@ def coded(classes: DataFrame, threshold: float, miss: float, seed: int) -> DataF
 KEYS = ["label", "t", "code", "dim", "lo", "hi"]
 
 
-#: Rows and bytes of a block of whole groups, and the size from which a group's cosines are one matrix product.
-BLOCK, BLOCK_BYTES, LARGE = 1 << 13, 8 << 20, 48
+#: Rows and bytes of a block of whole groups, the size from which a group's cosines are matrix products, and their cells.
+BLOCK, BLOCK_BYTES, LARGE, CELLS = 1 << 13, 8 << 20, 48, 1 << 21
 
 
 def pairs_within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -100,17 +102,44 @@ def pairs_within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.nda
             yield (at[k : k + step, None] + a).ravel(), (at[k : k + step, None] + b).ravel()
 
 
-def similar(v: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a group with that cosine; many small groups are compared at once."""
-    found = [(np.zeros(0, np.int64),) * 2]
+def similar(v: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group with that cosine; many small groups are compared at once, a large one by strips."""
     small = sizes < LARGE
     for i, j in pairs_within(starts[small], sizes[small]):
         ok = np.einsum("nd,nd->n", v[i], v[j]) >= threshold
-        found.append((i[ok], j[ok]))
+        yield i[ok], j[ok]
     for at, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
-        i, j = np.nonzero(v[at : at + n] @ v[at : at + n].T >= threshold)
-        found.append((i[i < j] + at, j[i < j] + at))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        step = max(1, CELLS // n)
+        for k in range(0, n, step):
+            # from the strip's first row on: each pair once
+            i, j = np.nonzero(v[at + k : at + min(k + step, n)] @ v[at + k : at + n].T >= threshold)
+            yield i[i < j] + at + k, j[i < j] + at + k
+
+
+class Joined:
+    """A spanning forest over rows, from pairs that come in blocks."""
+
+    def __init__(self, n: int) -> None:
+        self.of = np.arange(n)
+
+    def hooked(self, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Those of the pairs that join what wasn't joined. In a turn each set hooks on to the least one that it meets."""
+        while True:
+            apart = self.of[i] != self.of[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                return
+            low, high = np.minimum(self.of[i], self.of[j]), np.maximum(self.of[i], self.of[j])
+            parent = np.arange(len(self.of))
+            np.minimum.at(parent, high, low)
+            chosen = np.full(len(parent), -1)
+            least = np.flatnonzero(parent[high] == low)
+            chosen[high[least]] = least
+            chosen = chosen[chosen >= 0]
+            yield i[chosen], j[chosen]
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            self.of = parent[self.of]
 
 
 def compared(block: pa.Table, starts: np.ndarray, threshold: float) -> pa.RecordBatch:
@@ -122,33 +151,32 @@ def compared(block: pa.Table, starts: np.ndarray, threshold: float) -> pa.Record
     codes = np.zeros((len(node), int(length.max())), np.int64)
     codes[np.arange(codes.shape[1]) < length[:, None]] = np.asarray(lists.flatten())
     flat, ends = np.asarray(block["v"].chunk(0).flatten()), np.cumsum(dim)
-    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    before = np.arange(codes.shape[1])
+    # a class may stand in several groups
+    names, of = np.unique(node, return_inverse=True)
+    forest, partners = Joined(len(names)), np.zeros(len(node))
+    links = [(np.zeros(0, np.int64),) * 2]
     for d in np.unique(dim).tolist():
         rows = np.flatnonzero(dim == d)
         v = flat[(ends[rows] - d)[:, None] + np.arange(d)]
         v = v / np.abs(v).max(axis=1, keepdims=True)
         v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
         own = dim[starts] == d
-        i, j = similar(v, np.searchsorted(rows, starts[own]), sizes[own], threshold)
-        one.append(rows[i])
-        two.append(rows[j])
-    i, j = np.concatenate(one), np.concatenate(two)
-    # One of each chunk, where the group is a pair of chunks.
-    keep = (lo[i] == hi[i]) | (side[i] != side[j])
-    i, j = i[keep], j[keep]
-    # The first bucket that holds a pair counts it.
-    before = np.arange(codes.shape[1])
-    new = [~((codes[a] == codes[b]) & (before < t[a][:, None])).any(axis=1) for a, b in ((i[k : k + (1 << 16)], j[k : k + (1 << 16)]) for k in range(0, len(i), 1 << 16))]
-    if new:
-        i, j = i[np.concatenate(new)], j[np.concatenate(new)]
-    partners = np.bincount(i, weight[j], len(node)) + np.bincount(j, weight[i], len(node))
+        for i, j in similar(v, np.searchsorted(rows, starts[own]), sizes[own], threshold):
+            for k in range(0, len(i), 1 << 16):
+                a, b = rows[i[k : k + (1 << 16)]], rows[j[k : k + (1 << 16)]]
+                # One of each chunk, where the group is a pair of chunks; and the first bucket that holds a pair counts it.
+                keep = (lo[a] == hi[a]) | (side[a] != side[b])
+                keep[keep] = ~((codes[a[keep]] == codes[b[keep]]) & (before < t[a[keep]][:, None])).any(axis=1)
+                a, b = a[keep], b[keep]
+                partners += np.bincount(a, weight[b], len(node)) + np.bincount(b, weight[a], len(node))
+                both = named[a] & named[b]
+                links += [(names[x], names[y]) for x, y in forest.hooked(of[a[both]], of[b[both]])]
     some = np.flatnonzero(partners)
-    both = named[i] & named[j]
-    forest = Forest()
-    links = [(x, y) for x, y in zip(node[i[both]].tolist(), node[j[both]].tolist()) if forest.join(x, y)]
-    kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(links), np.int32)])
-    a = np.concatenate([node[some], np.array([x for x, _ in links], np.int64)])
-    b = np.concatenate([partners[some].astype(np.int64), np.array([y for _, y in links], np.int64)])
+    one, two = (np.concatenate([link[k] for link in links]) for k in (0, 1))
+    kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(one), np.int32)])
+    a = np.concatenate([node[some], one])
+    b = np.concatenate([partners[some].astype(np.int64), two])
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, a, b)], ["kind", "a", "b"])
 
 

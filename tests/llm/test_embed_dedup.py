@@ -43,8 +43,9 @@ def data(n=150):
 
 def test_against_brute_force(spark, monkeypatch):
     rows = data()
-    for chunk, block, large in ((512, 1 << 13, 48), (3, 5, 2), (512, 40, 4)):
+    for chunk, block, large, cells in ((1 << 13, 1 << 13, 48, 1 << 21), (3, 5, 2, 9), (512, 40, 4, 30)):
         monkeypatch.setattr(embed_dedup, "CHUNK", chunk)
+        monkeypatch.setattr(embed_dedup, "CELLS", cells)
         monkeypatch.setattr(embed_dedup, "BLOCK", block)
         monkeypatch.setattr(embed_dedup, "LARGE", large)
         got = embed_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -73,6 +74,64 @@ def test_shared_and_null_ids_as_in_sql(spark):
     assert {r.component_id for r in got if r.vec_id in (3, 5, 9)} == {3}
 
 
+def test_a_near_group_by_strips():
+    """One bucket of near vectors: every pair is counted, the links are a spanning forest, by any strips."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    v = np.ones((700, 8)) + rng.standard_normal((700, 8)) * 0.08
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    n = len(v)
+    block = pa.table({"node": np.arange(n) + 5, "weight": np.full(n, 2), "side": np.zeros(n, int), "named": np.arange(n) % 7 > 0, "t": np.zeros(n, int), "lo": np.zeros(n, int), "hi": np.zeros(n, int), "dim": np.full(n, 8), "codes": pa.array([[1]] * n), "v": pa.array(v.tolist())}).combine_chunks()
+    found = embed_dedup.compared(block, np.array([0]), 0.98).to_pydict()
+    counts = {a: b for k, a, b in zip(*found.values()) if k == 0}
+    assert counts == {k + 5: 2 * int(near[k].sum() - 1) for k in range(n) if near[k].sum() > 1}
+    links = [(a - 5, b - 5) for k, a, b in zip(*found.values()) if k == 1]
+    named = [k for k in range(n) if k % 7]
+    up = {k: k for k in named}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        assert near[a, b] and a in up and b in up and find(a) != find(b)
+        up[find(a)] = find(b)
+    assert all(find(a) == find(b) for a in named for b in named if near[a, b])
+
+
+def test_rows_sent_for_a_near_group(spark, monkeypatch):
+    """Rows of the pair step by vector, for a group of near vectors in one label: a few for each table at every size."""
+    sent = {}
+    real = embed_dedup.linked
+    for n in (500, 2000):
+        rng = np.random.default_rng(n)
+        v = np.ones((n, 16)) + rng.standard_normal((n, 16)) * 0.05
+        rows = spark.createDataFrame([(k, x.tolist(), 0, "") for k, x in enumerate(v)], "vec_id long, embedding array<float>, label int, node string")
+        spark.sparkContext.setJobGroup("near", "near")
+        counted = spark.sparkContext.accumulator(0)
+
+        def counting(threshold):
+            run = real(threshold)
+
+            def counted_run(batches):
+                def seen():
+                    for batch in batches:
+                        counted.add(batch.num_rows)
+                        yield batch
+
+                return run(seen())
+
+            return counted_run
+
+        monkeypatch.setattr(embed_dedup, "linked", counting)
+        assert embed_dedup.near_duplicates(rows).where("n_links > 0").count() > 0
+        sent[n] = counted.value / n
+    assert sent[2000] <= 1.5 * sent[500], sent
+
+
 def test_work_follows_the_number_of_rows():
     """More rows have more signs and somewhat more tables; the chance to miss a pair stays."""
     for bits in (8, 14, 30, 60):
