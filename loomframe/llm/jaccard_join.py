@@ -292,15 +292,37 @@ MEMBER = "token long, lo int, hi int, node long, role int, size long, whole bool
 NAMES = [field.split()[0] for field in MEMBER.split(", ")]
 
 
-def prune(percent: int):
-    """For by_group: the members that have a possible partner in another component."""
+def dealt_again(group: pa.Table, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A group's members, of sets of n shingles, in groups whose whole sets fit a task: each side in parts, each of which is
+    repeated for each part of the other side. Whole trees do as they are."""
+    lo, hi, role = (np.asarray(group[c]) for c in ("lo", "hi", "role"))
+    right = role == RIGHT
+    a, b = 1, 1
+    if not group["whole"][0].as_py():
+        a, b = (max(1, min(AGAIN, -(-int(n[side].sum()) // CHUNK_SHINGLES), int(side.sum()))) for side in (~right, right))
+    own = np.zeros(len(n), np.int64)
+    own[~right], own[right] = np.arange((~right).sum()) % a, np.arange(right.sum()) % b
+    times = np.where(right, a, b)
+    at = np.repeat(np.arange(len(n)), times)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    rows = group.take(pa.array(at))
+    places = {"lo": lo[at] * AGAIN + np.where(right[at], other, own[at]), "hi": hi[at] * AGAIN + np.where(right[at], own[at], other)}
+    for c, place in places.items():
+        rows = rows.set_column(rows.schema.get_field_index(c), c, pa.array(place.astype(np.int32)))
+    yield from rows.combine_chunks().to_batches()
+
+
+def prune(percent: int, deal: bool = False):
+    """For by_group: the members that have a possible partner in another component, in parts for whole sets if `deal`."""
 
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, j = candidates(*(np.asarray(group[c]) for c in ("n", "reach")), group["bits"].to_pylist(), np.asarray(group["role"]), percent)
+        n = np.asarray(group["n"])
+        i, j = candidates(n, np.asarray(group["reach"]), group["bits"].to_pylist(), np.asarray(group["role"]), percent)
         fit = allowed(group, i, j)
         use = np.unique(np.concatenate([i[fit], j[fit]]))
         if len(use):
-            yield from group.select(NAMES).take(pa.array(use)).combine_chunks().to_batches()
+            left = group.select(NAMES).take(pa.array(use)).combine_chunks()
+            yield from dealt_again(left, n[use]) if deal else left.to_batches()
 
     return by_group(KEYS, None, work)
 
@@ -445,21 +467,6 @@ def last_rows(members: DataFrame, left: DataFrame, picked: DataFrame, found: Dat
     return whole.union(all_).union(outside)
 
 
-def dealt_again(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of groups that bitmaps left, in parts whose whole sets fit a task. Whole trees do as they are."""
-    rows = rows.join(sizes, "node")
-    right = F.col("role") == RIGHT
-    many = lambda side: F.least(F.lit(AGAIN), F.ceil(F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0)) / CHUNK_SHINGLES), F.count(F.when(side, 1)))
-    large = rows.where("not whole").groupBy(*KEYS).agg(many(~right).cast("int").alias("a"), many(right).cast("int").alias("b")).where("a > 1 or b > 1")
-    rows = rows.join(large, KEYS, "left").withColumns({"a": F.coalesce("a", F.lit(1)), "b": F.coalesce("b", F.lit(1))})
-    # another seed than part_of's: members of one part are dealt anew
-    own = lambda parts: F.pmod(F.xxhash64("node", F.lit(2)), F.col(parts)).cast("int")
-    all_ = lambda parts: F.sequence(F.lit(0), F.greatest(F.col(parts), F.lit(1)) - 1)
-    rows = rows.withColumn("_lo", F.explode(F.when(right, all_("a")).otherwise(F.array(F.when(F.col("a") > 1, own("a")).otherwise(0)))))
-    rows = rows.withColumn("_hi", F.explode(F.when(right, F.array(F.when(F.col("b") > 1, own("b")).otherwise(0))).otherwise(all_("b"))))
-    return rows.withColumns({"lo": F.col("lo") * AGAIN + F.col("_lo"), "hi": F.col("hi") * AGAIN + F.col("_hi")}).select(*NAMES)
-
-
 def with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of groups with their components of now; groups within one are done."""
     rows = rows.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).select(*NAMES)
@@ -493,8 +500,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     members = tree_members(classes, percent)
     sketch = classes.select("node", "n", "bits")
 
-    def pruned(rows: DataFrame, sketch: DataFrame) -> DataFrame:
-        return written(grouped(rows.join(sketch, "node"), prune(percent), MEMBER), "pruned")
+    def pruned(rows: DataFrame, sketch: DataFrame, deal: bool = False) -> DataFrame:
+        return written(grouped(rows.join(sketch, "node"), prune(percent, deal), MEMBER), "pruned")
 
     left = pruned(first_rows(members), sketch)
     nodes = left.select("node").union(members.where("parts > 1").select("node")).distinct()
@@ -511,9 +518,9 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     once = left.where(F.col("role") != LEFT).join(picked.drop("whole"), ["node", "token"]).select(*NAMES)
     links = verified(once.union(left.where(F.col("role") == LEFT)), True)
     found = components(links)
-    some = pruned(last_rows(members, left, picked.where("whole").drop("whole"), found), sketch)
+    some = pruned(last_rows(members, left, picked.where("whole").drop("whole"), found), sketch, deal=True)
     dropped(members, left, links, picked, nodes)
-    close = pruned(dealt_again(some, classes.select("node", "n")), fine)
+    close = pruned(some, fine)
     dropped(some)
     links = verified(picked_rows(close), False)
     old, found = found, components(links.union(found))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,13 +155,17 @@ def test_rows_sent_follow_the_members(spark):
 def test_groups_dealt_again(spark, monkeypatch):
     """Whole sets in small parts: every pair of the two sides still meets, and the links are those of brute force."""
     monkeypatch.setattr(J, "CHUNK_SHINGLES", 700)
-    schema = J.MEMBER
-    rows = [(1, 2, 3, k, J.LEFT if k < 30 else J.RIGHT, 90, False, 50, k, None) for k in range(90)] + [(2, 0, 0, k, J.BOTH, 9, True, 50, k, None) for k in range(9)]
-    df = spark.createDataFrame(rows, schema)
-    out = J.dealt_again(df, spark.range(90).select(F.col("id").alias("node"), F.lit(50).cast("long").alias("n")))
+    columns = [range(90), [J.LEFT if k < 30 else J.RIGHT for k in range(90)]]
+
+    def group(token, lo, hi, nodes, roles, whole):
+        n = len(nodes)
+        made = {"token": [token] * n, "lo": pa.array([lo] * n, pa.int32()), "hi": pa.array([hi] * n, pa.int32()), "node": list(nodes), "role": pa.array(roles, pa.int32()), "size": [n] * n, "whole": [whole] * n}
+        return pa.table(made | {"reach": [50] * n, "comp": list(nodes), "pick": pa.nulls(n, pa.int64())}).select(J.NAMES)
+
+    out = [r for g in (group(1, 2, 3, *columns, False), group(2, 0, 0, range(9), [J.BOTH] * 9, True)) for b in J.dealt_again(g, np.full(g.num_rows, 50)) for r in b.to_pylist()]
     groups = {}
-    for r in out.collect():
-        groups.setdefault((r.token, r.lo, r.hi), {}).setdefault(r.role, set()).add(r.node)
+    for r in out:
+        groups.setdefault((r["token"], r["lo"], r["hi"]), {}).setdefault(r["role"], set()).add(r["node"])
     met = [(a, b) for (t, *_), g in groups.items() if t == 1 for a in g.get(J.LEFT, ()) for b in g.get(J.RIGHT, ())]
     assert sorted(met) == [(a, b) for a in range(30) for b in range(30, 90)]
     assert [g for k, g in groups.items() if k[0] == 2] == [{J.BOTH: set(range(9))}]
