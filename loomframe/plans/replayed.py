@@ -16,8 +16,13 @@ _LATE = "event_id % 20 = 0"
 
 def _replayed(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
     events = read_table(spark, sf_dir, "events")
-    own = F.least(F.floor((F.dayofmonth("ts") - 1) / 3), F.lit(SLICES - 1))
-    return replay(events, own, SLICES, F.expr(_LATE) if late else None, LATE_BY)
+    if late:
+        own = F.least(F.floor((F.dayofmonth("ts") - 1) / 3), F.lit(SLICES - 1))
+        return replay(events, own, SLICES, F.expr(_LATE), LATE_BY)
+    # equal parts of the time from the first to the last row, so that no slice is behind another whatever the months
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(micros), F.max(micros)).first()
+    return replay(events, F.floor((micros - (first or 0)) / ((last or 0) - (first or 0) + 1) * SLICES), SLICES)
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str, done=None) -> DataFrame:

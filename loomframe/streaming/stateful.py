@@ -66,46 +66,66 @@ def type_changes(events: DataFrame, by: str, order: list[str], kind: str) -> Dat
 def timed_sessions(events: DataFrame, by: str, ts: str, kind: str, gap: str, late: str) -> DataFrame:
     """(by, opened, closed, n, kinds) of sessions that end after `gap` without an event, by a timer of the watermark's time.
 
-    The state is the open session's ends and number, and a map of how often it had each kind. A row that comes `gap` or
-    more after the last one ends the session before it; a key without further rows ends it by the timer. Rows
-    behind the watermark are left out; rows of a batch are put in order, those of earlier batches are before them.
+    The state is a key's sessions that the watermark hasn't passed: of each its ends, its number, and a map of how often
+    it had each kind. A row joins the sessions that it is less than `gap` from, whatever order rows come in; a session
+    is given once the watermark, which counts milliseconds, is at its end, even if a later row has opened
+    another one. Rows behind the watermark are left out, and those without a key or time.
     """
-    seconds = pd.Timedelta(gap)
+    micros = pd.Timedelta(gap).value // 1000
+
+    def timer(sessions: list) -> int | None:
+        # timers before the watermark expire: this one does if the first end is at it or before
+        return -(-(min(last for _, last, _, _ in sessions) + micros) // 1000) - 1 if sessions else None
 
     class Sessions(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.open = handle.getValueState("open", "opened timestamp, last timestamp, n long")
-            self.kinds = handle.getMapState("kinds", "kind string", "n long")
-
-        def ended(self, key) -> pd.DataFrame:
-            opened, last, n = self.open.get()
-            kinds = ",".join(f"{k[0]}:{v[0]}" for k, v in sorted(self.kinds.iterator()))
-            self.open.clear()
-            self.kinds.clear()
-            return pd.DataFrame({by: [key[0]], "opened": [opened], "closed": [pd.Timestamp(last) + seconds], "n": [n], "kinds": [kinds]})
+            self.open = handle.getValueState("open", "sessions array<struct<opened: long, last: long, n: long, kinds: map<string, long>>>")
+
+        def kept(self) -> list:
+            return [tuple(s) for s in self.open.get()[0]] if self.open.exists() else []
+
+        def keep(self, sessions: list, before: int | None) -> None:
+            """The sessions as the state, and their timer instead of the one before."""
+            if sessions:
+                self.open.update((sessions,))
+            else:
+                self.open.clear()
+            if (now := timer(sessions)) != before:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                if now is not None:
+                    self.handle.registerTimer(now)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            frame = pd.concat(list(rows)).sort_values(ts)
-            for now, what in zip(frame[ts], frame[kind]):
-                if self.open.exists() and now - pd.Timestamp(self.open.get()[1]) >= seconds:
-                    yield self.ended(key)
-                opened, last, n = self.open.get() if self.open.exists() else (now, now, 0)
-                self.open.update((opened, max(pd.Timestamp(last), now), n + 1))
-                self.kinds.updateValue((what,), ((self.kinds.getValue((what,))[0] if self.kinds.containsKey((what,)) else 0) + 1,))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            # the first millisecond at which the session has ended
-            end = pd.Timestamp(self.open.get()[1]) + seconds
-            self.handle.registerTimer(-(-end.value // 1_000_000))
+            sessions = self.kept()
+            before = timer(sessions)
+            for frame in rows:
+                new = [(at, at, 1, {} if what is None else {what: 1}) for at, what in zip(frame["event_micros"].tolist(), frame[kind].tolist())]
+                merged: list = []
+                for opened, last, n, kinds in sorted(sessions + new, key=lambda s: s[0]):
+                    if merged and opened - merged[-1][1] < micros:
+                        first, end, m, held = merged[-1]
+                        merged[-1] = (first, max(end, last), m + n, held | {k: held.get(k, 0) + v for k, v in kinds.items()})
+                    else:
+                        merged.append((opened, last, n, kinds))
+                sessions = merged
+            self.keep(sessions, before)
+            yield from ()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if self.open.exists():
-                yield self.ended(key)
+            sessions = self.kept()
+            passed = 1000 * max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+            # the timer that expired is deleted by Spark
+            self.keep([s for s in sessions if s[1] + micros > passed], None)
+            if ended := [s for s in sessions if s[1] + micros <= passed]:
+                named = [",".join(f"{k}:{v}" for k, v in sorted(kinds.items())) or None for _, _, _, kinds in ended]
+                yield pd.DataFrame({by: key[0], "opened": [s[0] for s in ended], "closed": [s[1] + micros for s in ended], "n": [s[2] for s in ended], "kinds": named})
 
         def close(self) -> None:
             pass
 
-    rows = events.select(by, F.col(ts).cast("timestamp").alias(ts), kind).withWatermark(ts, late)
-    schema = f"{by} {dict(events.dtypes)[by]}, opened timestamp, closed timestamp, n long, kinds string"
-    return rows.groupBy(by).transformWithStateInPandas(Sessions(), schema, "append", "eventTime")
+    rows = events.where(F.col(by).isNotNull() & F.col(ts).isNotNull()).select(by, F.col(ts).cast("timestamp").alias(ts), kind).withWatermark(ts, late)
+    schema = f"{by} {dict(events.dtypes)[by]}, opened long, closed long, n long, kinds string"
+    found = rows.withColumn("event_micros", F.unix_micros(ts)).groupBy(by).transformWithStateInPandas(Sessions(), schema, "append", "eventTime")
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("opened", "closed")})

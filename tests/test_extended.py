@@ -147,6 +147,20 @@ def test_timers_end_sessions(spark, tmp_path):
     assert found == [(1, at(0), at(2400), 2, "a:1,b:1"), (1, at(6000), at(7800), 1, "a:1"), (1, at(24060), at(25860), 1, "b:1"), (2, at(300), at(2100), 2, "c:2"), (3, at(24000), at(25800), 1, "a:1")]
 
 
+def test_sessions_wait_for_the_watermark(spark, tmp_path):
+    """A later row of the key doesn't give a session that the watermark hasn't passed; one that comes late, but ahead of the watermark, joins two."""
+    rows = [(1, 0, "a"), (1, 70, "b"), (1, 105, "a"), (2, 60, "a"), (2, 100, "b"), (2, 80, "c"), (2, 81, None), (3, 119, "z"), (None, 5, "a")]
+    df = events(spark, rows).withColumn("late", F.col("kind").eqNullSafe("c") | F.col("kind").isNull())
+    stream = replay(df, F.lit(0), 2, F.col("late"), 1, files=1)
+    with streaming.rocksdb(spark):
+        out = streaming.run_available(streaming.timed_sessions(stream, "who", "at", "kind", "30 minutes", "1 hour"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted((r.who, r.opened, r.closed, r.n, r.kinds) for r in out.collect()) == [(1, at(0), at(1800), 1, "a:1")]
+    with streaming.rocksdb(spark):
+        more = replay(df.union(events(spark, [(4, 500, "z")]).withColumn("late", F.lit(False))), F.when(F.col("who") == 4, 2).otherwise(0), 3, F.col("late"), 1, files=1)
+        out = streaming.run_available(streaming.timed_sessions(more, "who", "at", "kind", "30 minutes", "1 hour"), f"{tmp_path}/out2", f"{tmp_path}/state2")
+    assert [(r.opened, r.closed, r.n, r.kinds) for r in out.collect() if r.who == 2] == [(at(3600), at(7800), 4, "a:1,b:1,c:1")]
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     rows = [(k % 3, 7 * k, "a") for k in range(100)]
     df = events(spark, rows).withColumn("late", F.col("who") == 0)
