@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -21,6 +21,8 @@ from loomframe.sources.stages import stage
 
 #: Rows whose symbols make one string.
 CHUNK = 1 << 16
+#: About how many matches make a frame.
+FRAME = 1 << 17
 #: A row that no condition holds for.
 OTHER = "."
 
@@ -162,13 +164,25 @@ class Automaton:
         """The ends before a chunk, from its summary and the ends after it."""
         return [max(own[q], *[after[p] for p in range(len(after)) if reach[q] >> p & 1], -1) for q in range(len(own))]
 
+    @functools.cached_property
+    def moved(self) -> Callable[[str, tuple[int, ...]], tuple[int, ...]]:
+        """`back` for ends counted from the row before a place (-1: none), so that rows alike share a step."""
+
+        @functools.lru_cache(maxsize=1 << 16)
+        def step(symbol: str, ends: tuple[int, ...]) -> tuple[int, ...]:
+            return tuple(self.back(symbol, 1, [e + 1 if e >= 0 else -1 for e in ends]))
+
+        return step
+
     def starts(self, symbols: str, first: int, after: list[int]) -> tuple[list[int], list[int]]:
         """(by row the farthest end of a match that starts there or -1, the ends before the chunk)."""
-        ends, found = after, [-1] * len(symbols)
+        last, moved, found = first + len(symbols) - 1, self.moved, [-1] * len(symbols)
+        ends = tuple(e - last if e >= 0 else -1 for e in after)
         for k in range(len(symbols) - 1, -1, -1):
-            ends = self.back(symbols[k], first + k, ends)
-            found[k] = ends[0] if ends[0] >= first + k else -1
-        return found, ends
+            ends = moved(symbols[k], ends)
+            if ends[0] > 0:
+                found[k] = first + k - 1 + ends[0]
+        return found, [e + first - 1 if e >= 0 else -1 for e in ends]
 
 
 def chain(found: list[int], first: int, entry: int) -> Iterator[tuple[int, int]]:
@@ -190,7 +204,7 @@ def match_rows(df: DataFrame, by: list[str], order: list[str], symbols: dict[str
     `symbol` and `place` (so F.count_if(F.col("symbol") == "B") counts a symbol's rows). `order` should settle ties.
 
     Rows are numbered over range partitions; the symbols of `chunk` of them make a string, which is all that the
-    automaton reads. Passes: each chunk says what it makes of the ends after it, for each state; these summaries, a row
+    automaton reads. Keys of one chunk are matched at once, many in a frame. Passes for the others: each chunk says what it makes of the ends after it, for each state; these summaries, a row
     for a chunk, are composed backwards along a key; each chunk then knows the longest match from each of its rows. A
     match that comes in from before ends where one of its states at the edge ends at the farthest, so a chunk
     can be entered at few places only; for each it says where it is left, and a pass forward along the key picks the
@@ -205,12 +219,17 @@ def match_rows(df: DataFrame, by: list[str], order: list[str], symbols: dict[str
         kind = F.when(condition, symbol).otherwise(kind)
     keys = [f"_k{k}" for k in range(len(by))]
     rows = df.withColumn("symbol", kind)
-    rows = stage(numbered(rows, by, order).drop("_n").withColumnRenamed("_at", "place"), "numbered")
-    slim = rows.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)], "place", "symbol")
+    rows = stage(numbered(rows, by, order).withColumnRenamed("_at", "place"), "numbered")
+    slim = rows.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)], "place", "symbol", "_n")
     # all columns of a key as one, so that nulls group with nulls
-    slim = slim.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("key") if by else F.lit("").alias("key"), "place", "symbol")
+    slim = slim.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("key") if by else F.lit("").alias("key"), "place", "symbol", "_n")
     packed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "symbol"))), lambda x: x["symbol"]), "")
-    chunks = stage(slim.groupBy("key", F.floor(F.col("place") / chunk).alias("chunk")).agg(packed.alias("text")), "chunks")
+
+    def texts(of: DataFrame) -> DataFrame:
+        return of.groupBy("key", F.floor(F.col("place") / chunk).alias("chunk")).agg(packed.alias("text"))
+
+    single = texts(slim.where(F.col("_n") <= chunk))
+    chunks = stage(texts(slim.where(F.col("_n") > chunk)), "chunks")
 
     def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = Automaton(pattern)
@@ -258,20 +277,32 @@ def match_rows(df: DataFrame, by: list[str], order: list[str], symbols: dict[str
 
     def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = Automaton(pattern)
+        found: tuple[list, list, list] = ([], [], [])
         for frame in frames:
-            for key, c, text, after, entry in zip(frame["key"], frame["chunk"], frame["text"], frame["after"], frame["entry"]):
-                found, _ = automaton.starts(text, c * chunk, list(after))
-                pairs = [(c * chunk + k, end) for k, end in enumerate(found) if end >= 0] if overlapping else list(chain(found, c * chunk, entry))
-                if pairs:
-                    yield pd.DataFrame({"key": key, "match_start": [s for s, _ in pairs], "match_end": [e for _, e in pairs]})
+            # keys of one chunk have neither ends after it nor an entry
+            afters = frame["after"] if "after" in frame else itertools.repeat(None)
+            entries = frame["entry"] if "entry" in frame else itertools.repeat(0)
+            for key, c, text, after, entry in zip(frame["key"], frame["chunk"], frame["text"], afters, entries):
+                first = c * chunk
+                ends, _ = automaton.starts(text, first, automaton.final(first + len(text)) if after is None else list(after))
+                for start, end in ((first + k, e) for k, e in enumerate(ends) if e >= 0) if overlapping else chain(ends, first, entry):
+                    found[0].append(key)
+                    found[1].append(start)
+                    found[2].append(end)
+                if len(found[0]) >= FRAME:
+                    yield pd.DataFrame(dict(zip(("key", "match_start", "match_end"), found)))
+                    found = ([], [], [])
+        if found[0]:
+            yield pd.DataFrame(dict(zip(("key", "match_start", "match_end"), found)))
 
     if overlapping:
         known = known.withColumn("entry", F.lit(0).cast("long"))
     else:
         exits = known.mapInPandas(left_at, "key string, chunk long, n long, exits array<long>")
         known = known.join(exits.groupBy("key").applyInPandas(forwards, "key string, chunk long, entry long"), ["key", "chunk"])
-    matches = known.mapInPandas(matched, "key string, match_start long, match_end long")
+    schema = "key string, match_start long, match_end long"
+    matches = single.mapInPandas(matched, schema).union(known.mapInPandas(matched, schema))
     taken = matches.select("key", "match_start", "match_end", F.explode(F.sequence("match_start", "match_end")).alias("place"))
     named = rows.withColumn("key", F.to_json(F.struct(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)]), {"ignoreNullFields": "false"}) if by else F.lit(""))
-    found = named.join(taken, ["key", "place"])
+    found = named.drop("_n").join(taken, ["key", "place"])
     return found.groupBy(*by, "match_start", "match_end").agg(*[c.alias(name) for name, c in measures.items()])

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomframe import operators as O
+from loomframe.operators import patterns
 from loomframe.operators.patterns import Automaton
 from loomframe.operators.ranges import PART, numbered, ranged
+from loomframe.sources.stages import stage
 
 
 @pytest.fixture(autouse=True)
@@ -110,6 +112,17 @@ def test_patterns_over_chunk_edges(spark, pattern):
         assert rows(out, "k", "match_start", "match_end", "n", "bs", "first_at") == sorted(expected, key=repr)
 
 
+def test_keys_of_one_chunk_take_no_passes(spark, monkeypatch):
+    """They are matched many in a frame; a group for each key took most of the time."""
+    staged = {}
+    monkeypatch.setattr(patterns, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    data = [(None if k == 0 else k, at, kind) for k in range(50) for at, kind in enumerate("AB" * (k % 3))] + [(99, at, "A") for at in range(9)] + [(99, 9, "B")]
+    df = spark.createDataFrame(data, "k int, at long, kind string")
+    out = O.match_rows(df, ["k"], ["at"], {s: F.col("kind") == s for s in "AB"}, "A+B", {"n": F.count(F.lit(1))}, chunk=4)
+    assert rows(out, "k", "match_start", "match_end", "n") == sorted([(k or None, 2 * j, 2 * j + 1, 2) for k in range(50) for j in range(k % 3)] + [(99, 0, 9, 10)], key=repr)
+    assert [r.key for r in staged["chunks"].select("key").distinct().collect()] == ['{"_k0":99}']
+
+
 def test_patterns_refused():
     for pattern in ("", "A*", "(A", "A)", "|A", "+A", "A{3,2}", "A{0}", "A?B*"):
         with pytest.raises(ValueError):
