@@ -50,6 +50,15 @@ def test_hints_are_obeyed(spark, sf_dir):
     assert "SortMergeJoin" in plan and "ShuffledHashJoin" in plan
 
 
+def test_overflow_throws_for_no_row(spark, sf_dir, tmp_path):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(5).drop("l_linenumber")
+    numbers = spark.createDataFrame([(-3,), (0,), (1,), (9,), (None,)], "l_linenumber int")
+    lines.limit(1).crossJoin(numbers).select(*spark.read.parquet(f"{sf_dir}/lineitem.parquet").columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.QUERIES["safe_arithmetic"](spark, str(tmp_path))
+    assert {r.l_linenumber: r.over for r in found.collect()} == {-3: False, 0: False, 1: True, 9: True, None: True}
+    assert "(l_linenumber" in plan_of(found).split(" > 0)")[0] and " > 0)" in plan_of(found)
+
+
 def test_sorted_within_partitions(spark, sf_dir):
     rows = catalog.QUERIES["sorted_within"](spark, sf_dir).withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}).orderBy("row").collect()
     keys = {}
