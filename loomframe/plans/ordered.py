@@ -110,6 +110,16 @@ def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(lines.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n")), "l_linenumber")
 
 
+def approximate_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether approximate percentiles are near the exact ones, which are picked from range partitions."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    found = lines.groupBy("l_returnflag").agg(F.approx_percentile("l_quantity", 0.5, 10000).alias("a"), F.percentile_approx("l_extendedprice", 0.9, 10000).alias("b"))
+    mids = O.quantiles(lines, ["l_returnflag"], "l_quantity", {"m": 0.5}).withColumnRenamed("l_returnflag", "_f")
+    highs = O.quantiles(lines, ["l_returnflag"], "l_extendedprice", {"h": 0.9}).withColumnRenamed("l_returnflag", "_g")
+    both = found.join(mids, F.col("l_returnflag").eqNullSafe(F.col("_f"))).join(highs, F.col("l_returnflag").eqNullSafe(F.col("_g")))
+    return both.select("l_returnflag", (F.abs(F.col("a") - F.col("m")) <= 1).alias("mid"), (F.abs(F.col("b") - F.col("h")) <= 0.01 * F.col("h")).alias("high"))
+
+
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.quantiles(read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity", {"p90": 0.9})
 
@@ -128,7 +138,7 @@ def frames_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     nation_closure, part_distances, order_bursts, pattern_repeated, pattern_alternatives, pattern_gap, asof_next_purchase, asof_nearest_error, asof_last_view,
-    overlapping_shipments, within_group, medians, percentiles, frames_excluding,
+    overlapping_shipments, within_group, medians, approximate_percentiles, percentiles, frames_excluding,
 )}
 
 
@@ -195,6 +205,7 @@ SQL = {
         select l_returnflag, cast(percentile_cont(0.25) within group (order by l_quantity) as double) as q1, cast(percentile_disc(0.5) within group (order by l_extendedprice) as double) as m
         from lineitem group by l_returnflag""",
     "medians": "select l_linenumber, median(l_quantity) as med, count(*) as n from lineitem group by l_linenumber",
+    "approximate_percentiles": "select l_returnflag, true as mid, true as high from lineitem group by l_returnflag",
     "percentiles": "select l_returnflag, quantile_cont(l_quantity, 0.9) as p90 from lineitem group by l_returnflag",
     "frames_excluding": _excluding(),
 }
