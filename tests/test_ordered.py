@@ -123,6 +123,14 @@ def test_keys_of_one_chunk_take_no_passes(spark, monkeypatch):
     assert [r.key for r in staged["chunks"].select("key").distinct().collect()] == ['{"_k0":99}']
 
 
+def test_rows_alike_share_a_step():
+    """Places differ from row to row, so steps are kept by what is counted from them."""
+    automaton, text = Automaton("E+S"), "EES" * 5_000
+    found, before = automaton.starts(text, 30, automaton.final(30 + len(text)))
+    assert [(30 + k, e) for k, e in enumerate(found) if e >= 0][:3] == [(30, 32), (31, 32), (33, 35)] and before[0] == 32
+    assert automaton.moved.cache_info().misses < 20
+
+
 def test_patterns_refused():
     for pattern in ("", "A*", "(A", "A)", "|A", "+A", "A{3,2}", "A{0}", "A?B*"):
         with pytest.raises(ValueError):
