@@ -2,12 +2,14 @@ import random
 import re
 
 import pytest
+from compare import assert_same, connect
 from pyspark.sql import functions as F
 
 from loomframe import operators as O
 from loomframe.operators import patterns
 from loomframe.operators.patterns import Automaton
 from loomframe.operators.ranges import PART, numbered, ranged
+from loomframe.plans import ordered
 from loomframe.sources.stages import stage
 
 
@@ -123,6 +125,18 @@ def test_keys_of_one_chunk_take_no_passes(spark, monkeypatch):
     assert [r.key for r in staged["chunks"].select("key").distinct().collect()] == ['{"_k0":99}']
 
 
+def test_pattern_repeated_groups_no_user_of_one_chunk(spark, sf_dir, tmp_path, monkeypatch):
+    """More users are more texts in a frame, so that its time grows as its rows do."""
+    staged = {}
+    monkeypatch.setattr(patterns, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    copies = events.crossJoin(spark.range(5).select(F.col("id").alias("copy")))
+    copies = copies.withColumns({"event_id": F.col("event_id") + 1_000_000 * F.col("copy"), "user_id": F.col("user_id") + 1_000_000 * F.col("copy")})
+    copies.drop("copy").write.parquet(f"{tmp_path}/events.parquet")
+    assert_same(ordered.pattern_repeated(spark, str(tmp_path)), connect(tmp_path), ordered.SQL["pattern_repeated"])
+    assert staged["numbered"].count() == 5 * events.count() and staged["chunks"].isEmpty()
+
+
 def test_rows_alike_share_a_step():
     """Places differ from row to row, so steps are kept by what is counted from them."""
     automaton, text = Automaton("E+S"), "EES" * 5_000
